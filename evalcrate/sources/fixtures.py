@@ -114,3 +114,30 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").alias("pair_id"), "vec_id",
                     F.when(F.col("vec_id") % 2 == 0, F.lit("pred")).otherwise(F.lit("ref")).alias("side"),
                     "embedding")
+
+
+def nested_qa_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested QA gold as JSON lines ``{paper_id: {"qas": [...]}}`` built from assistant turns.
+
+    One line per assistant turn (bounded size, no grouping): the question has
+    two annotations — one typed by ``turn % 4`` (spans / free text / yes-no /
+    unanswerable) and one free-text summary (its first line)."""
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    t = F.col("turn") % 4
+    no_spans = F.array().cast("array<string>")
+    null_bool = F.lit(None).cast("boolean")
+    ann_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+    def ann(suffix, unans, spans, free, yn):
+        return F.struct(F.concat(ann_id, F.lit(suffix)).alias("annotation_id"),
+                        F.struct(unans.alias("unanswerable"), spans.alias("extractive_spans"),
+                                 free.alias("free_form_answer"), yn.alias("yes_no")).alias("answer"))
+
+    a0 = ann("-0", t == 3, F.when(t == 0, F.split(F.col("text"), "\n")).otherwise(no_spans),
+             F.when(t == 1, F.col("text")).otherwise(F.lit("")),
+             F.when(t == 2, F.length("text") % 2 == 0).otherwise(null_bool))
+    a1 = ann("-1", F.lit(False), no_spans,
+             F.concat(F.lit("Summary: "), F.substring_index(F.col("text"), "\n", 1)), null_bool)
+    qa = F.struct(ann_id.alias("question_id"), F.array(a0, a1).alias("answers"))
+    paper = F.struct(F.array(qa).alias("qas"))
+    return c.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), paper)).alias("value"))
