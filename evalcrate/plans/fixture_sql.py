@@ -60,3 +60,17 @@ def with_fixtures(*names: str, extra: str = "") -> str:
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(parts) + "\n"
+
+FIXTURE_SQL["dialogues"] = """
+SELECT a.conv_id * 100 + a.turn AS id, a.text AS dialogue, 'turn ' || CAST(a.turn AS VARCHAR) AS section_header,
+       b.text AS section_text
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+WHERE a.role = 'user'"""
+
+FIXTURE_SQL["mc_questions"] = """
+SELECT p_partkey AS id,
+       'Which description fits ' || p_name || '? {A: ' || p_brand || ', B: ' || p_type || ', C: size '
+         || CAST(p_size AS VARCHAR) || ', D: ' || p_name || '}' AS question,
+       CASE p_partkey % 6 WHEN 0 THEN 'A' WHEN 1 THEN ' B ' WHEN 2 THEN p_type WHEN 3 THEN 'I think C) is right'
+            WHEN 4 THEN 'maybe ' || p_name || ' or so' ELSE 'none of these' END AS target
+FROM part"""

@@ -1 +1,354 @@
-"""placeholder"""
+"""Dataset-construction queries: scans/slices (S1, S4-S8, W4), prompts (P1-P18),
+few-shot attachment (J5), chat export (K1)."""
+
+from __future__ import annotations
+
+import string
+
+from pyspark.sql import functions as F
+
+from evalcrate.functions import text as T
+from evalcrate.operators import chat as H
+from evalcrate.operators import prompts as P
+from evalcrate.operators.positions import row_position
+from evalcrate.plans.fixture_sql import with_fixtures
+from evalcrate.plans.registry import register
+from evalcrate.sinks.writers import chat_jsonl_column
+from evalcrate.sources import fixtures as FX
+from evalcrate.sources import readers as R
+
+FAMILIES = [f for f, *_ in P.FAMILY_PROMPTS]
+SUM_START, SUM_END = dict((m, (s, e)) for m, s, e in P.SUMMARY_PROMPTS)["openai"]
+SYSTEM = "You summarise dialogues between two people. "
+TRANSACTION = "\n\nPlease summarize the following dialogue."
+POSITIONS = (0, 1, 5)
+
+
+def sq(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def duck_template(fmt: str, **fields: str) -> str:
+    parts = []
+    for lit_text, field, _s, _c in string.Formatter().parse(fmt):
+        if lit_text:
+            parts.append(sq(lit_text))
+        if field is not None:
+            parts.append(f"coalesce(CAST({fields[field]} AS VARCHAR), 'None')")
+    return "(" + " || ".join(parts) + ")"
+
+
+def _test_question(prefix: str = "") -> str:
+    return duck_template(P.TASK_TEMPLATES["dialogue"], dialogue=f"{prefix}dialogue", section_header=f"{prefix}section_header")
+
+
+def _spark_test_question():
+    return P.template(P.TASK_TEMPLATES["dialogue"], dialogue=F.col("dialogue"), section_header=F.col("section_header"))
+
+
+_PICK_SQL = f"""
+picked AS (SELECT *, CASE rn {' '.join(f'WHEN {p} THEN {i + 1}' for i, p in enumerate(POSITIONS))} END AS k
+           FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rn FROM dialogues) x
+           WHERE rn IN ({', '.join(map(str, POSITIONS))})),
+ex AS (SELECT k, {duck_template(P.EXAMPLE_TEMPLATES['dialogue'], k='k', dialogue='dialogue', section_header='section_header')}
+              AS question, coalesce(section_text, 'None') AS response FROM picked)"""
+
+
+def _examples(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    picked = R.pick_positions(d, "id", POSITIONS)
+    return P.example_rows(picked, P.EXAMPLE_TEMPLATES["dialogue"], "section_text",
+                          dialogue="dialogue", section_header="section_header")
+
+
+# ---------------------------------------------------------------- scans and slices
+
+@register("scan_split", "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src3'")
+def q_scan_split(spark, sf_dir):
+    return R.scan_split(spark, f"{sf_dir}/documents.parquet", "src3", "source", ["doc_id", "lang", "n_chars"])
+
+
+@register("project", "SELECT doc_id, n_chars FROM documents")
+def q_project(spark, sf_dir):
+    return R.project(R.read_table(spark, sf_dir, "documents"), "doc_id", "n_chars")
+
+
+@register("split_slice", with_fixtures("dialogues") +
+          "SELECT id, section_header FROM dialogues ORDER BY id LIMIT 50 OFFSET 10")
+def q_split_slice(spark, sf_dir):
+    sl = R.get_dataset_slices({"validation": FX.dialogues(spark, sf_dir)}, "id", {"valid": "validation[10:60]"})
+    return sl["valid"].select("id", "section_header")
+
+
+@register("split_slice_tail", with_fixtures("dialogues") +
+          "SELECT id FROM dialogues ORDER BY id OFFSET 100")
+def q_split_slice_tail(spark, sf_dir):
+    """S4 with an open end: numbered by the distributed row position."""
+    return R.split_slice(FX.dialogues(spark, sf_dir), "id", 100, None).select("id")
+
+
+@register("row_position", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations")
+def q_row_position(spark, sf_dir):
+    c = R.read_table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return row_position(c, ["conv_id", "turn"], "pos")
+
+
+@register("head_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def q_head_limit(spark, sf_dir):
+    return R.head_limit(R.read_table(spark, sf_dir, "orders"), "o_orderkey", 100).select("o_orderkey", "o_totalprice")
+
+
+@register("pick_positions", with_fixtures("dialogues", extra=_PICK_SQL) + "SELECT k, id FROM picked")
+def q_pick_positions(spark, sf_dir):
+    return R.pick_positions(FX.dialogues(spark, sf_dir), "id", POSITIONS).select("k", "id")
+
+
+@register("sample_n")  # hash-seeded sample: DuckDB has no xxhash64 -> rows-only check
+def q_sample_n(spark, sf_dir):
+    return R.sample_n(FX.dialogues(spark, sf_dir), "id", 20, seed=7).select("id")
+
+
+# ---------------------------------------------------------------- prompt columns
+
+@register("concat_flagged", with_fixtures("dialogues") +
+          "SELECT id, 'Claim: ' || dialogue || ' ' || 'Evidence: ' || section_text AS concat_col FROM dialogues")
+def q_concat_flagged(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    return d.select("id", P.concat_flagged("dialogue", "section_text").alias("concat_col"))
+
+
+@register("wrap_prompt", with_fixtures("dialogues") +
+          f"SELECT id, {sq(SUM_START)} || dialogue || {sq(SUM_END)} AS prompt FROM dialogues")
+def q_wrap_prompt(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    return d.select("id", P.wrap_prompt("dialogue", SUM_START, SUM_END).alias("prompt"))
+
+
+_FAM_VALUES = ", ".join(f"({sq(f)}, {sq(a)}, {sq(b)}, {sq(c)})" for f, a, b, c in P.FAMILY_PROMPTS)
+
+
+@register("family_wrap", with_fixtures("dialogues") + f"""
+, fam(family, chat_start, end_prompt, suffix) AS (VALUES {_FAM_VALUES})
+SELECT d.id, f.family, f.chat_start || 'Classify: ' || d.dialogue || f.end_prompt AS prompt, f.suffix AS remove_suffix
+FROM (SELECT *, {str(FAMILIES).replace('"', "'")}[(id % 5) + 1] AS family FROM dialogues) d
+JOIN fam f USING (family)""")
+def q_family_wrap(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    d = d.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (F.col("id") % 5 + 1).cast("int")))
+    return P.family_wrap(d, "dialogue", "family", "Classify: ").select("id", "family", "prompt", "remove_suffix")
+
+
+@register("template_task", with_fixtures("dialogues") + f"SELECT id, {_test_question()} AS test_question FROM dialogues")
+def q_template_task(spark, sf_dir):
+    return FX.dialogues(spark, sf_dir).select("id", _spark_test_question().alias("test_question"))
+
+
+@register("example_block", with_fixtures("dialogues", extra=_PICK_SQL) +
+          "SELECT string_agg(question || response, '' ORDER BY k) AS examples FROM ex")
+def q_example_block(spark, sf_dir):
+    return P.example_block(_examples(spark, sf_dir), with_response=True)
+
+
+_PREFIX_START = "Summarise each dialogue. "
+_PREFIX_TRANSITION = "\n\nNow the dialogue to summarise."
+
+
+@register("fewshot_prefix", with_fixtures("dialogues", extra=_PICK_SQL) +
+          f"SELECT {sq(_PREFIX_START)} || string_agg(question || response, '' ORDER BY k) || {sq(_PREFIX_TRANSITION)} "
+          "AS prefix FROM ex WHERE k <= 2")
+def q_fewshot_prefix(spark, sf_dir):
+    ex = _examples(spark, sf_dir).select("k", F.concat("question", "response").alias("shot"))
+    return P.fewshot_prefix(ex, 2, _PREFIX_START, _PREFIX_TRANSITION)
+
+
+@register("attach_examples", with_fixtures("dialogues", extra=_PICK_SQL + f""",
+pre AS (SELECT {sq(_PREFIX_START)} || string_agg(question || response, '' ORDER BY k) || {sq(_PREFIX_TRANSITION)}
+        AS prefix FROM ex WHERE k <= 2)""") + f"SELECT id, (SELECT prefix FROM pre) || {_test_question()} AS prompt FROM dialogues")
+def q_attach_examples(spark, sf_dir):
+    ex = _examples(spark, sf_dir).select("k", F.concat("question", "response").alias("shot"))
+    pre = P.fewshot_prefix(ex, 2, _PREFIX_START, _PREFIX_TRANSITION)
+    d = P.attach_scalar(FX.dialogues(spark, sf_dir), pre, "prefix")
+    return d.select("id", F.concat("prefix", _spark_test_question()).alias("prompt"))
+
+
+def _chat_sql(shots: int) -> str:
+    """Long-form (id, pos, role, content) of the few-shot chat for every dialogue."""
+    rows = []
+    for k in range(1, shots + 1):
+        q = f"(SELECT {sq(SYSTEM) + ' || ' if k == 1 else ''}question FROM ex WHERE k = {k})"
+        rows.append(f"SELECT id, {2 * (k - 1)} AS pos, 'user' AS role, {q} AS content FROM dialogues")
+        rows.append(f"SELECT id, {2 * k - 1}, 'assistant', (SELECT response FROM ex WHERE k = {k}) FROM dialogues")
+    rows.append(f"SELECT id, {2 * shots}, 'user', {sq(TRANSACTION)} || {_test_question()} FROM dialogues")
+    return " UNION ALL ".join(rows)
+
+
+def _chat(spark, sf_dir, shots):
+    d = FX.dialogues(spark, sf_dir)
+    return P.fewshot_chat(d, _spark_test_question(), _examples(spark, sf_dir), shots, SYSTEM, TRANSACTION)
+
+
+@register("fewshot_chat", with_fixtures("dialogues", extra=_PICK_SQL) + _chat_sql(2))
+def q_fewshot_chat(spark, sf_dir):
+    return H.to_long(_chat(spark, sf_dir, 2), "id")
+
+
+@register("flat_fewshot", with_fixtures("dialogues", extra=_PICK_SQL) +
+          f"SELECT id, {sq(SYSTEM)} || (SELECT string_agg(question || response, '' ORDER BY k) FROM ex WHERE k <= 2) "
+          f"|| {sq(TRANSACTION)} || {_test_question()} AS prompt FROM dialogues")
+def q_flat_fewshot(spark, sf_dir):
+    block = P.example_block(_examples(spark, sf_dir).where(F.col("k") <= 2), with_response=True)
+    d = P.attach_scalar(FX.dialogues(spark, sf_dir), block, "examples")
+    return d.select("id", P.flat_fewshot(SYSTEM, F.col("examples"), TRANSACTION, _spark_test_question()).alias("prompt"))
+
+
+def _render_sql(shots: int, gen: bool = True) -> str:
+    pre = {r: b for r, b, _a in P.CHATML["turn"]}
+    post = {r: a for r, _b, a in P.CHATML["turn"]}
+    case_pre = "CASE role " + " ".join(f"WHEN '{r}' THEN {sq(b)}" for r, b in pre.items()) + " ELSE '' END"
+    case_post = "CASE role " + " ".join(f"WHEN '{r}' THEN {sq(a)}" for r, a in post.items()) + " ELSE '' END"
+    g = f" || {sq(P.CHATML['generation'])}" if gen else ""
+    return (f", chat AS ({_chat_sql(shots)}) "
+            f"SELECT id, string_agg({case_pre} || content || {case_post}, '' ORDER BY pos){g} AS text FROM chat GROUP BY id")
+
+
+@register("render_chat", with_fixtures("dialogues", extra=_PICK_SQL) + _render_sql(1))
+def q_render_chat(spark, sf_dir):
+    return _chat(spark, sf_dir, 1).select("id", P.render_chat("messages").alias("text"))
+
+
+def _rewrite_sql(expr: str) -> str:
+    for a, b in P.ROLE_REWRITES:
+        expr = f"replace({expr}, {sq(a)}, {sq(b)})"
+    return expr
+
+
+def _rewrite_roles_sql() -> str:
+    pre = "CASE role " + " ".join(f"WHEN '{r}' THEN {sq(b)}" for r, b, _a in P.CHATML["turn"]) + " ELSE '' END"
+    post = "CASE role " + " ".join(f"WHEN '{r}' THEN {sq(a)}" for r, _b, a in P.CHATML["turn"]) + " ELSE '' END"
+    rendered = f"string_agg({pre} || content || {post}, '' ORDER BY pos) || {sq(P.CHATML['generation'])}"
+    return (with_fixtures("dialogues", extra=_PICK_SQL + ", chat AS (" + _chat_sql(1) + ")")
+            + f"SELECT id, {_rewrite_sql(rendered)} AS text FROM chat GROUP BY id")
+
+
+@register("rewrite_roles", _rewrite_roles_sql())
+def q_rewrite_roles(spark, sf_dir):
+    return _chat(spark, sf_dir, 1).select("id", P.rewrite_roles(P.render_chat("messages")).alias("text"))
+
+
+_INS_START, _INS_END, _INS_SUFFIX = "### Summarize: ", "### Begin summary:", "</s>"
+
+
+@register("instruction_text", with_fixtures("dialogues") +
+          f"SELECT id, {sq(_INS_START)} || dialogue || {sq(_INS_END)} || section_text || {sq(_INS_SUFFIX)} AS text FROM dialogues")
+def q_instruction_text(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    return d.select("id", P.instruction_text("dialogue", "section_text", _INS_START, _INS_END, _INS_SUFFIX).alias("text"))
+
+
+@register("instruction_chat", with_fixtures("dialogues") + f"""
+SELECT id, {sq(P.CHATML['turn'][1][1])} || {sq(SYSTEM)} || {sq(TRANSACTION)} || {_test_question()} || {sq(P.CHATML['turn'][1][2])}
+        || {sq(P.CHATML['turn'][2][1])} || section_text || {sq(P.CHATML['turn'][2][2])} AS text FROM dialogues""")
+def q_instruction_chat(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    chat = P.instruction_chat(F.concat(F.lit(SYSTEM), F.lit(TRANSACTION), _spark_test_question()), "section_text")
+    return d.select("id", P.render_chat(chat, add_generation_prompt=False).alias("text"))
+
+
+_WS_SQL = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _ws_tokens_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{_WS_SQL}'), lambda w: w <> '')"
+
+
+_TRUNC_END = " [/INST]"
+
+
+@register("truncate_keep_tail", with_fixtures("dialogues") + f"""
+SELECT id, CASE WHEN len({_ws_tokens_sql("'Summarize: ' || dialogue || " + sq(_TRUNC_END))}) > 64
+                THEN array_to_string({_ws_tokens_sql("'Summarize: ' || dialogue || " + sq(_TRUNC_END))}[1:64 - 1 - 1], ' ') || {sq(_TRUNC_END)}
+                ELSE 'Summarize: ' || dialogue || {sq(_TRUNC_END)} END AS prompt FROM dialogues""")
+def q_truncate_keep_tail(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    return d.select("id", P.truncate_keep_tail(F.concat(F.lit("Summarize: "), "dialogue"), _TRUNC_END, 64).alias("prompt"))
+
+
+@register("pretokenize", with_fixtures("dialogues") + f"""
+SELECT id, CAST(len({_ws_tokens_sql('dialogue')}[1:32]) AS INTEGER) AS n_tokens,
+       array_to_string({_ws_tokens_sql('dialogue')}[1:32], ' ') AS head FROM dialogues""")
+def q_pretokenize(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir).select("id", P.pretokenize("dialogue", 32).alias("t"))
+    return d.select("id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("head"))
+
+
+@register("strip_prompt", with_fixtures("dialogues") + "SELECT id, section_text AS output FROM dialogues")
+def q_strip_prompt(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    prompt = P.wrap_prompt("dialogue", SUM_START, SUM_END)
+    full = d.select("id", prompt.alias("prompt"), F.concat(prompt, "section_text").alias("full"))
+    return full.select("id", T.strip_prompt("full", "prompt").alias("output"))
+
+
+_PAIR_COLS = ("name", "segment")
+
+
+def _serialize_sql() -> str:
+    blocks = [f"'LEFT {c}: ' || coalesce(left_{c}, 'NA') || chr(10) || 'RIGHT {c}: ' || coalesce(right_{c}, 'NA')"
+              for c in _PAIR_COLS]
+    return (" || chr(10) || chr(10) || ").join(blocks)
+
+
+@register("serialize_pair", with_fixtures("record_pairs") + f"SELECT id, {_serialize_sql()} AS prompt FROM record_pairs")
+def q_serialize_pair(spark, sf_dir):
+    df = FX.record_pairs(spark, sf_dir)
+    return df.select("id", P.serialize_pair(df, _PAIR_COLS).alias("prompt"))
+
+
+_DATASETS = [k for k, _ in P.EM_SYSTEM]
+
+
+@register("literal_column", with_fixtures("record_pairs") + f"""
+SELECT id, dataset, CASE dataset {' '.join(f'WHEN {sq(k)} THEN {sq(v)}' for k, v in P.EM_SYSTEM)} END AS system_message
+FROM (SELECT id, {str(_DATASETS).replace('"', "'")}[(id % 2) + 1] AS dataset FROM record_pairs) r""")
+def q_literal_column(spark, sf_dir):
+    df = FX.record_pairs(spark, sf_dir).select(
+        "id", F.element_at(F.array(*[F.lit(k) for k in _DATASETS]), (F.col("id") % 2 + 1).cast("int")).alias("dataset"))
+    return P.literal_column(df, "dataset", P.EM_SYSTEM, "system_message")
+
+
+_EM_SYS = dict(P.EM_SYSTEM)["entity_match"]
+_EM_TRANS = dict(P.EM_TRANSACTION)["entity_match"]
+
+
+def _em_examples(spark, sf_dir):
+    rp = FX.record_pairs(spark, sf_dir)
+    picked = R.pick_positions(rp, "id", (0, 1, 2))
+    return picked.select("k", F.concat(F.lit("\n"), P.serialize_pair(picked, _PAIR_COLS), F.lit("\n")).alias("question"),
+                         F.col("overall_label").alias("response"))
+
+
+@register("fewshot_chat_merged", with_fixtures("record_pairs") + f""",
+picked AS (SELECT *, rn + 1 AS k FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rn FROM record_pairs) x WHERE rn < 3),
+ex AS (SELECT k, chr(10) || {_serialize_sql()} || chr(10) AS question, overall_label AS response FROM picked)
+SELECT id, 0 AS pos, 'user' AS role, {sq(_EM_SYS)} || (SELECT question FROM ex WHERE k = 1) AS content FROM record_pairs
+UNION ALL SELECT id, 1, 'assistant', (SELECT response FROM ex WHERE k = 1) FROM record_pairs
+UNION ALL SELECT id, 2, 'user', (SELECT question FROM ex WHERE k = 2) FROM record_pairs
+UNION ALL SELECT id, 3, 'assistant', (SELECT response FROM ex WHERE k = 2) FROM record_pairs
+UNION ALL SELECT id, 4, 'user', {_serialize_sql()} || {sq(_EM_TRANS)} FROM record_pairs""")
+def q_fewshot_chat_merged(spark, sf_dir):
+    df = FX.record_pairs(spark, sf_dir)
+    out = P.fewshot_chat_merged(df, P.serialize_pair(df, _PAIR_COLS), _em_examples(spark, sf_dir), 2, _EM_SYS, _EM_TRANS)
+    return H.to_long(out, "id")
+
+
+_EXPORT_SYS = "You match records."
+
+
+@register("export_chat_jsonl", with_fixtures("record_pairs") + f"""
+SELECT id, to_json({{'messages': [{{'role': 'system', 'content': {sq(_EXPORT_SYS)}}},
+                                  {{'role': 'user', 'content': {_serialize_sql()}}},
+                                  {{'role': 'assistant', 'content': overall_label}}]}}) AS line FROM record_pairs""")
+def q_export_chat_jsonl(spark, sf_dir):
+    df = FX.record_pairs(spark, sf_dir)
+    return df.select("id", chat_jsonl_column(P.serialize_pair(df, _PAIR_COLS), F.col("overall_label"), _EXPORT_SYS).alias("line"))

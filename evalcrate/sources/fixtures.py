@@ -141,3 +141,30 @@ def nested_qa_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     qa = F.struct(ann_id.alias("question_id"), F.array(a0, a1).alias("answers"))
     paper = F.struct(F.array(qa).alias("qas"))
     return c.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), paper)).alias("value"))
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, dialogue, section_header, section_text): a user turn and the reply that follows."""
+    from evalcrate.operators.chat import pair_turns
+    c = read_table(spark, sf_dir, "conversations")
+    p = pair_turns(c, even_only=False).where(F.col("role") == "user")
+    return p.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("dialogue"),
+                    F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("section_header"),
+                    F.col("next_text").alias("section_text"))
+
+
+def mc_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, question, target): multiple-choice questions built from parts, with
+    answers naming a key, a padded key, an exact value, a key mention, a value
+    mention, or nothing."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    q = F.concat(F.lit("Which description fits "), F.col("p_name"), F.lit("? {A: "), F.col("p_brand"),
+                 F.lit(", B: "), F.col("p_type"), F.lit(", C: size "), F.col("p_size").cast("string"),
+                 F.lit(", D: "), F.col("p_name"), F.lit("}"))
+    m = k % 6
+    tgt = (F.when(m == 0, F.lit("A")).when(m == 1, F.lit(" B ")).when(m == 2, F.col("p_type"))
+           .when(m == 3, F.lit("I think C) is right"))
+           .when(m == 4, F.concat(F.lit("maybe "), F.col("p_name"), F.lit(" or so")))
+           .otherwise(F.lit("none of these")))
+    return p.select(k.alias("id"), q.alias("question"), tgt.alias("target"))
