@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalcrate.functions.util import let
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -40,19 +42,22 @@ def bag_overlap(a, b) -> Column:
             F.struct(x["t"].alias("t"), x["s"].alias("p"), (1 - x["s"]).alias("r"),
                      (acc["tot"] + F.least(acc["p"], acc["r"])).alias("tot")))
 
-    return F.aggregate(F.array_sort(tagged), init, step,
+    return F.aggregate(F.sort_array(tagged), init, step,
                        lambda acc: acc["tot"] + F.least(acc["p"], acc["r"]))
 
 
 def ngrams(tokens, n: int) -> Column:
     """Contiguous n-grams joined by a single space (tokens never hold spaces)."""
-    t = _c(tokens)
     if n == 1:
-        return t
-    k = F.size(t) - n
-    return F.when(k >= 0, F.transform(F.sequence(F.lit(0), k),
-                                      lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+        return _c(tokens)
+
+    def grams(t):
+        k = F.size(t) - n
+        return F.when(k >= 0, F.transform(F.sequence(F.lit(0), k),
+                                          lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    return grams(_c(tokens)) if isinstance(tokens, str) else let(_c(tokens), grams)
 
 
 def f1_from_overlap(overlap, n_pred, n_ref) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalcrate.functions.util import let
+
 # The options tail pattern and the characters that may follow
 # an option key when the answer names it ("A)", "A:", "A.", "A,", "A ").
 OPTIONS_TAIL = r"\{(.+?)\}$"
@@ -37,13 +39,15 @@ def parse_options(question) -> Column:
         return F.struct(F.when(ok, F.element_at(parts, 1)).otherwise(err).alias("key"),
                         F.when(ok, F.element_at(parts, 2)).otherwise(err).alias("value"))
 
-    pairs = F.transform(items, to_pair)
-    tagged = F.transform(pairs, lambda p, i: F.struct(
-        p["key"].alias("key"),
-        F.element_at(F.filter(pairs, lambda q: q["key"] == p["key"]), -1)["value"].alias("value"),
-        i.alias("i")))
-    firsts = F.filter(tagged, lambda x: ~F.exists(F.slice(pairs, 1, x["i"]), lambda q: q["key"] == x["key"]))
-    return F.transform(firsts, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    def dedupe(pairs):
+        tagged = F.transform(pairs, lambda p, i: F.struct(
+            p["key"].alias("key"),
+            F.element_at(F.filter(pairs, lambda q: q["key"] == p["key"]), -1)["value"].alias("value"),
+            i.alias("i")))
+        firsts = F.filter(tagged, lambda x: ~F.exists(F.slice(pairs, 1, x["i"]), lambda q: q["key"] == x["key"]))
+        return F.transform(firsts, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+
+    return let(F.transform(items, to_pair), dedupe)
 
 
 def _quote(lit_text: Column) -> Column:
@@ -55,16 +59,19 @@ def match_positions(target, pattern) -> Column:
     """0-based start offsets of the non-overlapping matches of ``pattern``
     (a Java regex column) in ``target``, like ``[m.start() for m in re.finditer]``."""
     t, p = _c(target), _c(pattern)
-    matches = F.regexp_extract_all(t, p, 0)
-    pieces = F.split(t, p)
-    n = F.size(matches)
 
-    def offset(i):
-        before = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        prev = F.aggregate(F.slice(matches, 1, i - 1), F.lit(0), lambda a, x: a + F.length(x))
-        return before + prev
+    def positions(mp):
+        matches, pieces = mp["m"], mp["p"]
+        n = F.size(matches)
+
+        def offset(i):
+            before = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x))
+            prev = F.aggregate(F.slice(matches, 1, i - 1), F.lit(0), lambda a, x: a + F.length(x))
+            return before + prev
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), offset)).otherwise(F.array().cast("array<int>"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), offset)).otherwise(F.array().cast("array<int>"))
+
+    return let(F.struct(F.regexp_extract_all(t, p, 0).alias("m"), F.split(t, p).alias("p")), positions)
 
 
 def literal_positions(target, text) -> Column:
@@ -95,9 +102,13 @@ def infer_option(question, target) -> Column:
     """Exact key; exact (stripped) value; earliest key mention; earliest value
     mention; else NULL.  Questions without options give NULL."""
     from evalcrate.functions.text import py_strip
-    opts = parse_options(question)
-    tgt = py_strip(target)
-    exact_key = F.when(F.exists(opts, lambda o: o["key"] == tgt), tgt)
-    exact_val = F.try_element_at(F.filter(opts, lambda o: py_strip(o["value"]) == tgt), F.lit(1))["key"]
-    return F.when(F.size(opts) > 0, F.coalesce(exact_key, exact_val, first_match(target, opts, False),
-                                               first_match(target, opts, True)))
+
+    def pick(x):
+        opts, tgt, raw = x["opts"], x["tgt"], x["raw"]
+        exact_key = F.when(F.exists(opts, lambda o: o["key"] == tgt), tgt)
+        exact_val = F.try_element_at(F.filter(opts, lambda o: py_strip(o["value"]) == tgt), F.lit(1))["key"]
+        return F.when(F.size(opts) > 0, F.coalesce(exact_key, exact_val, first_match(raw, opts, False),
+                                                   first_match(raw, opts, True)))
+
+    return let(F.struct(parse_options(question).alias("opts"), py_strip(target).alias("tgt"),
+                        _c(target).alias("raw")), pick)

@@ -14,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalcrate.functions.util import let
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the evaluated scripts' definitions)
 # ---------------------------------------------------------------------------
@@ -90,13 +92,14 @@ def normalize_answer(c) -> Column:
 
 def resolve_binary(c, positive: str, negative: str) -> Column:
     """1 / 0 / -1 from the first positive/negative token, else first yes/no."""
-    toks = answer_tokens(c)
-    first_pn = F.try_element_at(F.filter(toks, lambda t: t.isin(positive, negative)), F.lit(1))
-    first_yn = F.try_element_at(F.filter(toks, lambda t: t.isin("yes", "no")), F.lit(1))
-    mapped = F.when(first_yn == "yes", F.lit(positive)).when(first_yn == "no", F.lit(negative))
-    resp = F.coalesce(first_pn, mapped)
-    return (F.when(resp == positive, F.lit(1)).when(resp == negative, F.lit(0))
-            .otherwise(F.lit(-1)))
+    def pick(toks):
+        first_pn = F.try_element_at(F.filter(toks, lambda t: t.isin(positive, negative)), F.lit(1))
+        first_yn = F.try_element_at(F.filter(toks, lambda t: t.isin("yes", "no")), F.lit(1))
+        mapped = F.when(first_yn == "yes", F.lit(positive)).when(first_yn == "no", F.lit(negative))
+        resp = F.coalesce(first_pn, mapped)
+        return F.when(resp == positive, F.lit(1)).when(resp == negative, F.lit(0)).otherwise(F.lit(-1))
+
+    return let(answer_tokens(c), pick)
 
 
 def format_class(cleaned, resolved, positive: str, negative: str) -> Column:

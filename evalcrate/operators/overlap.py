@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
 from evalcrate.functions.bags import bag_overlap, f1_from_overlap, ngrams
+from evalcrate.operators.parallel import spread
 
 # ---------------------------------------------------------------------------
 # BLEU "13a" tokenizer (public sacreBLEU/mteval-v13a rules).
@@ -77,7 +78,7 @@ def token_overlap_intersect_all(a: DataFrame, b: DataFrame, id_col: str, token_c
 def pair_token_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref") -> DataFrame:
     """Per pair: SQuAD tokens, overlap, exact match, F1 (agree / zero empty policies)."""
     p, r = T.answer_tokens(pred_col), T.answer_tokens(ref_col)
-    s = df.select("*", p.alias("_pt"), r.alias("_rt"))
+    s = spread(df).select("*", p.alias("_pt"), r.alias("_rt"))
     s = s.select("*", bag_overlap("_pt", "_rt").alias("same"), F.size("_pt").alias("n_pred"),
                  F.size("_rt").alias("n_ref"))
     f1 = f1_from_overlap("same", "n_pred", "n_ref")
@@ -110,7 +111,7 @@ def token_f1(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", empty_
 def rouge_n_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
                    orders: Sequence[int] = (1, 2)) -> DataFrame:
     """Per pair ROUGE-n precision/recall/F1 for each order."""
-    s = df.select("*", rouge_tokens(pred_col).alias("_pt"), rouge_tokens(ref_col).alias("_rt"))
+    s = spread(df).select("*", rouge_tokens(pred_col).alias("_pt"), rouge_tokens(ref_col).alias("_rt"))
     cols = []
     for n in orders:
         pg, rg = ngrams("_pt", n), ngrams("_rt", n)
@@ -144,7 +145,7 @@ def corpus_bleu(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", tok
     geometric mean and brevity penalty.
     """
     tok = TOKENIZERS[tokenizer]
-    s = df.select(*group_cols, tok(pred_col).alias("_pt"), tok(ref_col).alias("_rt"))
+    s = spread(df).select(*group_cols, tok(pred_col).alias("_pt"), tok(ref_col).alias("_rt"))
     per = [F.size("_pt").alias("tl"), F.size("_rt").alias("rl")]
     for n in range(1, max_order + 1):
         per += [bag_overlap(ngrams("_pt", n), ngrams("_rt", n)).alias(f"m{n}"),

@@ -1,0 +1,20 @@
+"""Parallelism guard for CPU-heavy per-row text work.
+
+A large table arrives in many file splits and needs nothing.  A small one
+(a single file with a single row group) scans as one task, so a heavy
+projection over it would use one core.  :func:`spread` round-robins such an
+input over the default parallelism; it never fires once the input already
+has at least that many partitions, so it adds no shuffle at scale.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

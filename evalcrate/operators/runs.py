@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evalcrate.functions import text as T
 from evalcrate.functions.bags import bag_overlap, f1_from_overlap, ngrams
 from evalcrate.operators.overlap import TOKENIZERS, rouge_tokens
+from evalcrate.operators.parallel import spread
 
 
 def run_matrix(df: DataFrame, run_cols: Sequence[str], pred_col: str = "pred", gold_col: str = "gold") -> DataFrame:
@@ -44,7 +45,7 @@ def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
     """The requested metrics in one scan and one aggregate; switched-off
     metrics are NULL columns (so the schema is stable)."""
     per, aggs = [], [F.count(F.lit(1)).alias("n")]
-    base = df
+    base = spread(df)
     if rouge:
         base = base.withColumn("_rp", rouge_tokens(pred_col)).withColumn("_rr", rouge_tokens(ref_col))
         for n in (1, 2):

@@ -9,6 +9,7 @@ from evalcrate.functions.bags import bag_overlap
 from evalcrate.operators import overlap as O
 from evalcrate.plans import duck as D
 from evalcrate.plans.fixture_sql import with_fixtures
+from evalcrate.operators.parallel import spread
 from evalcrate.plans.registry import register, rounded
 from evalcrate.sources import fixtures as FX
 from evalcrate.sources.readers import read_table
@@ -20,13 +21,13 @@ s AS (SELECT id, pt, rt, len(pt) AS np, len(rt) AS nr, {D.bag_overlap('pt', 'rt'
 
 @register("normalize_answer", f"SELECT doc_id, {D.normalize('text')} AS norm FROM documents")
 def q_normalize_answer(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return docs.select("doc_id", T.normalize_answer("text").alias("norm"))
 
 
 @register("get_tokens", f"SELECT doc_id, CAST(len({D.tokens('text')}) AS INTEGER) AS n_tokens FROM documents")
 def q_get_tokens(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.size(T.answer_tokens("text")).alias("n_tokens"))
 
 

@@ -8,6 +8,7 @@ from evalcrate.operators import accounting as A
 from evalcrate.operators import prompts as P
 from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.q_prompts import POSITIONS, _PICK_SQL, _examples, sq
+from evalcrate.operators.parallel import spread
 from evalcrate.plans.registry import register
 from evalcrate.sources import fixtures as FX
 from evalcrate.sources.readers import read_table
@@ -44,7 +45,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_requests,
                 + 3 + {tok("'system'")} + {tok(sq(SYS))}) AS BIGINT) AS total_tokens
 FROM documents""")
 def q_tokens_single_turn(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return A.run_total(A.tokens_single_turn(docs, "text", MODEL, SYS, START, END))
 
 
