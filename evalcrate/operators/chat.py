@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalcrate.operators.positions import segmented_running_sum
 from evalcrate.operators.prompts import msg
 
 MSG_ARRAY = "array<struct<role:string,content:string>>"
@@ -39,15 +40,14 @@ def merge_adjacent_roles_long(conv: DataFrame, conv_col: str = "conv_id", turn_c
     """W3 (long form): gaps-and-islands — a new island starts where the role
     changes; texts of one island are concatenated in turn order.
 
-    Island starts are found with the skew-safe neighbour join; the island id
-    is the running count of starts (a per-conversation window over one
-    narrow column)."""
+    Island starts are found with the skew-safe neighbour join; the island
+    number is a blocked running count of starts (no window group holds a
+    whole conversation), and each island's texts are joined in turn order."""
     prev = conv.select(F.col(conv_col).alias("_c"), (F.col(turn_col) + 1).alias("_t"), F.col(role_col).alias("_prev"))
     flagged = conv.join(prev, (conv[conv_col] == prev["_c"]) & (conv[turn_col] == prev["_t"]), "left")
     start = (flagged["_prev"].isNull() | (flagged["_prev"] != flagged[role_col])).cast("int")
-    w = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
-    isl = flagged.select(conv[conv_col], conv[turn_col], conv[role_col], conv[text_col],
-                         F.sum(start).over(w).alias("_island"))
+    base = flagged.select(conv[conv_col], conv[turn_col], conv[role_col], conv[text_col], start.alias("_start"))
+    isl = segmented_running_sum(base, conv_col, turn_col, "_start", "_island")
     out = isl.groupBy(conv_col, "_island").agg(
         F.min(turn_col).alias(turn_col), F.first(role_col).alias(role_col),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn_col, text_col))),

@@ -31,3 +31,24 @@ def row_position(df: DataFrame, order_col: str | list[str], out_col: str = "pos"
     return (s.join(F.broadcast(offsets), "_pid")
             .withColumn(out_col, F.col("_off") + F.col("_local"))
             .drop("_pid", "_local", "_off"))
+
+
+def segmented_running_sum(df: DataFrame, key_col: str, order_col: str, value_col: str, out_col: str,
+                          block: int = 1024) -> DataFrame:
+    """Running sum of ``value_col`` within each ``key_col`` group in ``order_col``
+    order (an integer column), safe for a key that holds a large share of rows.
+
+    The order range is cut into blocks of ``block`` values: a window sums inside
+    each (key, block) — at most ``block`` rows per window group — and a carry per
+    block comes from a window over the per-block totals (one row per block).
+    No window group ever holds a whole hot key."""
+    blk = F.floor(F.col(order_col) / F.lit(block)).cast("long")
+    d = df.withColumn("_blk", blk)
+    totals = d.groupBy(key_col, "_blk").agg(F.sum(value_col).alias("_bt"))
+    wc = Window.partitionBy(key_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(key_col, "_blk", F.coalesce(F.sum("_bt").over(wc), F.lit(0)).alias("_carry"))
+    wl = Window.partitionBy(key_col, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("_local", F.sum(value_col).over(wl))
+    return (local.join(carry, [key_col, "_blk"])
+            .withColumn(out_col, F.col("_carry") + F.col("_local"))
+            .drop("_blk", "_carry", "_local"))

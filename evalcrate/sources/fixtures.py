@@ -7,7 +7,7 @@ would bring (model outputs joined to labels).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalcrate.sources.readers import read_table
@@ -15,9 +15,9 @@ from evalcrate.sources.readers import read_table
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, pred, ref): consecutive conversation turns as prediction/reference."""
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    q = (c.withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-         .where(F.col("nxt").isNotNull()))
+    from evalcrate.operators.chat import pair_turns
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    q = pair_turns(c, even_only=False).withColumnRenamed("next_text", "nxt")  # skew-safe neighbour join
     m = F.col("conv_id") % 10
     pred = (F.when(m == 0, F.concat(F.lit("The "), F.col("nxt"), F.lit("!")))
             .when(m == 1, F.lit("the.")).when(m == 2, F.lit("An")).otherwise(F.col("text")))

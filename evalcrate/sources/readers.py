@@ -48,7 +48,7 @@ def scan_json_splits(spark: SparkSession, files: Mapping[str, str | list[str]],
 
 
 # slices up to this many rows use the top-k path; longer ones are numbered
-HEAD_LIMIT = 100_000
+HEAD_LIMIT = 10_000
 
 _SLICE = re.compile(r"^(?P<name>\w+)(\[(?P<a>-?\d*)(?P<colon>:?)(?P<b>-?\d*)\])?$")
 
@@ -103,7 +103,7 @@ def head_limit(df: DataFrame, order_col: str, max_samples: int | None) -> DataFr
     """First ``max_samples`` rows by ``order_col``; None/0 = all (clamped)."""
     if not max_samples:
         return df
-    return df.orderBy(order_col).limit(int(max_samples))
+    return split_slice(df, order_col, 0, int(max_samples))
 
 
 def pick_positions(df: DataFrame, order_col: str, positions: Iterable[int], pos_col: str = "pos",
@@ -112,7 +112,7 @@ def pick_positions(df: DataFrame, order_col: str, positions: Iterable[int], pos_
     order given).  Only those few rows survive, so the result is safe to broadcast."""
     positions = list(positions)
     rank = F.array_position(F.array(*[F.lit(p) for p in positions]), F.col(pos_col))
-    if max(positions) < 10_000:
+    if max(positions) < HEAD_LIMIT:
         # bounded head: only the first max(pos)+1 rows are ever sorted/merged
         base = df.orderBy(order_col).limit(max(positions) + 1)
         from pyspark.sql import Window

@@ -54,3 +54,22 @@ def test_family_wrap_unknown_fails(spark):
     df = spark.createDataFrame([(1, "x", "nope")], "id int, t string, fam string")
     with pytest.raises(Exception, match="unknown model family"):
         P.family_wrap(df, "t", "fam").collect()
+
+
+def test_segmented_running_sum_matches_window(spark):
+    from evalcrate.operators.positions import segmented_running_sum
+    rows = [(k, t, (k * 7 + t * 3) % 2) for k in range(3) for t in range(0, 40 if k == 0 else 7)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    got = segmented_running_sum(df, "k", "t", "v", "rs", block=3)
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("ws", F.sum("v").over(w))
+    j = got.join(want, ["k", "t"])
+    assert j.count() == len(rows) and j.where(F.col("rs") != F.col("ws")).count() == 0
+
+
+def test_merge_adjacent_roles_long(spark):
+    from evalcrate.operators.chat import merge_adjacent_roles_long
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "user", "d"), (2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in merge_adjacent_roles_long(df).collect())
+    assert got == [(1, 0, "user", "ab"), (1, 1, "assistant", "c"), (1, 2, "user", "d"), (2, 0, "user", "x")]
