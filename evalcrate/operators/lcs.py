@@ -4,9 +4,9 @@ LCS has no relational form, so it runs in an Arrow-batched pandas UDF, one
 call per batch of pairs; the token arrays are produced JVM-side first.
 ROUGE-L uses the bit-parallel LCS length (Allison-Dix / Hyyrö): one pass over
 the prediction with word-size big-integer operations over the reference, i.e.
-O(n * m / 64) machine operations per pair.  ROUGE-Lsum needs the aligned
-positions (union LCS over sentences), so it keeps the classic table per
-sentence pair.
+O(n * m / 64) machine operations per pair.  ROUGE-Lsum needs aligned
+positions (union LCS over sentences); they are backtracked from the same bit
+vectors, so no quadratic table is built.
 """
 
 from __future__ import annotations
@@ -51,7 +51,45 @@ def _score(hits: int, n_pred: int, n_ref: int) -> tuple[float, float, float]:
 
 
 def _lcs_positions(ref, can) -> list[int]:
-    """Indices into ``ref`` of one LCS (table + backtrack preferring to move in ``can``)."""
+    """Indices into ``ref`` of one LCS, chosen by the classic backtrack (match,
+    else step left in ``can`` when that keeps a longer LCS, else step up).
+
+    The table is never materialised: row ``i`` is the bit vector ``V_i`` of the
+    bit-parallel LCS over ``can`` and ``T[i][j] = j - popcount(V_i & (2^j - 1))``,
+    so the fill costs O(n * m / 64) and each backtrack step one popcount."""
+    n, m = len(ref), len(can)
+    if n == 0 or m == 0:
+        return []
+    masks: dict = {}
+    for j, t in enumerate(can):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    full = (1 << m) - 1
+    rows = [full]
+    v = full
+    for t in ref:
+        u = v & masks.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+
+    def cell(i, j):
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
+    i, j, out = n, m, []
+    while i > 0 and j > 0:
+        if ref[i - 1] == can[j - 1]:
+            out.append(i - 1)
+            i -= 1
+            j -= 1
+        elif cell(i, j - 1) > cell(i - 1, j):
+            j -= 1
+        else:
+            i -= 1
+    out.reverse()
+    return out
+
+
+def _lcs_positions_table(ref, can) -> list[int]:
+    """Reference form of :func:`_lcs_positions` with the full table (tests)."""
     n, m = len(ref), len(can)
     t = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):

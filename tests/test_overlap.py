@@ -96,3 +96,12 @@ def test_rouge_l_udf(pairs):
         else:
             pr, rc = lcs / len(pt), lcs / len(gt)
             assert r.rougeL.fmeasure == pytest.approx(2 * pr * rc / (pr + rc))
+
+
+def test_lcs_positions_bitvector_equals_table():
+    from evalcrate.operators.lcs import _lcs_positions, _lcs_positions_table
+    rnd = random.Random(9)
+    for _ in range(400):
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
+        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 25))]
+        assert _lcs_positions(a, b) == _lcs_positions_table(a, b)
