@@ -15,7 +15,7 @@ from evalcrate.operators.overlap import rouge_n_scores
 from evalcrate.plans import duck as D
 from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.q_classify import em_scored
-from evalcrate.plans.q_overlap import _ROUGE_SQL
+from evalcrate.plans.q_overlap import _ROUGE_SQL  # noqa: F401  (also registers the overlap oracles)
 from evalcrate.plans.registry import register, rounded
 from evalcrate.sinks.writers import metrics_record
 from evalcrate.sources import fixtures as FX
@@ -52,7 +52,15 @@ def q_metric_switches(spark, sf_dir):
     return rounded(RU.summary_metrics(FX.text_pairs(spark, sf_dir), rouge=True, bleu=False, f1=True, exact=False))
 
 
-@register("summary_metrics_all")  # all switches on; same values as rouge_n / corpus_bleu / token_f1_strict / exact_match
+def _summary_all_sql() -> str:
+    from evalcrate.plans.registry import ORACLE
+    parts = {"n": "rouge_n", "rouge1": "rouge_n", "rouge2": "rouge_n", "bleu": "corpus_bleu",
+             "token_f1": "token_f1_strict", "exact_match": "exact_match"}
+    cols = [f"(SELECT {c} FROM ({ORACLE[k]}) x) AS {c}" for c, k in parts.items()]
+    return "SELECT " + ",\n       ".join(cols)
+
+
+@register("summary_metrics_all", _summary_all_sql())  # one pass; oracle = the single-metric oracles
 def q_summary_metrics_all(spark, sf_dir):
     return rounded(RU.summary_metrics(FX.text_pairs(spark, sf_dir)))
 
@@ -130,7 +138,18 @@ def q_align_predictions(spark, sf_dir):
     return S.align_predictions(inputs, FX.class3(spark, sf_dir), "id").select("id", "o_orderstatus", "gold", "pred")
 
 
-@register("write_metrics")  # JSON record of metrics merged with run config: rows-only
+def _write_metrics_sql() -> str:
+    from evalcrate.plans.q_classify import q_em_confusion  # noqa: F401  (registers em_confusion first)
+    from evalcrate.plans.registry import ORACLE
+    inner = ORACLE["em_confusion"]
+    head, _, select = inner.rpartition("SELECT n, tp")
+    return (head.rstrip() + ",\nm AS (SELECT n, tp" + select + ")\n"
+            "SELECT to_json({'model': 'parity-stub', 'shots': 0, 'n': n, 'tp': tp, 'fp': fp, 'fn': fn, 'tn': tn, "
+            "'unresolved': unresolved, 'accuracy': accuracy, 'precision': precision, 'recall': recall, 'f1': f1}) "
+            "AS value FROM m")
+
+
+@register("write_metrics", _write_metrics_sql())
 def q_write_metrics(spark, sf_dir):
     m = em_confusion(em_scored(spark, sf_dir))
     return metrics_record(rounded(m), {"model": "parity-stub", "shots": 0, "accuracy": "config value loses"})
