@@ -44,11 +44,13 @@ def segmented_running_sum(df: DataFrame, key_col: str, order_col: str, value_col
     No window group ever holds a whole hot key."""
     blk = F.floor(F.col(order_col) / F.lit(block)).cast("long")
     d = df.withColumn("_blk", blk)
-    totals = d.groupBy(key_col, "_blk").agg(F.sum(value_col).alias("_bt"))
-    wc = Window.partitionBy(key_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(key_col, "_blk", F.coalesce(F.sum("_bt").over(wc), F.lit(0)).alias("_carry"))
     wl = Window.partitionBy(key_col, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("_local", F.sum(value_col).over(wl))
+    # block totals come from the same (key, block)-partitioned rows: the
+    # exchange under the local window is reused and the aggregate needs none
+    totals = local.groupBy(key_col, "_blk").agg(F.sum(value_col).alias("_bt"))
+    wc = Window.partitionBy(key_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(key_col, "_blk", F.coalesce(F.sum("_bt").over(wc), F.lit(0)).alias("_carry"))
     return (local.join(carry, [key_col, "_blk"])
             .withColumn(out_col, F.col("_carry") + F.col("_local"))
             .drop("_blk", "_carry", "_local"))
