@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from evalcrate.session import ship_package
+
 
 @F.pandas_udf(DoubleType())
 def _best_cosine(vec: pd.Series, block: pd.Series) -> pd.Series:
@@ -52,6 +54,7 @@ def _best_against(vectors: DataFrame, this_side: str, other_side: str, block: in
 
 def greedy_match_pairs(vectors: DataFrame, block: int = 256) -> DataFrame:
     """Per pair: precision (pred side), recall (ref side), F1."""
+    ship_package(vectors.sparkSession)
     p = _best_against(vectors, "pred", "ref", block).withColumnRenamed("pred", "precision")
     r = _best_against(vectors, "ref", "pred", block).withColumnRenamed("ref", "recall")
     j = p.join(r, "pair_id")

@@ -20,6 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evalcrate.operators.overlap import ROUGE_TOKEN, rouge_tokens
 from evalcrate.operators.parallel import spread
+from evalcrate.session import ship_package
 
 SCORE = StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType()),
                     StructField("fmeasure", DoubleType())])
@@ -159,6 +160,7 @@ def sentence_tokens(c) -> Column:
 
 def rouge_l_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", lsum: bool = False) -> DataFrame:
     """Per pair ROUGE-L (and optionally ROUGE-Lsum) precision/recall/F1."""
+    ship_package(df.sparkSession)
     out = spread(df).withColumn("rougeL", _rouge_l_udf(rouge_tokens(pred_col), rouge_tokens(ref_col)))
     if lsum:
         out = out.withColumn("rougeLsum", _rouge_lsum_udf(sentence_tokens(pred_col), sentence_tokens(ref_col)))

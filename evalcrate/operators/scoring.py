@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from evalcrate.session import ship_package
+
 
 def format_with(df: DataFrame, formatting_func: Callable[[DataFrame], object], out_col: str = "text") -> DataFrame:
     """A formatting function ``DataFrame -> Column`` applied as a projection."""
@@ -49,6 +51,7 @@ def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]], id_col: str, i
                             errs.append(f"{type(exc).__name__}: {exc}")
                 yield pd.DataFrame({id_col: part[id_col].values, output_col: outs, "error": errs})
 
+    ship_package(df.sparkSession)
     return df.select(id_col, input_col).mapInPandas(run, schema)
 
 

@@ -10,6 +10,7 @@ from evalcrate.operators import qa as Q
 from evalcrate.operators.accounting import python_token_counter
 from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.registry import ORACLE, QUERIES, register
+from evalcrate.session import ship_package
 from evalcrate.sources import fixtures as FX
 from evalcrate.sources.readers import read_table
 
@@ -42,6 +43,7 @@ SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '{_WS}'),
 FROM conversations""")
 def q_tokenize_fn(spark, sf_dir):
     """A user-supplied Python tokenizer (here ``str.split``) in an Arrow-batched UDF."""
+    ship_package(spark)
     count = python_token_counter(str.split)
     c = read_table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", count(F.col("text")).alias("n_tokens"))

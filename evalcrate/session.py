@@ -50,3 +50,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+_SHIPPED: set = set()
+
+
+def _workers_import_us(spark: SparkSession) -> bool:
+    def probe(batches):
+        import pandas as pd
+        try:
+            import evalcrate  # noqa: F401
+            ok = True
+        except ImportError:
+            ok = False
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"ok": [ok]})
+
+    return all(r.ok for r in spark.range(1).mapInPandas(probe, "ok boolean").collect())
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``evalcrate`` importable by Python workers (pandas UDFs pickle our
+    functions by reference).  Clusters normally ship it with ``--py-files``;
+    when a probe shows the workers cannot import it, the package is zipped on
+    the driver and added with ``addPyFile`` (Spark serves it to executors)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        return
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    _SHIPPED.add(key)
+    if _workers_import_us(spark):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="evalcrate-pyfiles-"), "evalcrate.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
