@@ -65,7 +65,8 @@ def parse_slice(spec: str) -> tuple[str, int | None, int | None]:
     return m["name"], a, b
 
 
-def split_slice(df: DataFrame, order_col: str, start: int | None = None, stop: int | None = None) -> DataFrame:
+def split_slice(df: DataFrame, order_col: str | list[str], start: int | None = None,
+                stop: int | None = None) -> DataFrame:
     """Rows ``[start:stop)`` of ``df`` ordered by the unique key ``order_col``.
 
     Negative bounds count from the end like Python.  Positions come from
@@ -76,7 +77,9 @@ def split_slice(df: DataFrame, order_col: str, start: int | None = None, stop: i
         a = start or 0
         if stop <= HEAD_LIMIT:
             # bounded head: per-partition top-k + merge (TakeOrderedAndProject)
-            return df.orderBy(order_col).limit(stop).offset(a) if a else df.orderBy(order_col).limit(stop)
+            keys = [order_col] if isinstance(order_col, str) else list(order_col)
+            head = df.orderBy(*keys).limit(stop)
+            return head.offset(a) if a else head
     pos = row_position(df, order_col, "_pos")
     cond = F.lit(True)
     if (start is not None and start < 0) or (stop is not None and stop < 0):
@@ -127,9 +130,10 @@ def sample_n(df: DataFrame, key_col: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows uniformly without replacement, reproducible for a seed.
 
     Each row gets a hash-derived priority ``xxhash64(key, seed)``; the ``n``
-    smallest win (top-k merge, bounded by ``n``)."""
-    return (df.withColumn("_prio", F.xxhash64(F.col(key_col), F.lit(seed)))
-            .orderBy("_prio", key_col).limit(n).drop("_prio"))
+    smallest win — a bounded top-k merge for small ``n``, the distributed
+    row numbering beyond that."""
+    prio = df.withColumn("_prio", F.xxhash64(F.col(key_col), F.lit(seed)))
+    return split_slice(prio, ["_prio", key_col], 0, n).drop("_prio")
 
 
 def project(df: DataFrame, *cols: str) -> DataFrame:

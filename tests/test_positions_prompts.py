@@ -73,3 +73,12 @@ def test_merge_adjacent_roles_long(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = sorted(tuple(r) for r in merge_adjacent_roles_long(df).collect())
     assert got == [(1, 0, "user", "ab"), (1, 1, "assistant", "c"), (1, 2, "user", "d"), (2, 0, "user", "x")]
+
+
+def test_sample_n_large_path_equals_topk(spark, monkeypatch):
+    from evalcrate.sources import readers
+    df = spark.range(0, 500).withColumnRenamed("id", "k")
+    small = sorted(r.k for r in readers.sample_n(df, "k", 40, seed=3).collect())
+    monkeypatch.setattr(readers, "HEAD_LIMIT", 10)
+    large = sorted(r.k for r in readers.sample_n(df, "k", 40, seed=3).collect())
+    assert small == large and len(small) == 40
