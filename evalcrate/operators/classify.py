@@ -69,6 +69,31 @@ def em_confusion(df: DataFrame, pred_col: str = "pred", truth_col: str = "truth"
                       precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
+def em_metrics(df: DataFrame, pred_col: str = "pred", truth_col: str = "truth", format_col: str = "formatting",
+               group_cols: Sequence[str] = ()) -> DataFrame:
+    """M1 + M2 in a single aggregate (one scan, one row per group)."""
+    p, t, f = _c(pred_col), _c(truth_col), _c(format_col)
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(p == t).alias("n_equal"),
+            F.count_if((p == 1) & (t == 1)).alias("tp"), F.count_if((p == 1) & (t == 0)).alias("fp"),
+            F.count_if((p == 0) & (t == 1)).alias("fn"), F.count_if((p == 0) & (t == 0)).alias("tn"),
+            F.count_if(p == -1).alias("unresolved")]
+    for cls, name in FORMAT_CLASSES:
+        aggs += [F.count_if(f == cls).alias(f"{name}_total"),
+                 F.count_if((f == cls) & (t == 1)).alias(f"{name}_positives"),
+                 F.count_if((f == cls) & (t == 0)).alias(f"{name}_negatives")]
+    g = df.groupBy(*group_cols) if group_cols else df
+    agg = g.agg(*aggs)
+    precision, recall, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    n = F.col("n").cast("double")
+    cols = [*group_cols, "n", "tp", "fp", "fn", "tn", "unresolved",
+            F.try_divide(F.col("n_equal").cast("double"), n).alias("accuracy"),
+            precision.alias("precision"), recall.alias("recall"), f1.alias("f1")]
+    for _, name in FORMAT_CLASSES:
+        cols += [f"{name}_total", f"{name}_positives", f"{name}_negatives",
+                 F.try_divide(F.col(f"{name}_total").cast("double"), n).alias(f"{name}_rate")]
+    return agg.select(*cols)
+
+
 def em_format_rates(df: DataFrame, format_col: str = "formatting", truth_col: str = "truth",
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """M2: per formatting class its total, gold positives, gold negatives and rate.

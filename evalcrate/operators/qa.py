@@ -129,19 +129,27 @@ def _mean_or_zero(c: Column, cond: Column | None = None) -> Column:
     return F.coalesce(v, F.lit(0.0))
 
 
-def f1_by_type(best: DataFrame, types=ANSWER_TYPES) -> DataFrame:
-    """Mean best F1 overall and per type; an empty bucket is 0.0."""
+def f1_by_type_aggs(types=ANSWER_TYPES) -> list[Column]:
     cols = [F.count(F.lit(1)).alias("n"), _mean_or_zero(F.col("best_f1")).alias("answer_f1")]
     for t in types:
         cols += [F.count_if(F.col("type") == t).alias(f"n_{t}"),
                  _mean_or_zero(F.col("best_f1"), F.col("type") == t).alias(f"answer_f1_{t}")]
-    return best.agg(*cols)
+    return cols
 
 
-def answerability(best: DataFrame, types=ANSWER_TYPES) -> DataFrame:
-    """Abstention rate overall, excluding 'none', and per best-reference type."""
+def answerability_aggs(types=ANSWER_TYPES) -> list[Column]:
     cols = [_mean_or_zero(F.col("abstained")).alias("answerability_all"),
             _mean_or_zero(F.col("abstained"), F.col("type") != "none").alias("answerability_has")]
     for t in types:
         cols.append(_mean_or_zero(F.col("abstained"), F.col("type") == t).alias(f"noans_{t}"))
-    return best.agg(*cols)
+    return cols
+
+
+def f1_by_type(best: DataFrame, types=ANSWER_TYPES) -> DataFrame:
+    """Mean best F1 overall and per type; an empty bucket is 0.0."""
+    return best.agg(*f1_by_type_aggs(types))
+
+
+def answerability(best: DataFrame, types=ANSWER_TYPES) -> DataFrame:
+    """Abstention rate overall, excluding 'none', and per best-reference type."""
+    return best.agg(*answerability_aggs(types))
