@@ -348,7 +348,7 @@ _EXPORT_SYS = "You match records."
 @register("export_chat_jsonl", with_fixtures("record_pairs") + f"""
 SELECT id, to_json({{'messages': [{{'role': 'system', 'content': {sq(_EXPORT_SYS)}}},
                                   {{'role': 'user', 'content': {_serialize_sql()}}},
-                                  {{'role': 'assistant', 'content': overall_label}}]}}) AS line FROM record_pairs""")
+                                  {{'role': 'assistant', 'content': overall_label}}]}})::VARCHAR AS line FROM record_pairs""")
 def q_export_chat_jsonl(spark, sf_dir):
     df = FX.record_pairs(spark, sf_dir)
     return df.select("id", chat_jsonl_column(P.serialize_pair(df, _PAIR_COLS), F.col("overall_label"), _EXPORT_SYS).alias("line"))

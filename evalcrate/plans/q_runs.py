@@ -145,7 +145,7 @@ def _write_metrics_sql() -> str:
     head, _, select = inner.rpartition("SELECT n, tp")
     return (head.rstrip() + ",\nm AS (SELECT n, tp" + select + ")\n"
             "SELECT to_json({'model': 'parity-stub', 'shots': 0, 'n': n, 'tp': tp, 'fp': fp, 'fn': fn, 'tn': tn, "
-            "'unresolved': unresolved, 'accuracy': accuracy, 'precision': precision, 'recall': recall, 'f1': f1}) "
+            "'unresolved': unresolved, 'accuracy': accuracy, 'precision': precision, 'recall': recall, 'f1': f1})::VARCHAR "
             "AS value FROM m")
 
 

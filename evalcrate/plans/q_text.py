@@ -69,7 +69,7 @@ def q_pair_turns(spark, sf_dir):
 WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'user' ELSE role END AS role, text FROM conversations),
 f AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS st FROM c),
 i AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
-SELECT conv_id, island - 1 AS turn, first(role) AS role, string_agg(text, '' ORDER BY turn) AS text
+SELECT conv_id, CAST(island - 1 AS BIGINT) AS turn, first(role) AS role, string_agg(text, '' ORDER BY turn) AS text
 FROM i GROUP BY conv_id, island""")
 def q_merge_adjacent_roles(spark, sf_dir):
     c = _conv(spark, sf_dir).select(
