@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalcrate.operators import qa as Q
 from evalcrate.operators.accounting import python_token_counter
 from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.registry import ORACLE, QUERIES, register

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalcrate.operators import accounting as A
 from evalcrate.operators import prompts as P
 from evalcrate.plans.fixture_sql import with_fixtures
-from evalcrate.plans.q_prompts import POSITIONS, _PICK_SQL, _examples, sq
+from evalcrate.plans.q_prompts import _PICK_SQL, _examples, sq
 from evalcrate.operators.parallel import spread
 from evalcrate.plans.registry import register
 from evalcrate.sources import fixtures as FX

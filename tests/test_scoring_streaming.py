@@ -1,7 +1,4 @@
-import os
 
-import pytest
-from pyspark.sql import functions as F
 
 from evalcrate.operators import scoring as S
 from evalcrate.streaming.scoring import stream_em_metrics, stream_score

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
 from pyref import get_tokens, normalize_answer
