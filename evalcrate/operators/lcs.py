@@ -167,9 +167,11 @@ def rouge_l_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
     return out
 
 
-def rouge_l(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", lsum: bool = False) -> DataFrame:
+def rouge_l(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", lsum: bool = False,
+            group_cols=()) -> DataFrame:
     """Mean ROUGE-L F1 (and ROUGE-Lsum F1) over pairs."""
     s = rouge_l_scores(df, pred_col, ref_col, lsum)
+    s = s.groupBy(*group_cols) if group_cols else s
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("rougeL.fmeasure").alias("rougeL")]
     if lsum:
         aggs.append(F.avg("rougeLsum.fmeasure").alias("rougeLsum"))

@@ -97,8 +97,11 @@ def expand_references(gold_nested: DataFrame, refs_col: str = "references") -> D
 
 def reference_scores(gold: DataFrame, preds: DataFrame, pred_col: str = "prediction",
                      key: str = "question_id") -> DataFrame:
-    """Per (question, reference): cleaned answer, strict token F1, abstention flag."""
-    p = preds.select(key, T.extract_answer(pred_col).alias("answer_pred"))
+    """Per (question, reference): cleaned answer, strict token F1, abstention flag.
+
+    Extra prediction columns (run keys such as model or shots) are carried
+    through, so ``best_reference(scores, [run keys.., key])`` scores a run matrix."""
+    p = preds.select(*[c for c in preds.columns if c != pred_col], T.extract_answer(pred_col).alias("answer_pred"))
     j = join_gold(gold, p, key)
     pt, rt = T.answer_tokens("answer_pred"), T.answer_tokens("answer")
     s = j.select("*", pt.alias("_pt"), rt.alias("_rt"))
@@ -106,14 +109,15 @@ def reference_scores(gold: DataFrame, preds: DataFrame, pred_col: str = "predict
     return s.withColumn("abstained", F.lower("answer_pred").contains("unanswerable").cast("double"))
 
 
-def best_reference(scores: DataFrame, key: str = "question_id") -> DataFrame:
+def best_reference(scores: DataFrame, key: str | list[str] = "question_id") -> DataFrame:
     """Max F1 per question and the type of that reference (first on ties).
 
     ``max(struct(f1, -ref_pos, ...))`` is a plain hash aggregate (partial
     aggregation map-side) — no sort, no window."""
+    keys = [key] if isinstance(key, str) else list(key)
     best = F.max(F.struct(F.col("f1"), (-F.col("ref_pos")).alias("neg_pos"), F.col("type"), F.col("abstained")))
-    return scores.groupBy(key).agg(best.alias("b")).select(
-        key, F.col("b.f1").alias("best_f1"), F.col("b.type").alias("type"),
+    return scores.groupBy(*keys).agg(best.alias("b")).select(
+        *keys, F.col("b.f1").alias("best_f1"), F.col("b.type").alias("type"),
         (-F.col("b.neg_pos")).alias("ref_pos"), F.col("b.abstained").alias("abstained"))
 
 
@@ -145,11 +149,13 @@ def answerability_aggs(types=ANSWER_TYPES) -> list[Column]:
     return cols
 
 
-def f1_by_type(best: DataFrame, types=ANSWER_TYPES) -> DataFrame:
+def f1_by_type(best: DataFrame, types=ANSWER_TYPES, group_cols=()) -> DataFrame:
     """Mean best F1 overall and per type; an empty bucket is 0.0."""
-    return best.agg(*f1_by_type_aggs(types))
+    g = best.groupBy(*group_cols) if group_cols else best
+    return g.agg(*f1_by_type_aggs(types))
 
 
-def answerability(best: DataFrame, types=ANSWER_TYPES) -> DataFrame:
+def answerability(best: DataFrame, types=ANSWER_TYPES, group_cols=()) -> DataFrame:
     """Abstention rate overall, excluding 'none', and per best-reference type."""
-    return best.agg(*answerability_aggs(types))
+    g = best.groupBy(*group_cols) if group_cols else best
+    return g.agg(*answerability_aggs(types))

@@ -54,3 +54,13 @@ def test_best_reference_first_on_ties_and_buckets(spark):
     assert a.answerability_all == 0.5 and a.noans_none == 1.0 and a.answerability_has == 0.0
     miss = Q.missing_predictions(gold, pred).first()
     assert (miss.missing, miss.scored) == (1, 2)
+
+
+def test_best_reference_per_run(spark):
+    gold = spark.createDataFrame([("q1", 0, "red", "extractive"), ("q1", 1, "blue", "boolean")],
+                                 "question_id string, ref_pos long, answer string, type string")
+    pred = spark.createDataFrame([("r1", "q1", "red"), ("r2", "q1", "blue")], "run string, question_id string, prediction string")
+    sc = Q.reference_scores(gold, pred)
+    best = Q.best_reference(sc, ["run", "question_id"])
+    m = {r.run: r for r in Q.f1_by_type(best, group_cols=["run"]).collect()}
+    assert m["r1"].answer_f1_extractive == 1.0 and m["r2"].answer_f1_boolean == 1.0
