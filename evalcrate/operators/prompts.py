@@ -177,6 +177,21 @@ def fewshot_chat(df: DataFrame, question: Column, examples: DataFrame, shots: in
     return df.withColumn(out_col, F.concat(prefix.select("turns").scalar(), F.array(msg("user", last_text))))
 
 
+def fewshot_chat_text(df: DataFrame, question: Column, examples: DataFrame, shots: int, start_prompt: str = "",
+                      user_tag: str = "User: ", assistant_tag: str = "Assistant:", out_col: str = "prompt") -> DataFrame:
+    """P5 (text form, for models without chat roles): lines
+    ``start_prompt``, ``User: q_k``, ``Assistant: r_k`` ..., ``User: <question>``,
+    ``Assistant:`` joined by newlines.  The example lines are built once (scalar)."""
+    _check_shots(shots)
+    ex = examples.where(F.col("k") <= shots).select(F.struct("k", "question", "response").alias("e"))
+    lines = F.flatten(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.array(
+        F.concat(F.lit(user_tag), e["question"]), F.concat(F.lit(assistant_tag + " "), e["response"]))))
+    prefix = ex.agg(F.array_join(F.concat(F.array(F.lit(start_prompt)),
+                                          F.coalesce(lines, F.array().cast("array<string>"))), "\n").alias("p"))
+    return df.withColumn(out_col, F.concat(prefix.select("p").scalar(), F.lit("\n" + user_tag), question,
+                                           F.lit("\n" + assistant_tag)))
+
+
 def merge_adjacent_roles(messages) -> Column:
     """W3 (array form): concatenate neighbouring messages of the same role."""
     empty = F.array().cast("array<struct<role:string,content:string>>")

@@ -193,6 +193,20 @@ def q_fewshot_chat(spark, sf_dir):
     return H.to_long(_chat(spark, sf_dir, 2), "id")
 
 
+_FALCON_START = "A helpful assistant.\nSummarize each dialogue."
+
+
+@register("fewshot_chat_text", with_fixtures("dialogues", extra=_PICK_SQL) + f"""
+SELECT id, (SELECT {sq(_FALCON_START)} || chr(10) || string_agg('User: ' || question || chr(10) || 'Assistant: ' || response,
+                                                              chr(10) ORDER BY k) FROM ex WHERE k <= 2)
+           || chr(10) || 'User: ' || dialogue || chr(10) || 'Assistant:' AS prompt
+FROM dialogues""")
+def q_fewshot_chat_text(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    out = P.fewshot_chat_text(d, F.col("dialogue"), _examples(spark, sf_dir), 2, _FALCON_START)
+    return out.select("id", "prompt")
+
+
 @register("flat_fewshot", with_fixtures("dialogues", extra=_PICK_SQL) +
           f"SELECT id, {sq(SYSTEM)} || (SELECT string_agg(question || response, '' ORDER BY k) FROM ex WHERE k <= 2) "
           f"|| {sq(TRANSACTION)} || {_test_question()} AS prompt FROM dialogues")
