@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from evalcrate.functions.util import let
 
@@ -112,3 +113,56 @@ def infer_option(question, target) -> Column:
 
     return let(F.struct(parse_options(question).alias("opts"), py_strip(target).alias("tgt"),
                         _c(target).alias("raw")), pick)
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _py_regex_positions(target, patterns):
+    """Start offsets of ``re.finditer(p, target)`` for every pattern of the row;
+    an invalid pattern gives [] (the evaluated script's behaviour)."""
+    import re
+
+    import pandas as pd
+
+    out = []
+    for t, pats in zip(target, patterns):
+        row = []
+        for p in (pats if pats is not None else []):
+            try:
+                row.append([m.start() for m in re.finditer(p, t or "")])
+            except Exception:  # noqa: BLE001 - invalid pattern
+                row.append([])
+        out.append(row)
+    return pd.Series(out)
+
+
+def first_match_from_positions(options, positions, op: str = "min") -> Column:
+    """T2 over precomputed offset lists (``positions[i]`` belongs to ``options[i]``)."""
+    opts, pos = _c(options), _c(positions)
+    cands = F.filter(F.transform(opts, lambda o, i: F.struct(F.element_at(pos, i + 1).alias("pos"),
+                                                             (i if op == "min" else -i).alias("idx"),
+                                                             o["key"].alias("key"))),
+                     lambda c: F.size(c["pos"]) > 0)
+    return (F.array_min(cands) if op == "min" else F.array_max(cands))["key"]
+
+
+def infer_option_df(df, question_col: str, target_col: str, out_col: str = "answer",
+                    value_match: str = "literal"):
+    """C12 as a DataFrame step.  ``value_match='python'`` matches option values
+    as Python regular expressions (exactly as the evaluated script, invalid
+    patterns matching nothing) in an Arrow-batched UDF; ``'literal'`` stays
+    JVM-side and treats values as plain text."""
+    from evalcrate.functions.text import py_strip
+    from evalcrate.session import ship_package
+
+    d = df.withColumn("_opts", parse_options(question_col)).withColumn("_tgt", py_strip(target_col))
+    opts, tgt = F.col("_opts"), F.col("_tgt")
+    if value_match == "python":
+        ship_package(df.sparkSession)
+        d = d.withColumn("_vpos", _py_regex_positions(F.col(target_col), F.transform(opts, lambda o: o["value"])))
+        by_value = first_match_from_positions("_opts", "_vpos")
+    else:
+        by_value = first_match(target_col, opts, True)
+    exact_key = F.when(F.exists(opts, lambda o: o["key"] == tgt), tgt)
+    exact_val = F.try_element_at(F.filter(opts, lambda o: py_strip(o["value"]) == tgt), F.lit(1))["key"]
+    answer = F.when(F.size(opts) > 0, F.coalesce(exact_key, exact_val, first_match(target_col, opts, False), by_value))
+    return d.withColumn(out_col, answer).drop("_opts", "_tgt", "_vpos")

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 # ---------------------------------------------------------------------------
 # Per-model message overheads (tokens_per_message, tokens_per_name).
@@ -55,6 +55,19 @@ def python_token_counter(encode: Callable[[str], list]) -> Callable[[Column], Co
     return lambda c: _count(_c(c))
 
 
+def python_tokenizer(encode: Callable[[str], list], ids: bool = False) -> Callable[[Column], Column]:
+    """A Python tokenizer as an Arrow-batched pandas UDF returning the
+    token list (strings, or integer ids with ``ids=True``)."""
+    out_type = ArrayType(LongType()) if ids else ArrayType(StringType())
+
+    @F.pandas_udf(out_type)
+    def _tok(s):
+        import pandas as pd
+        return pd.Series([list(encode(x)) for x in s.fillna("")])
+
+    return lambda c: _tok(_c(c))
+
+
 def message_rule(model: str) -> tuple[int, int]:
     """(tokens_per_message, tokens_per_name) for a model name; unknown -> error."""
     if model in RULE_3_1_MODELS:

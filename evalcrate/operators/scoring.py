@@ -24,14 +24,29 @@ def format_with(df: DataFrame, formatting_func: Callable[[DataFrame], object], o
     return df.withColumn(out_col, formatting_func(df))
 
 
-def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]], id_col: str, input_col: str,
-             output_col: str = "output", batch_size: int = 64) -> DataFrame:
+_LOADED: dict = {}
+
+
+def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]] | None, id_col: str, input_col: str,
+             output_col: str = "output", batch_size: int = 64,
+             make_fn: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:
     """``(id, output, error)`` for every input row; ``fn`` sees lists of
-    at most ``batch_size`` prompts (one model call per list)."""
+    at most ``batch_size`` prompts (one model call per list).
+
+    ``make_fn`` builds the scorer instead (e.g. loads a model): it runs once
+    per Python worker process and is reused by every task that worker runs."""
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {output_col} string, error string"
 
     def run(batches):
+        nonlocal fn
+        if make_fn is not None:
+            code = getattr(make_fn, "__code__", None)
+            key = (getattr(make_fn, "__module__", ""), getattr(make_fn, "__qualname__", repr(make_fn)),
+                   code.co_firstlineno if code else 0)
+            if key not in _LOADED:
+                _LOADED[key] = make_fn()
+            fn = _LOADED[key]
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]

@@ -175,6 +175,18 @@ def q_infer_option(spark, sf_dir):
     return df.select("id", OP.infer_option("question", "target").alias("answer"))
 
 
+def _infer_sql() -> str:
+    from evalcrate.plans.registry import ORACLE
+    return ORACLE["infer_option"]
+
+
+@register("infer_option_regex", _infer_sql())
+def q_infer_option_regex(spark, sf_dir):
+    """C12 with option values matched as Python regular expressions."""
+    df = FX.mc_questions(spark, sf_dir)
+    return OP.infer_option_df(df, "question", "target", "answer", value_match="python").select("id", "answer")
+
+
 @register("earliest_match", _MC_SQL + f"SELECT id, {_duck_first('target', 'opts', True)} AS key FROM o")
 def q_earliest_match(spark, sf_dir):
     df = FX.mc_questions(spark, sf_dir)

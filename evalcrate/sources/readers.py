@@ -22,14 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_split(spark: SparkSession, path: str, split: str | None = None, split_col: str = "split",
-               columns: Iterable[str] | None = None, fmt: str = "parquet") -> DataFrame:
+               columns: Iterable[str] | None = None, fmt: str = "parquet",
+               options: Mapping[str, str] | None = None) -> DataFrame:
     """Read a table and keep one named split.
 
     The split is a filter on ``split_col``; when the data is written
     ``partitionBy(split_col)`` Catalyst turns it into partition pruning,
     otherwise it is pushed into the parquet scan as a row-group filter.
+    ``options`` pass through to the reader — e.g. a table format's
+    time-travel option to read the split at a given revision.
     """
-    df = spark.read.format(fmt).load(path)
+    df = spark.read.format(fmt).options(**(options or {})).load(path)
     if split is not None:
         df = df.where(F.col(split_col) == split)
     if columns is not None:

@@ -40,3 +40,21 @@ def test_first_match_prefix_option_ordering(spark):
     r = df.select(OP.first_match("t", OP.parse_options("q"), True).alias("mn"),
                   OP.first_match("t", OP.parse_options("q"), True, op="max").alias("mx")).first()
     assert r.mn == "A" and r.mx == "B"
+
+
+def test_python_regex_values(spark):
+    q = "Pick {A: c.t, B: (x, C: dog}"
+    df = spark.createDataFrame([(q, "my cat"), (q, "a (x here"), (q, "dog")], "q string, t string")
+    py = [r.answer for r in OP.infer_option_df(df, "q", "t", value_match="python").collect()]
+    lit = [r.answer for r in OP.infer_option_df(df, "q", "t", value_match="literal").collect()]
+    # 'c.t' is a regex that matches 'cat'; '(x' is an invalid regex -> no match in Python mode
+    assert py == ["A", None, "C"]
+    assert lit == [None, "B", "C"]
+
+
+def test_python_tokenizer(spark):
+    from evalcrate.operators.accounting import python_tokenizer
+    from evalcrate.operators.prompts import pretokenize
+    df = spark.createDataFrame([("a b  c d",)], "s string")
+    r = df.select(pretokenize("s", 3, tokenizer=python_tokenizer(str.split)).alias("t")).first()
+    assert list(r.t) == ["a", "b", "c"]
