@@ -5,12 +5,15 @@ Precision = mean over prediction vectors of their best cosine against the
 reference vectors of the same pair; recall symmetrically; F1 per pair, then
 means over pairs.
 
-Plan: the "against" side is cut into blocks of at most ``block`` vectors
-(a bounded ``collect_list`` per (pair, block)); every vector is joined to the
-blocks of its pair — rows = vectors x blocks, never vectors x vectors — and
-the best cosine inside a block is one numpy matrix-vector product in an
-Arrow-batched pandas UDF.  A max over blocks (hash aggregate) finishes it.
-AQE's skew-join handling splits a pair that holds a large share of vectors.
+Plan: each side of a pair is cut into blocks of about ``block`` vectors
+(vectors hashed to ``ceil(n / block)`` blocks, so a block is bounded however
+the ids of a pair are spread); prediction blocks are joined to reference
+blocks of the same pair — rows = pred blocks x ref blocks, never vectors x
+vectors.  One Arrow-batched pandas UDF turns each block pair into one cosine
+matrix (numpy) and returns the row-wise and column-wise maxima, so precision
+and recall come from the same pass.  Max per vector and means per pair are
+hash aggregates.  AQE's skew-join handling splits a pair holding a large
+share of the blocks.
 """
 
 from __future__ import annotations
@@ -19,48 +22,57 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from evalcrate.session import ship_package
 
+_BEST = StructType([StructField("pred_best", ArrayType(DoubleType())), StructField("ref_best", ArrayType(DoubleType()))])
 
-@F.pandas_udf(DoubleType())
-def _best_cosine(vec: pd.Series, block: pd.Series) -> pd.Series:
-    out = np.empty(len(vec))
-    for i, (v, b) in enumerate(zip(vec, block)):
-        v = np.asarray(v, dtype=np.float64)
-        m = np.stack([np.asarray(x, dtype=np.float64) for x in b])
-        denom = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cos = np.where(denom > 0, (m @ v) / denom, 0.0)
-        out[i] = cos.max()
-    return pd.Series(out)
-
-
-def _best_against(vectors: DataFrame, this_side: str, other_side: str, block: int) -> DataFrame:
-    other = vectors.where(F.col("side") == other_side)
-    # blocks per pair = ceil(count / block); vectors are hashed to a block, so a
-    # block holds about ``block`` vectors however the ids of a pair are spread
-    nb = other.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_nb"))
-    blocks = (other.join(nb, "pair_id")
-              .withColumn("_blk", F.pmod(F.xxhash64("vec_id"), F.col("_nb")))
-              .groupBy("pair_id", "_blk").agg(F.collect_list("embedding").alias("block")))
-    mine = vectors.where(F.col("side") == this_side).select("pair_id", "vec_id", "embedding")
-    j = mine.join(blocks, "pair_id")
-    best = j.select("pair_id", "vec_id", _best_cosine("embedding", "block").alias("best"))
-    per_vec = best.groupBy("pair_id", "vec_id").agg(F.max("best").alias("best"))
-    return per_vec.groupBy("pair_id").agg(F.avg("best").alias(this_side))
+
+def _unit_rows(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norms > 0, m / norms, 0.0)
+
+
+@F.pandas_udf(_BEST)
+def _block_best(pred_vecs: pd.Series, ref_vecs: pd.Series) -> pd.DataFrame:
+    pb, rb = [], []
+    for p, r in zip(pred_vecs, ref_vecs):
+        cos = _unit_rows(p) @ _unit_rows(r).T
+        pb.append(cos.max(axis=1).tolist())
+        rb.append(cos.max(axis=0).tolist())
+    return pd.DataFrame({"pred_best": pb, "ref_best": rb})
+
+
+def _blocks(vectors: DataFrame, side: str, block: int) -> DataFrame:
+    v = vectors.where(F.col("side") == side).select("pair_id", "vec_id", "embedding")
+    nb = v.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_nb"))
+    e = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    return (v.join(nb, "pair_id").withColumn("_blk", F.pmod(F.xxhash64("vec_id"), F.col("_nb")))
+            .groupBy("pair_id", "_blk").agg(e.alias("_e"))
+            .select("pair_id", F.col("_e.vec_id").alias(f"{side}_ids"), F.col("_e.embedding").alias(f"{side}_vecs")))
 
 
 def greedy_match_pairs(vectors: DataFrame, block: int = 256) -> DataFrame:
     """Per pair: precision (pred side), recall (ref side), F1."""
     ship_package(vectors.sparkSession)
-    p = _best_against(vectors, "pred", "ref", block).withColumnRenamed("pred", "precision")
-    r = _best_against(vectors, "ref", "pred", block).withColumnRenamed("ref", "recall")
-    j = p.join(r, "pair_id")
+    j = _blocks(vectors, "pred", block).join(_blocks(vectors, "ref", block), "pair_id")
+    best = j.select("pair_id", "pred_ids", "ref_ids", _block_best("pred_vecs", "ref_vecs").alias("b"))
+
+    def side_mean(ids: str, arr: str, name: str) -> DataFrame:
+        pairs = F.arrays_zip(F.col(ids).alias("v"), F.col(arr).alias("s"))
+        per_vec = (best.select("pair_id", F.explode(pairs).alias("x"))
+                   .groupBy("pair_id", F.col("x.v").alias("v")).agg(F.max("x.s").alias("m")))
+        return per_vec.groupBy("pair_id").agg(F.avg("m").alias(name))
+
+    p = side_mean("pred_ids", "b.pred_best", "precision")
+    r = side_mean("ref_ids", "b.ref_best", "recall")
+    s = p.join(r, "pair_id")
     f1 = F.when(F.col("precision") + F.col("recall") != 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return j.select("pair_id", "precision", "recall", f1.alias("f1"))
+    return s.select("pair_id", "precision", "recall", f1.alias("f1"))
 
 
 def greedy_match_score(vectors: DataFrame, block: int = 256) -> DataFrame:
