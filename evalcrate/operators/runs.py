@@ -35,9 +35,9 @@ def run_matrix(df: DataFrame, run_cols: Sequence[str], pred_col: str = "pred", g
 
 def run_duration(df: DataFrame, run_cols: Sequence[str], ts_col: str = "ts") -> DataFrame:
     """Wall time per run, ``max(ts) - min(ts)`` in seconds."""
-    ts = F.col(ts_col).cast("timestamp")
+    ts = F.col(ts_col)   # TIMESTAMP or TIMESTAMP_NTZ: the difference needs no time zone
     return df.groupBy(*run_cols).agg(
-        ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("duration_sec"))
+        (F.timestamp_diff("MICROSECOND", F.min(ts), F.max(ts)) / 1e6).alias("duration_sec"))
 
 
 def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", rouge: bool = True,
