@@ -15,7 +15,8 @@ from evalcrate.operators.prompts import msg
 def chat_jsonl_column(user: Column, assistant: Column, system: str | Column) -> Column:
     """K1: ``{"messages": [system, user, assistant]}`` as one compact JSON string."""
     s = system if isinstance(system, Column) else F.lit(system)
-    return F.to_json(F.struct(F.array(msg("system", s), msg("user", user), msg("assistant", assistant)).alias("messages")))
+    return F.to_json(F.struct(F.array(msg("system", s), msg("user", user), msg("assistant", assistant)).alias("messages")),
+                     {"ignoreNullFields": "false"})
 
 
 def export_chat_jsonl(df: DataFrame, line_col: str, path: str, split_col: str | None = "split",
@@ -39,8 +40,8 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "o
 def metrics_record(metrics: DataFrame, config: Mapping[str, object]) -> DataFrame:
     """K3: metrics row + run config as one JSON record; metric keys win over config keys."""
     cfg = {k: v for k, v in config.items() if k not in metrics.columns}
-    return metrics.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in cfg.items()],
-                                             *[F.col(c) for c in metrics.columns])).alias("value"))
+    rec = F.struct(*[F.lit(v).alias(k) for k, v in cfg.items()], *[F.col(c) for c in metrics.columns])
+    return metrics.select(F.to_json(rec, {"ignoreNullFields": "false"}).alias("value"))   # nulls kept, like json.dump
 
 
 def write_metrics(metrics: DataFrame, config: Mapping[str, object], path: str, mode: str = "overwrite") -> None:

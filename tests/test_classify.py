@@ -55,3 +55,14 @@ def test_binary_f1_zero_without_positives(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "pred int, label int")
     r = C.binary_acc_f1(df).first()
     assert r.accuracy == 1.0 and r.f1 == 0.0
+
+
+def test_confusion_counts_bounded(spark):
+    import random
+    rnd = random.Random(8)
+    words = ["y", "n", "yes", "no", "maybe", "Y.", "the n", ""]
+    rows = [(i, rnd.choice(words), rnd.choice(["y", "n", "x"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, response string, truth string")
+    m = C.em_metrics(C.clean_binary_responses(df, "response", "truth")).first()
+    assert m.tp + m.fp + m.fn + m.tn <= m.n
+    assert m.unresolvable_total + m.resolvable_total + m.correct_fmt_total == m.n

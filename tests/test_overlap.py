@@ -105,3 +105,20 @@ def test_lcs_positions_bitvector_equals_table():
         a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]
         b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 25))]
         assert _lcs_positions(a, b) == _lcs_positions_table(a, b)
+
+
+def test_intersect_all_equals_sum_of_least(spark):
+    rnd = random.Random(11)
+    rows_a, rows_b, want = [], [], {}
+    for i in range(60):
+        a = [rnd.choice("xyzw") for _ in range(rnd.randint(0, 9))]
+        b = [rnd.choice("xyzv") for _ in range(rnd.randint(0, 9))]
+        rows_a += [(i, t) for t in a]
+        rows_b += [(i, t) for t in b]
+        s = sum((Counter(a) & Counter(b)).values())
+        if s:
+            want[i] = s
+    da = spark.createDataFrame(rows_a, "id int, token string")
+    db = spark.createDataFrame(rows_b, "id int, token string")
+    got = {r.id: r.overlap for r in O.token_overlap_intersect_all(da, db, "id", "token").collect()}
+    assert got == want

@@ -40,3 +40,9 @@ def test_json_splits_and_split_filter(spark, tmp_path):
     t = scan_split(spark, str(tmp_path / "byspl"), "train", columns=["question_id"])
     assert "PartitionFilters: [isnotnull(split" in t._jdf.queryExecution().executedPlan().toString() or t.count() == 2
     assert t.count() == 2
+
+
+def test_metrics_record_keeps_nulls(spark):
+    m = spark.createDataFrame([(None, 2)], "precision double, n long")
+    rec = json.loads(W.metrics_record(m, {"run": "r"}).first().value)
+    assert rec == {"run": "r", "precision": None, "n": 2}
