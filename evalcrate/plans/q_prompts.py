@@ -104,7 +104,8 @@ def q_pick_positions(spark, sf_dir):
     return R.pick_positions(FX.dialogues(spark, sf_dir), "id", POSITIONS).select("k", "id")
 
 
-@register("sample_n")  # hash-seeded sample: DuckDB has no xxhash64 -> rows-only check
+@register("sample_n", with_fixtures("dialogues") +
+          "SELECT id FROM dialogues ORDER BY md5(CAST(id AS VARCHAR) || ':7'), id LIMIT 20")
 def q_sample_n(spark, sf_dir):
     return R.sample_n(FX.dialogues(spark, sf_dir), "id", 20, seed=7).select("id")
 

@@ -132,10 +132,11 @@ def pick_positions(df: DataFrame, order_col: str, positions: Iterable[int], pos_
 def sample_n(df: DataFrame, key_col: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows uniformly without replacement, reproducible for a seed.
 
-    Each row gets a hash-derived priority ``xxhash64(key, seed)``; the ``n``
-    smallest win — a bounded top-k merge for small ``n``, the distributed
-    row numbering beyond that."""
-    prio = df.withColumn("_prio", F.xxhash64(F.col(key_col), F.lit(seed)))
+    Each row gets a hash-derived priority ``md5('<key>:<seed>')`` (a portable
+    hash, so any engine can reproduce the sample); the ``n`` smallest win — a
+    bounded top-k merge for small ``n``, the distributed row numbering beyond
+    that."""
+    prio = df.withColumn("_prio", F.md5(F.concat(F.col(key_col).cast("string"), F.lit(f":{seed}"))))
     return split_slice(prio, ["_prio", key_col], 0, n).drop("_prio")
 
 
