@@ -2,10 +2,10 @@
 
 The size of the multiset intersection of two token lists (Python
 ``Counter(a) & Counter(b)``) is the core of token F1, ROUGE-N and BLEU.  It
-is computed *inside the row*: both lists are tagged, concatenated, sorted
-once (O(n log n)) and folded with one linear ``aggregate`` that keeps a run
-counter per side.  No explode, no shuffle: the work per row is bounded by the
-row itself, so a skewed key or a long document cannot pile up in one task.
+is computed *inside the row*: both lists are sorted (O(n log n)) and merged
+with one linear ``aggregate``.  No explode, no shuffle: the work per row is
+bounded by the row itself, so a skewed key or a long document cannot pile up
+in one task.
 """
 
 from __future__ import annotations
@@ -21,29 +21,33 @@ def _c(x) -> Column:
 
 
 def bag_overlap(a, b) -> Column:
-    """``sum((Counter(a) & Counter(b)).values())`` as a LONG column."""
-    a, b = _c(a), _c(b)
-    tagged = F.concat(
-        F.transform(F.coalesce(a, F.array().cast("array<string>")),
-                    lambda t: F.struct(t.alias("t"), F.lit(1).alias("s"))),
-        F.transform(F.coalesce(b, F.array().cast("array<string>")),
-                    lambda t: F.struct(t.alias("t"), F.lit(0).alias("s"))),
-    )
-    init = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("p"),
-                    F.lit(0).alias("r"), F.lit(0).cast("long").alias("tot"))
-
-    def step(acc, x):
-        same = F.coalesce(acc["t"] == x["t"], F.lit(False))
-        return F.when(
-            same,
-            F.struct(acc["t"].alias("t"), (acc["p"] + x["s"]).alias("p"),
-                     (acc["r"] + 1 - x["s"]).alias("r"), acc["tot"].alias("tot")),
-        ).otherwise(
-            F.struct(x["t"].alias("t"), x["s"].alias("p"), (1 - x["s"]).alias("r"),
-                     (acc["tot"] + F.least(acc["p"], acc["r"])).alias("tot")))
-
-    return F.aggregate(F.sort_array(tagged), init, step,
-                       lambda acc: acc["tot"] + F.least(acc["p"], acc["r"]))
+    """``sum((Counter(a) & Counter(b)).values())`` as a LONG column.
+
+    Both lists are sorted (natural string order, no comparator lambda) and
+    walked once with two cursors: equal heads count a match and advance both,
+    otherwise the smaller head advances — the merge step of merge sort, so a
+    token's matches are exactly ``min(count_a, count_b)``."""
+    empty = F.array().cast("array<string>")
+
+    def walk(x):
+        sa, sb = x["a"], x["b"]
+        na, nb = F.size(sa), F.size(sb)
+        init = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit(0).cast("long").alias("c"))
+
+        def step(acc, _k):
+            i, j = acc["i"], acc["j"]
+            ai = F.element_at(sa, F.least(i, F.greatest(na, F.lit(1))))
+            bj = F.element_at(sb, F.least(j, F.greatest(nb, F.lit(1))))
+            return (F.when((i > na) | (j > nb), acc)
+                    .when(ai == bj, F.struct((i + 1).alias("i"), (j + 1).alias("j"), (acc["c"] + 1).alias("c")))
+                    .when(ai < bj, F.struct((i + 1).alias("i"), j.alias("j"), acc["c"].alias("c")))
+                    .otherwise(F.struct(i.alias("i"), (j + 1).alias("j"), acc["c"].alias("c"))))
+
+        steps = F.sequence(F.lit(1), F.greatest(na + nb, F.lit(1)))
+        return F.aggregate(steps, init, step, lambda acc: acc["c"])
+
+    pair = F.struct(F.sort_array(F.coalesce(_c(a), empty)).alias("a"), F.sort_array(F.coalesce(_c(b), empty)).alias("b"))
+    return let(pair, walk)
 
 
 def ngrams(tokens, n: int) -> Column:
