@@ -51,15 +51,17 @@ def bag_overlap(a, b) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Contiguous n-grams joined by a single space (tokens never hold spaces)."""
+    """Contiguous n-grams joined by a single space (tokens never hold spaces):
+    ``n`` shifted slices of the token array zipped element-wise."""
     if n == 1:
         return _c(tokens)
 
     def grams(t):
-        k = F.size(t) - n
-        return F.when(k >= 0, F.transform(F.sequence(F.lit(0), k),
-                                          lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-                      ).otherwise(F.array().cast("array<string>"))
+        k = F.greatest(F.size(t) - n + 1, F.lit(0))
+        g = F.slice(t, 1, k)
+        for off in range(1, n):
+            g = F.zip_with(g, F.slice(t, off + 1, k), lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.when(k > 0, g).otherwise(F.array().cast("array<string>"))
 
     return grams(_c(tokens)) if isinstance(tokens, str) else let(_c(tokens), grams)
 
