@@ -82,3 +82,23 @@ def test_sample_n_large_path_equals_topk(spark, monkeypatch):
     monkeypatch.setattr(readers, "HEAD_LIMIT", 10)
     large = sorted(r.k for r in readers.sample_n(df, "k", 40, seed=3).collect())
     assert small == large and len(small) == 40
+
+
+def test_hot_conversation_pairing_and_merging(spark):
+    """One conversation holding most rows: neighbour-join pairing and blocked
+    island numbering give the same answer as the per-conversation definitions."""
+    from evalcrate.operators.chat import merge_adjacent_roles_long, pair_turns
+    roles = ["user", "user", "assistant", "user", "assistant", "assistant", "assistant"]
+    rows = [(0, t, roles[t % 7], f"t{t};") for t in range(3000)] + [(1, 0, "user", "x"), (1, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert pair_turns(df, even_only=True).count() == 1500 + 1
+    got = merge_adjacent_roles_long(df).where("conv_id = 0").orderBy("turn").collect()
+    # expected islands by a plain Python scan
+    want, prev = [], None
+    for _, t, r, x in rows[:3000]:
+        if r == prev:
+            want[-1][1] += x
+        else:
+            want.append([r, x])
+        prev = r
+    assert [(g.role, g.text) for g in got] == [tuple(w) for w in want]
