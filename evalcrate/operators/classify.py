@@ -186,6 +186,32 @@ def binary_acc_f1(df: DataFrame, pred_col: str = "pred", label_col: str = "label
                       F.when(den > 0, 2.0 * F.col("tp") / den).otherwise(F.lit(0.0)).alias("f1"))
 
 
+def acc_f1_worst_group(df: DataFrame, groups: Sequence[str], pred_col: str = "pred", label_col: str = "label",
+                       threshold: float = 0.5) -> DataFrame:
+    """M4 + M5 in one scan: accuracy, binary F1 and worst-group accuracy from a
+    single aggregate with one pair of counters per (group, label) cell (the
+    group list is a fixed parameter, so the counters are too)."""
+    p, t = _c(pred_col), _c(label_col)
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(p == t).alias("n_equal"),
+            F.count_if((p == 1) & (t == 1)).alias("tp"), F.count_if((p == 1) & (t != 1)).alias("fp"),
+            F.count_if((p != 1) & (t == 1)).alias("fn")]
+    cells = []
+    for gi, g in enumerate(groups):
+        for lab in (0, 1):
+            member = (F.col(g) >= threshold) & (t == lab)
+            aggs += [F.count_if(member).alias(f"_n{gi}_{lab}"), F.count_if(member & (p == t)).alias(f"_c{gi}_{lab}")]
+            cells.append((gi, g, lab))
+    a = df.agg(*aggs)
+    cell_structs = [F.when(F.col(f"_n{gi}_{lab}") > 0, F.struct(
+        (F.col(f"_c{gi}_{lab}") / F.col(f"_n{gi}_{lab}")).alias("accuracy"), F.lit(g).alias("group"),
+        F.lit(lab).alias("label"))) for gi, g, lab in cells]
+    worst = F.array_min(F.filter(F.array(*cell_structs), lambda c: c.isNotNull()))
+    den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    return a.select("n", F.try_divide(F.col("n_equal").cast("double"), F.col("n").cast("double")).alias("accuracy"),
+                    F.when(den > 0, 2.0 * F.col("tp") / den).otherwise(F.lit(0.0)).alias("f1"),
+                    worst["accuracy"].alias("wga"), worst["group"].alias("worst_group"), worst["label"].alias("worst_label"))
+
+
 def group_accuracy_cells(df: DataFrame, groups: Sequence[str], pred_col: str = "pred",
                          label_col: str = "label", threshold: float = 0.5) -> DataFrame:
     """Per (group, label) accuracy over members (fraction >= threshold).

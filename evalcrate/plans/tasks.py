@@ -49,9 +49,7 @@ def evaluate_toxicity(df: DataFrame, response_col: str, label_col: str, groups:
     """yes/no responses -> accuracy, F1 and worst-group accuracy (M4 + M5)."""
     s = df.select(*groups, T.label_contains(label_col, positive_marker).cast("int").alias("label"),
                   T.yes_flag(response_col).alias("pred"))
-    worst = C.worst_group_accuracy(s, groups, "pred", "label")   # one row, attached as scalars
-    return C.binary_acc_f1(s, "pred", "label").select(
-        "*", *[worst.select(c).scalar().alias(c) for c in ("wga", "worst_group", "worst_label")])
+    return C.acc_f1_worst_group(s, groups, "pred", "label")   # one scan, one aggregate
 
 
 def evaluate_summaries(df: DataFrame, pred_col: str, ref_col: str, rouge: bool = True, bleu: bool = True,
