@@ -77,3 +77,60 @@ def corpus_bleu(preds, refs, max_order=4):
     ratio = tl / rl
     bp = 1.0 if ratio > 1.0 else math.exp(1 - 1 / ratio)
     return geo * bp
+
+
+def lcs_table(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
+    return t
+
+
+def lcs_ref_indices(ref, can):
+    t = lcs_table(ref, can)
+    i, j, out = len(ref), len(can), []
+    while i > 0 and j > 0:
+        if ref[i - 1] == can[j - 1]:
+            out.insert(0, i - 1)
+            i, j = i - 1, j - 1
+        elif t[i][j - 1] > t[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _fm(p, r):
+    return 2 * p * r / (p + r) if p + r > 0 else 0.0
+
+
+def rouge_l(pred, ref):
+    p, r = rouge_tokens(pred), rouge_tokens(ref)
+    if not p or not r:
+        return 0.0
+    lcs = lcs_dp(p, r)
+    return _fm(lcs / len(p), lcs / len(r))
+
+
+def rouge_lsum(pred, ref):
+    ps = [rouge_tokens(s) for s in pred.split("\n") if len(s)]
+    rs = [rouge_tokens(s) for s in ref.split("\n") if len(s)]
+    m, n = sum(map(len, rs)), sum(map(len, ps))
+    if not rs or not ps or not m or not n:
+        return 0.0
+    cr, cp = Counter(), Counter()
+    for s in rs:
+        cr.update(s)
+    for s in ps:
+        cp.update(s)
+    hits = 0
+    for r in rs:
+        union = sorted(set().union(*[lcs_ref_indices(r, c) for c in ps]))
+        for i in union:
+            tok = r[i]
+            if cp[tok] > 0 and cr[tok] > 0:
+                hits += 1
+                cp[tok] -= 1
+                cr[tok] -= 1
+    return _fm(hits / n, hits / m)
