@@ -102,10 +102,12 @@ def reference_scores(gold: DataFrame, preds: DataFrame, pred_col: str = "predict
     Extra prediction columns (run keys such as model or shots) are carried
     through, so ``best_reference(scores, [run keys.., key])`` scores a run matrix."""
     p = preds.select(*[c for c in preds.columns if c != pred_col], T.extract_answer(pred_col).alias("answer_pred"))
+    # the prediction is cleaned and tokenized once, before it meets its references
+    p = p.withColumn("_pt", T.answer_tokens("answer_pred"))
     j = join_gold(gold, p, key)
-    pt, rt = T.answer_tokens("answer_pred"), T.answer_tokens("answer")
-    s = j.select("*", pt.alias("_pt"), rt.alias("_rt"))
-    s = s.select(*j.columns, f1_from_overlap(bag_overlap("_pt", "_rt"), F.size("_pt"), F.size("_rt")).alias("f1"))
+    s = j.withColumn("_rt", T.answer_tokens("answer"))
+    f1 = f1_from_overlap(bag_overlap("_pt", "_rt"), F.size("_pt"), F.size("_rt"))
+    s = s.select(*[c for c in j.columns if c != "_pt"], f1.alias("f1"))
     return s.withColumn("abstained", F.lower("answer_pred").contains("unanswerable").cast("double"))
 
 
