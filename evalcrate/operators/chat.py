@@ -50,7 +50,7 @@ def merge_adjacent_roles_long(conv: DataFrame, conv_col: str = "conv_id", turn_c
     isl = segmented_running_sum(base, conv_col, turn_col, "_start", "_island")
     out = isl.groupBy(conv_col, "_island").agg(
         F.min(turn_col).alias(turn_col), F.first(role_col).alias(role_col),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn_col, text_col))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(turn_col, text_col))),
                                  lambda x: x[text_col]), "").alias(text_col))
     return out.select(conv_col, (F.col("_island") - 1).alias("turn"), role_col, text_col)
 

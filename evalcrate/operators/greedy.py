@@ -49,7 +49,7 @@ def _block_best(pred_vecs: pd.Series, ref_vecs: pd.Series) -> pd.DataFrame:
 def _blocks(vectors: DataFrame, side: str, block: int) -> DataFrame:
     v = vectors.where(F.col("side") == side).select("pair_id", "vec_id", "embedding")
     nb = v.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_nb"))
-    e = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    e = F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))
     return (v.join(nb, "pair_id").withColumn("_blk", F.pmod(F.xxhash64("vec_id"), F.col("_nb")))
             .groupBy("pair_id", "_blk").agg(e.alias("_e"))
             .select("pair_id", F.col("_e.vec_id").alias(f"{side}_ids"), F.col("_e.embedding").alias(f"{side}_vecs")))

@@ -136,7 +136,7 @@ def fewshot_prefix(examples: DataFrame, shots: int, start_prompt: str = "", tran
     aggregated, in k order."""
     _check_shots(shots)
     ex = examples.where(F.col(k_col) <= shots).select(F.struct(k_col, text_col).alias("e"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e[text_col]), "")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e[text_col]), "")
     if shots == 0:
         body = F.lit("")
     return ex.agg(F.concat(F.lit(start_prompt), body, F.lit(transition)).alias("prefix"))
@@ -159,7 +159,7 @@ def example_turns(examples: DataFrame, shots: int, first_prefix: str = "", k_col
     ``first_prefix`` is prepended to the first question (system text given as user turn)."""
     _check_shots(shots)
     ex = examples.where(F.col(k_col) <= shots).select(F.struct(k_col, q_col, r_col).alias("e"))
-    srt = F.array_sort(F.collect_list("e"))
+    srt = F.sort_array(F.collect_list("e"))
     turns = F.flatten(F.transform(srt, lambda e, i: F.array(
         msg("user", F.when(i == 0, F.concat(F.lit(first_prefix), e[q_col])).otherwise(e[q_col])),
         msg("assistant", e[r_col]))))
@@ -184,7 +184,7 @@ def fewshot_chat_text(df: DataFrame, question: Column, examples: DataFrame, shot
     ``Assistant:`` joined by newlines.  The example lines are built once (scalar)."""
     _check_shots(shots)
     ex = examples.where(F.col("k") <= shots).select(F.struct("k", "question", "response").alias("e"))
-    lines = F.flatten(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.array(
+    lines = F.flatten(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.array(
         F.concat(F.lit(user_tag), e["question"]), F.concat(F.lit(assistant_tag + " "), e["response"]))))
     prefix = ex.agg(F.array_join(F.concat(F.array(F.lit(start_prompt)),
                                           F.coalesce(lines, F.array().cast("array<string>"))), "\n").alias("p"))
@@ -246,7 +246,7 @@ def example_rows(picked: DataFrame, q_template: str, r_field: str | None, k_col:
 def example_block(rows: DataFrame, with_response: bool = False) -> DataFrame:
     """P10: one row, all example blocks concatenated in k order."""
     e = F.struct("k", "question", "response")
-    body = F.transform(F.array_sort(F.collect_list(e)),
+    body = F.transform(F.sort_array(F.collect_list(e)),
                        lambda x: F.concat(x["question"], x["response"]) if with_response else x["question"])
     return rows.agg(F.array_join(body, "").alias("examples"))
 
