@@ -151,6 +151,26 @@ def _rouge_lsum_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["precision", "recall", "fmeasure"])
 
 
+BOTH = StructType([StructField("rougeL", SCORE), StructField("rougeLsum", SCORE)])
+
+
+@F.pandas_udf(BOTH)
+def _rouge_l_both_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """ROUGE-L and ROUGE-Lsum from the per-line tokens in one Arrow round trip
+    (the whole-text tokens are the lines' tokens concatenated: a token never
+    spans a newline)."""
+    l_rows, s_rows = [], []
+    for p, r in zip(pred, ref):
+        ps = [list(x) for x in p if len(x)]
+        rs = [list(x) for x in r if len(x)]
+        fp = [t for x in ps for t in x]
+        fr = [t for x in rs for t in x]
+        l_rows.append(dict(zip(("precision", "recall", "fmeasure"), _score(lcs_length(fp, fr), len(fp), len(fr)))))
+        hits, n, m = summary_lcs_hits(rs, ps)
+        s_rows.append(dict(zip(("precision", "recall", "fmeasure"), _score(hits, n, m))))
+    return pd.DataFrame({"rougeL": l_rows, "rougeLsum": s_rows})
+
+
 def sentence_tokens(c) -> Column:
     """Lines of the text (``split('\\n')``, empty lines dropped), each as ROUGE tokens."""
     lines = F.filter(F.split(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), "\n"),
@@ -161,10 +181,11 @@ def sentence_tokens(c) -> Column:
 def rouge_l_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", lsum: bool = False) -> DataFrame:
     """Per pair ROUGE-L (and optionally ROUGE-Lsum) precision/recall/F1."""
     ship_package(df.sparkSession)
-    out = spread(df).withColumn("rougeL", _rouge_l_udf(rouge_tokens(pred_col), rouge_tokens(ref_col)))
-    if lsum:
-        out = out.withColumn("rougeLsum", _rouge_lsum_udf(sentence_tokens(pred_col), sentence_tokens(ref_col)))
-    return out
+    if not lsum:
+        return spread(df).withColumn("rougeL", _rouge_l_udf(rouge_tokens(pred_col), rouge_tokens(ref_col)))
+    both = _rouge_l_both_udf(sentence_tokens(pred_col), sentence_tokens(ref_col))
+    return (spread(df).withColumn("_rl", both)
+            .withColumn("rougeL", F.col("_rl.rougeL")).withColumn("rougeLsum", F.col("_rl.rougeLsum")).drop("_rl"))
 
 
 def rouge_l(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", lsum: bool = False,
