@@ -64,3 +64,10 @@ def test_best_reference_per_run(spark):
     best = Q.best_reference(sc, ["run", "question_id"])
     m = {r.run: r for r in Q.f1_by_type(best, group_cols=["run"]).collect()}
     assert m["r1"].answer_f1_extractive == 1.0 and m["r2"].answer_f1_boolean == 1.0
+
+
+def test_dedupe_predictions_last_write_wins(spark):
+    preds = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 3), ("q1", "c", 2), ("q2", "z", 1)],
+                                  "question_id string, prediction string, seq int")
+    got = {r.question_id: r.prediction for r in Q.dedupe_predictions(preds, "question_id", "seq").collect()}
+    assert got == {"q1": "b", "q2": "z"}
