@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from evalcrate.functions import options as OP
 
@@ -58,3 +59,23 @@ def test_python_tokenizer(spark):
     df = spark.createDataFrame([("a b  c d",)], "s string")
     r = df.select(pretokenize("s", 3, tokenizer=python_tokenizer(str.split)).alias("t")).first()
     assert list(r.t) == ["a", "b", "c"]
+
+
+def test_parse_options_and_positions_random(spark):
+    import random
+    import re
+    rnd = random.Random(17)
+    keys, words = ["A", "B", "C", "D", "E"], ["cat", "dog", "a.b", "x+y", "(z)", "cat dog", "ca"]
+    rows = []
+    for i in range(150):
+        items = [f"{rnd.choice(keys)}: {rnd.choice(words)}" for _ in range(rnd.randint(1, 5))]
+        q = "Q? {" + ", ".join(items) + "}"
+        target = " ".join(rnd.choice(words + keys + ["A)", "B:", "C."]) for _ in range(rnd.randint(0, 6)))
+        rows.append((i, q, target))
+    df = spark.createDataFrame(rows, "id int, q string, t string")
+    got = {r.id: r for r in df.select("id", OP.parse_options("q").alias("o"),
+                                      OP.literal_positions("t", F.lit("cat")).alias("p")).collect()}
+    for i, q, t in rows:
+        want = dict(item.split(": ") for item in re.search(r"\{(.+?)\}$", q).group(1).split(", "))
+        assert [(x.key, x.value) for x in got[i].o] == list(want.items())
+        assert list(got[i].p) == [m.start() for m in re.finditer(re.escape("cat"), t)]
