@@ -122,3 +122,25 @@ def test_intersect_all_equals_sum_of_least(spark):
     db = spark.createDataFrame(rows_b, "id int, token string")
     got = {r.id: r.overlap for r in O.token_overlap_intersect_all(da, db, "id", "token").collect()}
     assert got == want
+
+
+def _py_13a(line):
+    import re
+    line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        line = line.replace(a, b)
+    line = f" {line} "
+    for pat, rep in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "),
+                     (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        line = re.sub(pat, rep, line)
+    return line.split()
+
+
+def test_bleu_13a_random_parity(spark):
+    rnd = random.Random(21)
+    alphabet = list("ab1 2.,-!?&;:/\"'()[]{}~`@#$%^*+=<>\n") + ["&amp;", "&lt;", "<skipped>", "-\n", "3.5", "é"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = {r.id: list(r.t) for r in df.select("id", O.bleu_13a_tokens("s").alias("t")).collect()}
+    bad = [t for i, t in enumerate(texts) if got[i] != _py_13a(t)]
+    assert not bad, bad[:3]
