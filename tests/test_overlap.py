@@ -144,3 +144,14 @@ def test_bleu_13a_random_parity(spark):
     got = {r.id: list(r.t) for r in df.select("id", O.bleu_13a_tokens("s").alias("t")).collect()}
     bad = [t for i, t in enumerate(texts) if got[i] != _py_13a(t)]
     assert not bad, bad[:3]
+
+
+def test_rouge_tokens_random_parity(spark):
+    from pyref import rouge_tokens as py_rouge_tokens
+    rnd = random.Random(23)
+    alphabet = list("aZ9 ,.-_\n\t") + ["É", "é", "ß", "İ", "Ω", "ﬁ", "Ǆ", "²", "Ⅻ"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = {r.id: list(r.t) for r in df.select("id", O.rouge_tokens("s").alias("t")).collect()}
+    bad = [t for i, t in enumerate(texts) if got[i] != py_rouge_tokens(t)]
+    assert not bad, bad[:3]
