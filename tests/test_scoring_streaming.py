@@ -47,3 +47,16 @@ def test_stream_score_and_metrics(spark, tmp_path):
     q2.awaitTermination(120)
     m = spark.sql("select * from em_stream_test").first()
     assert (m.n, m.tp, m.fn) == (3, 2, 1)
+
+
+def test_stream_restart_processes_only_new_files(spark, tmp_path):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    schema = "id long, response string, truth string"
+    spark.createDataFrame([(1, "a", "y")], schema).write.parquet(src + "/a")
+    stream_score(spark, src + "/*", schema, lambda ts: [t.upper() for t in ts], "id", "response", out,
+                 checkpoint=ck).awaitTermination(120)
+    spark.createDataFrame([(2, "b", "y")], schema).write.parquet(src + "/b")
+    stream_score(spark, src + "/*", schema, lambda ts: [t.upper() for t in ts], "id", "response", out,
+                 checkpoint=ck).awaitTermination(120)
+    rows = sorted((r.id, r.output) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, "A"), (2, "B")]          # restart picked up only the new file
