@@ -41,9 +41,11 @@ def run_duration(df: DataFrame, run_cols: Sequence[str], ts_col: str = "ts") ->
 
 
 def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", rouge: bool = True,
-                    bleu: bool = True, f1: bool = True, exact: bool = True, group_cols: Sequence[str] = ()) -> DataFrame:
+                    bleu: bool = True, f1: bool = True, exact: bool = True, group_cols: Sequence[str] = (),
+                    lcs: bool = False) -> DataFrame:
     """The requested metrics in one scan and one aggregate; switched-off
-    metrics are NULL columns (so the schema is stable)."""
+    metrics are NULL columns (so the schema is stable).  ``lcs=True`` adds
+    ROUGE-L and ROUGE-Lsum means (one pandas-UDF column in the same pass)."""
     per, aggs = [], [F.count(F.lit(1)).alias("n")]
     base = spread(df)
     if rouge:
@@ -65,7 +67,15 @@ def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
             per.append(f1_from_overlap(ov, F.size("_sp"), F.size("_sr")).alias("_f1"))
         if exact:
             per.append((F.array_join("_sp", " ") == F.array_join("_sr", " ")).cast("double").alias("_em"))
+    if lcs:
+        from evalcrate.operators.lcs import _rouge_l_both_udf, sentence_tokens
+        from evalcrate.session import ship_package
+        ship_package(df.sparkSession)
+        rl = _rouge_l_both_udf(sentence_tokens(pred_col), sentence_tokens(ref_col))
+        per += [rl["rougeL"]["fmeasure"].alias("_rougeL"), rl["rougeLsum"]["fmeasure"].alias("_rougeLsum")]
     s = base.select(*group_cols, *per)
+    if lcs:
+        aggs += [F.avg("_rougeL").alias("rougeL"), F.avg("_rougeLsum").alias("rougeLsum")]
     if rouge:
         aggs += [F.avg("_rouge1").alias("rouge1"), F.avg("_rouge2").alias("rouge2")]
     if bleu:
@@ -92,7 +102,8 @@ def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
                       F.col("rouge2") if rouge else null.alias("rouge2"),
                       bleu_col.alias("bleu"),
                       F.col("token_f1") if f1 else null.alias("token_f1"),
-                      F.col("exact_match") if exact else null.alias("exact_match"))
+                      F.col("exact_match") if exact else null.alias("exact_match"),
+                      *(["rougeL", "rougeLsum"] if lcs else []))
 
 
 def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:

@@ -53,9 +53,10 @@ def evaluate_toxicity(df: DataFrame, response_col: str, label_col: str, groups:
 
 
 def evaluate_summaries(df: DataFrame, pred_col: str, ref_col: str, rouge: bool = True, bleu: bool = True,
-                       f1: bool = True, exact: bool = False, group_cols: Sequence[str] = ()) -> DataFrame:
-    """ROUGE-1/2, corpus BLEU, token F1, exact match in one pass (M18 switches)."""
-    return RU.summary_metrics(df, pred_col, ref_col, rouge, bleu, f1, exact, group_cols)
+                       f1: bool = True, exact: bool = False, group_cols: Sequence[str] = (),
+                       rouge_l: bool = True) -> DataFrame:
+    """ROUGE-1/2/L/Lsum, corpus BLEU, token F1, exact match in one pass (M18 switches)."""
+    return RU.summary_metrics(df, pred_col, ref_col, rouge, bleu, f1, exact, group_cols, lcs=rouge_l and rouge)
 
 
 def evaluate_abstention(gold_long: DataFrame, predictions: DataFrame, pred_col: str = "prediction") -> DataFrame:

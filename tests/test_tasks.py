@@ -28,3 +28,14 @@ def test_toxicity_and_qa(spark):
     qa = spark.createDataFrame([("The Cat</s>", "cat"), ("dog", "a cat")], "p string, g string")
     q = TK.evaluate_qa(qa, "p", "g", remove_suffix="</s>").first()
     assert q.exact_match == 0.5 and q.squad_f1_score == pytest.approx(0.5)
+
+
+def test_evaluate_summaries_with_rouge_l(spark):
+    import pytest
+    from pyref import rouge_l, rouge_n
+    rows = [("the cat sat on the mat", "the cat lay on a mat"), ("a b\nc d", "c d\na b"), ("", "x")]
+    df = spark.createDataFrame(rows, "pred string, ref string")
+    r = TK.evaluate_summaries(df, "pred", "ref").first()
+    assert r.rougeL == pytest.approx(sum(rouge_l(p, g) for p, g in rows) / 3)
+    assert r.rouge1 == pytest.approx(sum(rouge_n(p, g, 1) for p, g in rows) / 3)
+    assert r.bleu is not None and r.exact_match is None
