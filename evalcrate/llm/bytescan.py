@@ -7,6 +7,8 @@ and by eight bytes a word, however long a text is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +62,18 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
+           most: int = 4 * PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about ``most`` text bytes (a longer text is a run of its own)."""
+    for batch in batches:
+        off = buffers(batch.column(column))[1]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(max(int(np.searchsorted(off, off[lo] + most, "right")) - 1, lo + 1), batch.num_rows)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _cuts(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> list[int]:
     """Piece bounds: at text ends where possible, else inside a text after a byte of no word."""
     cuts, end = [int(off[0])], int(off[-1])

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from evalcrate.llm.decontam import contamination
+from evalcrate.llm.langid import identify
+from evalcrate.llm.mixing import mix_sources
 from evalcrate.llm.ngram_join import jaccard_components
+from evalcrate.llm.shards import histogram_shards
 from evalcrate.llm.shared import table
+from evalcrate.llm.tokens import count_tokens
+from evalcrate.llm.urls import RULES, SECOND_LEVEL, filter_urls
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +48,91 @@ FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n
 @query("op7_ngram_jaccard", NGRAM_SQL)
 def op7(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+# runs of 0-9, a-z and non-ASCII characters, A-Z lower-cased
+ALNUM_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+               r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+DECONTAM_SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {ALNUM_WORDS} AS t FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(t), 13) AS k, array_to_string(t[i:i + least(len(t), 13) - 1], ' ') AS w
+       FROM (SELECT *, unnest(range(1, greatest(len(t) - 12, 1) + 1)) AS i FROM b WHERE len(t) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+d AS (SELECT doc_id, {ALNUM_WORDS} AS t FROM documents),
+dw AS (SELECT doc_id, k, i, array_to_string(t[i:i + k - 1], ' ') AS w
+       FROM (SELECT d.doc_id, d.t, ks.k, unnest(range(1, len(d.t) - ks.k + 2)) AS i FROM d, ks WHERE len(d.t) >= ks.k)),
+m AS (SELECT dw.doc_id, dw.i, dw.k, bw.item FROM dw JOIN bw USING (k, w)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s
+       FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(t) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query("op10_decontam", DECONTAM_SQL)
+def op10(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+
+
+@query("op2_histogram_shards")
+def op2(spark, sf_dir):
+    return histogram_shards(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op5_entropy_mix")
+def op5(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def _url_sql() -> str:
+    def strength(t, n, b):
+        return f"""(SELECT CASE WHEN N IS NULL OR K = 0 OR K = N OR N - N2 / N - (G - 1) <= 0 THEN 1.0 ELSE
+            1 / greatest(0.01, least(0.99, (Q - K * K / N - (K / N) * (1 - K / N) * (G - 1))
+            / ((K / N) * (1 - K / N) * (N - N2 / N - (G - 1))))) - 1 END
+            FROM (SELECT CAST(sum({n}) AS DOUBLE) AS N, CAST(sum({b}) AS DOUBLE) AS K, CAST(count(*) AS DOUBLE) AS G,
+            CAST(sum({n} * {n}) AS DOUBLE) AS N2, sum(CAST({b} AS DOUBLE) * {b} / {n}) AS Q FROM {t} WHERE {n} > 0))"""
+    names, verdicts = [], []
+    for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')"
+        names.append(f"WHEN {fits} THEN '{h}{p}'")
+        verdicts.append(f"WHEN {fits} THEN '{v}'")
+    second = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, CASE {' '.join(names)} END AS rule, CASE {' '.join(verdicts)} END AS given FROM h),
+a AS (SELECT host, string_split(host, '.') AS p, count(given) AS n, count(*) FILTER (given = 'block') AS bad FROM j GROUP BY host),
+b AS (SELECT *, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ({second}) THEN 2 ELSE 1 END AS k FROM a),
+hosts AS (SELECT host, n, bad, CASE WHEN len(p) >= k THEN array_to_string(p[len(p) - k + 1:], '.') ELSE host END AS sfx,
+      CASE WHEN len(p) >= k + 1 THEN array_to_string(p[len(p) - k:], '.') ELSE host END AS dom FROM b),
+doms AS (SELECT sfx, dom, sum(n) AS dn, sum(bad) AS db FROM hosts GROUP BY ALL),
+sfxs AS (SELECT sfx, sum(dn) AS sn, sum(db) AS sb FROM doms GROUP BY ALL),
+w AS (SELECT (CAST(sum(sb) AS DOUBLE) + 1) / (sum(sn) + 2) AS p0, {strength('sfxs', 'sn', 'sb')} AS ms,
+      {strength('doms', 'dn', 'db')} AS md, {strength('hosts', 'n', 'bad')} AS mh FROM sfxs),
+q AS (SELECT host, n, bad, mh, (db + md * ((sb + ms * p0) / (sn + ms))) / (dn + md) AS pd
+      FROM hosts JOIN doms USING (sfx, dom) JOIN sfxs USING (sfx), w),
+ab AS (SELECT host, bad + mh * pd AS a, n - bad + mh * (1 - pd) AS b FROM q)
+SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5
+       THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN ab USING (host)
+"""
+
+
+@query("op6_url_filter", _url_sql())
+def op6(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents"), model="piece_bpe_32k.model", limit=4096)
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
