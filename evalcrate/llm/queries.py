@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from evalcrate.llm.decontam import contamination
+from evalcrate.llm.hamming import exact_topk
+from evalcrate.llm.html import extract_pages
 from evalcrate.llm.langid import identify
 from evalcrate.llm.mixing import mix_sources
 from evalcrate.llm.ngram_join import jaccard_components
@@ -12,6 +16,7 @@ from evalcrate.llm.shards import histogram_shards
 from evalcrate.llm.shared import table
 from evalcrate.llm.tokens import count_tokens
 from evalcrate.llm.urls import RULES, SECOND_LEVEL, filter_urls
+from evalcrate.llm.warc import TRACKING, records_of_pages, resolve_revisits
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +141,54 @@ def op4(spark, sf_dir):
 @query("op8_language_id")
 def op8(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_html_main_text")
+def op1(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+CANONICAL = (r"""(host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END)""")
+WARC_SQL = rf"""
+WITH r AS (SELECT page_id * 2 AS record_id, page_id AS ts, url, true AS whole, md5(coalesce(html, '')) AS etag, html AS payload FROM pages
+  UNION ALL SELECT page_id * 2 + 1, page_id + 50, url || CASE WHEN instr(url, '?') > 0 THEN '&utm_source=again' ELSE '#again' END,
+  false, md5(coalesce(html, '')), NULL FROM pages),
+s AS (SELECT *, regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS t FROM r),
+p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(t, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', '') AS host,
+  regexp_replace(regexp_extract(t, '^[^/?]*([^?]*)', 1), '/(index\.html?)?$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(t, '\?(.*)$', 1), '&'), lambda x: x <> '' AND
+  NOT regexp_matches(x, '(?i)^{TRACKING}(=|$)'))), '&') AS q FROM s),
+c AS (SELECT record_id, ts, coalesce({CANONICAL}, '') AS canonical_url, whole, etag, payload FROM p),
+m AS (SELECT a.record_id, a.ts, a.canonical_url, a.etag, max(struct_pack(ts := b.ts, id := b.record_id, etag := b.etag, payload := b.payload)) AS b
+  FROM c a LEFT JOIN c b ON b.whole AND a.canonical_url = b.canonical_url AND a.canonical_url <> '' AND b.ts < a.ts WHERE NOT a.whole
+  GROUP BY ALL),
+x AS (SELECT *, CASE WHEN b.id IS NULL THEN 'no_response' WHEN etag = b.etag THEN 'resolved' ELSE 'mismatch' END AS result FROM m)
+SELECT record_id, ts, canonical_url, result, CASE WHEN result = 'resolved' THEN b.id END AS matched_id,
+  CASE WHEN result = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || b.etag END AS headers,
+  CASE WHEN result = 'resolved' THEN md5(b.payload) END AS payload_md5,
+  CASE WHEN result = 'resolved' THEN CAST(length(b.payload) AS BIGINT) END AS n_chars FROM x
+"""
+
+
+@query("op3_warc_revisits", WARC_SQL)
+def op3(spark, sf_dir):
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value))), "\n")
+    return resolve_revisits(records_of_pages(table(spark, sf_dir, "pages"))).select(
+        "record_id", "ts", "canonical_url", "result", "matched_id", lines.alias("headers"),
+        F.md5("payload").alias("payload_md5"), F.length("payload").cast("long").alias("n_chars"))
+
+
+TOPK_SQL = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x > 0, false)) AS b FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(len(list_filter(list_zip(q.b, c.b), lambda x: x[1] <> x[2])) AS BIGINT) AS distance
+      FROM c q, c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
+@query("op9_hamming_topk", TOPK_SQL)
+def op9(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk(rows, rows.where("vec_id % 20 = 0"), k=10)
