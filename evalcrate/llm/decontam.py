@@ -228,3 +228,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop:
     ship_package(docs.sparkSession)
     words = saved(test_words(benchmark), "test-words")
     return find_matches(build_index(docs, words), words, width, slop).mapInArrow(_digest, _DIGEST)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated (equal texts share the verdict)."""
+    keyed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    bad = (contamination(keyed.select(F.col("_text").alias("doc_id"), "text"), benchmark, width, slop=0)
+           .where("contaminated").select(F.col("doc_id").alias("_text")).distinct())
+    return keyed.join(bad, "_text", "left_anti").select(*docs.columns)

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,11 +282,31 @@ def calibrate(docs: DataFrame, model, z: float) -> dict[tuple[str, int], tuple[f
     return limits
 
 
+def fit(docs: DataFrame, z: float) -> tuple:
+    """Broadcast model (None without training rows) and calibrated limits."""
+    model = train(docs)
+    if model is None:
+        return None, {}
+    model = docs.sparkSession.sparkContext.broadcast(model)
+    return model, calibrate(docs, model, z)
+
+
 def identify(docs: DataFrame, z: float = 6.0) -> DataFrame:
     """Per document: ``doc_id, held_out, lang_pred, score, rejected``."""
-    model = train(docs)
-    limits = {}
-    if model is not None:
-        model = docs.sparkSession.sparkContext.broadcast(model)
-        limits = calibrate(docs, model, z)
+    model, limits = fit(docs, z)
     return _scored(docs, model, limits, z).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def keep_identified(docs: DataFrame, z: float = 6.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not rejected."""
+    model, limits = fit(docs, z)
+    score = _scorer(model, limits, z)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bytescan.slices(batches):
+            n = pa.nulls(b.num_rows)
+            judged = next(score(iter([pa.RecordBatch.from_arrays(
+                [n.cast(pa.int64()), n.cast(pa.bool_()), b.column("text"), n.cast(pa.string())],
+                names=["doc_id", "held_out", "text", "label"])])))
+            yield b.filter(pc.invert(judged.column("rejected")))
+    return docs.mapInArrow(run, docs.schema)

@@ -108,14 +108,16 @@ def _copies(pdf):
     return pdf[["source", "size", "n"]].assign(k=out)
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFrame:
-    """Per document: ``doc_id, size, source_size, target, taken``."""
+def _sized(docs: DataFrame) -> DataFrame:
+    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"_source": F.col("source").cast("string"), "_size": words,
+                             "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+
+
+def _dealt(docs: DataFrame, share: float, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Documents, all columns, with ``_copies``; and one row per source ``s, source_size, target``."""
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    slim = saved(rows, "mix-rows")
+    slim = _sized(docs).select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_salt").alias("salt"))
     sub = saved(slim.groupBy("source", "size", "salt").agg(F.count("*").alias("m")), "mix-cells")
     cells = saved(sub.groupBy("source", "size").agg(F.sum("m").alias("n")), "mix-sizes")
     stats = cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("words")).collect()
@@ -129,21 +131,28 @@ def mix_sources(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFra
     rates = cells.join(params, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", rate.alias("rate"))
     whole = saved(rates.groupBy("source").applyInPandas(_copies, "source string, size long, n long, k long"), "mix-copies")
 
-    def same(a, b, names):
-        return [a[c].eqNullSafe(b[c]) for c in names]
-
-    w = Window.partitionBy("source", "size").orderBy("salt")
-    upto = F.sum("m").over(w)
-    dealt = sub.join(whole, same(sub, whole, ["source", "size"])).select(
+    upto = F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt"))
+    dealt = sub.join(whole, sub.source.eqNullSafe(whole.source) & (sub["size"] == whole["size"])).select(
         sub.source, sub["size"], "salt", "m", "n", "k").withColumn("upto", upto)
     share_of = (F.expr("CAST(CAST(k AS DECIMAL(38,0)) * upto DIV n AS BIGINT)")
                 - F.expr("CAST(CAST(k AS DECIMAL(38,0)) * (upto - m) DIV n AS BIGINT)"))
-    dealt = dealt.withColumn("ks", share_of).select("source", "size", "salt", "m", "ks")
-    place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(
-        F.xxhash64("doc_id", F.lit(1)), "doc_id"))
-    ranked = slim.withColumn("place", place)
-    out = ranked.join(dealt, same(ranked, dealt, ["source", "size", "salt"])).select(
-        ranked.doc_id, ranked.source, ranked["size"],
-        (F.expr("ks DIV m") + (F.col("place") <= F.expr("ks % m")).cast("long")).alias("copies"))
-    return out.join(params, out.source.eqNullSafe(params.s)).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    dealt = dealt.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"),
+                         F.col("m").alias("_m"), share_of.alias("_k"))
+    place = F.row_number().over(Window.partitionBy("_source", "_size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    out = (_sized(docs).withColumn("_place", place)
+           .join(dealt, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t")))
+           .withColumn("_copies", F.expr("_k DIV _m") + (F.col("_place") <= F.expr("_k % _m")).cast("long")))
+    return out, params
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFrame:
+    """Per document: ``doc_id, size, source_size, target, taken``."""
+    out, params = _dealt(docs, share, steps)
+    return out.join(params, F.col("_source").eqNullSafe(F.col("s"))).select(
+        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken."""
+    out, _ = _dealt(docs, share, steps)
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
