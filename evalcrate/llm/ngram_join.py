@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalcrate.llm import bytescan
 from evalcrate.llm.shared import components, saved
@@ -243,8 +244,8 @@ def _tiled(df: DataFrame, size_col: str, tile: int) -> DataFrame:
             .withColumn("a", F.least("_c", "_o")).withColumn("b", F.greatest("_c", "_o")).drop("_c", "_o"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable over links)."""
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
+    """Per document: ``doc_id, cid`` (id of its n-gram set), ``n_shingles, comp`` (component over set ids)."""
     spark = docs.sparkSession
     ship_package(spark)
     # n-grams that many classes hold among their first columns, the most frequent ones last in the order
@@ -276,10 +277,39 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int
              .mapInArrow(_exact(k, percent), "u long, v long"))
     linked = components(links)
 
-    labelled = rows.select("doc_id", "cid", "n_shingles").join(
+    return rows.select("doc_id", "cid", "n_shingles").join(
         linked.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn(
         "comp", F.coalesce("comp", "cid"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable over links)."""
+    labelled = jaccard_classes(docs, k, percent, tile)
     smallest = labelled.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
     return labelled.join(smallest, "comp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
         .alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: the smallest doc_id's.
+
+    Documents without words are all kept.  Rows are told apart by doc_id and n-gram set, so a doc_id
+    that stands for two different texts keeps both."""
+    labelled = jaccard_classes(docs, k, percent)
+    kept = labelled.where("n_shingles > 0").groupBy("comp").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")).alias("m"))
+    kept = kept.select(F.col("m.doc_id").alias("_kept"), F.col("m.cid").alias("_cid"))
+    marked = docs.mapInArrow(_with_class(k), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))
+    one = (marked.where("_cid IS NOT NULL").join(kept, marked.doc_id.eqNullSafe(kept._kept) & (marked._cid == kept._cid), "left_semi")
+           .dropDuplicates(["doc_id", "_cid"]))
+    return one.unionByName(marked.where("_cid IS NULL")).select(*docs.columns)
+
+
+def _with_class(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bytescan.slices(batches):
+            h, off = bytescan.word_hashes(b.column("text"), bytescan.NON_SPACE)
+            cids = [int(class_id(bytescan.shingles(h[x:y], k))) if y > x else None for x, y in zip(off, off[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.int64())], names=[*b.schema.names, "_cid"])
+    return run
