@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import saved
+from evalcrate.llm.shared import hidden, saved
 from evalcrate.session import ship_package
 
 SEGMENT = 4 << 20
@@ -232,7 +232,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated (equal texts share the verdict)."""
+    columns = docs.columns
+    docs, back = hidden(docs, ["_text", "_bad"])
     keyed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
     bad = (contamination(keyed.select(F.col("_text").alias("doc_id"), "text"), benchmark, width, slop=0)
            .where("contaminated").select(F.col("doc_id").alias("_text")).distinct())
-    return keyed.join(bad, "_text", "left_anti").select(*docs.columns)
+    return (keyed.join(bad.withColumnRenamed("_text", "_bad"), F.col("_text").eqNullSafe(F.col("_bad")), "left_anti")
+            .withColumnsRenamed(back).select(*columns))

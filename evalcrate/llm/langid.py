@@ -11,8 +11,8 @@ array of 64-bit keys with one log-probability column a language, found by binary
 search; an n-gram no language knows backs off through its context's weight.
 
 A text gets the language of the lowest cross-entropy per character.  ``rejected``
-marks texts without letters and texts whose cross-entropy lies ``z`` standard
-deviations above that of training texts of the language and like length
+marks texts without letters and texts that no model explains: their cross-entropy
+lies ``z`` standard deviations above that of training texts of the language and like length
 (calibrated on a hash sample of at most about ``CALIBRATION`` texts).
 
 Edge cases: a null text or one without a letter is ``und``, score 0, rejected; a
@@ -291,13 +291,13 @@ def fit(docs: DataFrame, z: float) -> tuple:
     return model, calibrate(docs, model, z)
 
 
-def identify(docs: DataFrame, z: float = 6.0) -> DataFrame:
+def identify(docs: DataFrame, z: float = 12.0) -> DataFrame:
     """Per document: ``doc_id, held_out, lang_pred, score, rejected``."""
     model, limits = fit(docs, z)
     return _scored(docs, model, limits, z).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-def keep_identified(docs: DataFrame, z: float = 6.0) -> DataFrame:
+def keep_identified(docs: DataFrame, z: float = 12.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not rejected."""
     model, limits = fit(docs, z)
     score = _scorer(model, limits, z)

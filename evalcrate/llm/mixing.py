@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalcrate.llm.shared import saved
+from evalcrate.llm.shared import hidden, saved
 
 WEIGHTS = (3, 1, 2)
 SALTS = 64
@@ -145,14 +145,20 @@ def _dealt(docs: DataFrame, share: float, steps: int) -> tuple[DataFrame, DataFr
     return out, params
 
 
+_OWN = ["_source", "_size", "_salt", "_place", "_s", "_z", "_t", "_m", "_k", "_copies", "_copy"]
+
+
 def mix_sources(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken``."""
-    out, params = _dealt(docs, share, steps)
+    out, params = _dealt(docs.select("doc_id", "text", "source"), share, steps)
     return out.join(params, F.col("_source").eqNullSafe(F.col("s"))).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as it is taken."""
+    columns = docs.columns
+    docs, back = hidden(docs, _OWN)
     out, _ = _dealt(docs, share, steps)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return out.select(*docs.columns).withColumnsRenamed(back).select(*columns)

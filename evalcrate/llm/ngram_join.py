@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import components, saved
+from evalcrate.llm.shared import components, hidden, saved
 from evalcrate.session import ship_package
 
 CELLS = 64
@@ -296,14 +296,16 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
     Documents without words are all kept.  Rows are told apart by doc_id and n-gram set, so a doc_id
     that stands for two different texts keeps both."""
+    columns = docs.columns
+    docs, back = hidden(docs, ["_cid", "_kept", "_kept_cid"])
     labelled = jaccard_classes(docs, k, percent)
     kept = labelled.where("n_shingles > 0").groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")).alias("m"))
-    kept = kept.select(F.col("m.doc_id").alias("_kept"), F.col("m.cid").alias("_cid"))
+    kept = kept.select(F.col("m.doc_id").alias("_kept"), F.col("m.cid").alias("_kept_cid"))
     marked = docs.mapInArrow(_with_class(k), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))
-    one = (marked.where("_cid IS NOT NULL").join(kept, marked.doc_id.eqNullSafe(kept._kept) & (marked._cid == kept._cid), "left_semi")
+    one = (marked.where("_cid IS NOT NULL").join(kept, marked.doc_id.eqNullSafe(kept._kept) & (F.col("_cid") == F.col("_kept_cid")), "left_semi")
            .dropDuplicates(["doc_id", "_cid"]))
-    return one.unionByName(marked.where("_cid IS NULL")).select(*docs.columns)
+    return one.unionByName(marked.where("_cid IS NULL")).withColumnsRenamed(back).select(*columns)
 
 
 def _with_class(k: int):

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalcrate.llm.shared import saved
+from evalcrate.llm.shared import hidden, saved
 
 PROBES = 256
 CELL_ROWS = 100_000
@@ -106,8 +106,10 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
 def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.005) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``."""
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    docs, back = hidden(docs.drop(*new), ["_size", "_crc", "_doc", "_cell", "_rank", "_slice", "_first", "_local"])
+    columns = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.drop(*[c for c in new if c != "text"]).withColumns({
+    rows = docs.withColumns({
         "_size": F.octet_length(text).cast("long") + F.lit(8), "_crc": F.crc32(text.cast("binary")),
         "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))})
     keys = saved(rows.select(F.col("_crc").alias("crc"), F.col("_doc").alias("doc"), F.col("_size").alias("size")),
@@ -144,4 +146,4 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.005
             .withColumn("slot", F.col("_first") + F.col("_local"))
             .withColumnsRenamed({"_size": "size", "_crc": "text_crc32"})
             .withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-            .drop("_doc", "_cell", "_rank", "_slice", "_first", "_local"))
+            .select(*columns, *new).withColumnsRenamed(back))

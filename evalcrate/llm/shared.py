@@ -24,6 +24,21 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that clash with an operator's own ``names`` put aside, and the map to give them back
+    (``df.withColumnsRenamed(back)``)."""
+    own, aside = {n.lower() for n in names}, {}
+    taken = {c.lower() for c in df.columns} | own
+    for c in df.columns:
+        if c.lower() in own:
+            new = f"{c}_"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            aside[c] = new
+    return df.withColumnsRenamed(aside), {v: k for k, v in aside.items()}
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs): ``(id, comp)``, comp = smallest id.
 
