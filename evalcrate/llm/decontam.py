@@ -238,4 +238,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFr
     bad = (contamination(keyed.select(F.col("_text").alias("doc_id"), "text"), benchmark, width, slop=0)
            .where("contaminated").select(F.col("doc_id").alias("_text")).distinct())
     return (keyed.join(bad.withColumnRenamed("_text", "_bad"), F.col("_text").eqNullSafe(F.col("_bad")), "left_anti")
-            .withColumnsRenamed(back).select(*columns))
+            .select(*docs.columns).withColumnsRenamed(back).select(*columns))

@@ -12,7 +12,7 @@ search; an n-gram no language knows backs off through its context's weight.
 
 A text gets the language of the lowest cross-entropy per character.  ``rejected``
 marks texts without letters and texts that no model explains: their cross-entropy
-lies ``z`` standard deviations above that of training texts of the language and like length
+lies ``z`` standard deviations, and at least ``MARGIN`` nats, above that of training texts of the language and like length
 (calibrated on a hash sample of at most about ``CALIBRATION`` texts).
 
 Edge cases: a null text or one without a letter is ``und``, score 0, rejected; a
@@ -38,6 +38,7 @@ from evalcrate.session import ship_package
 ORDER = 4
 MAX_GRAMS = 400_000
 CALIBRATION = 20_000
+MARGIN = 1.0
 CHUNK = 1 << 18
 _OTHER = 0xFFFE  # letters outside the basic plane
 _TABLE: list[np.ndarray] = []
@@ -243,7 +244,7 @@ def _scorer(model, limits, z: float):
                 for i in np.flatnonzero(n):
                     lang[i] = m.langs[pick[i]]
                     mean, sd = bound.get((lang[i], int(n[i]).bit_length()), (0.0, np.inf))
-                    rejected[i] = best[i] > mean + z * sd
+                    rejected[i] = best[i] > mean + max(z * sd, MARGIN)
                 score = np.where(n > 0, share, 0.0)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(lang, pa.string()),
