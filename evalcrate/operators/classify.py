@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
@@ -116,19 +116,27 @@ def em_format_rates(df: DataFrame, format_col: str = "formatting", truth_col: st
     return agg.select(*cols)
 
 
-def encode_labels(df: DataFrame, gold_col: str, pred_col: str, vals: Iterable[str] | None) -> DataFrame:
-    """C14 on both columns.  With ``vals`` empty/None the class set is the distinct
-    predictions (O2); gold labels outside it fall into one OOV class.  The set of
-    distinct labels is small but data-derived, so the join is left to AQE, which
-    broadcasts it only after measuring its size."""
+def label_cells(df: DataFrame, gold_col: str, pred_col: str, vals: Iterable[str] | None,
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Counts per (gold class, predicted class), C14 on both.  With ``vals`` empty/None the class set is the
+    distinct predictions (O2); gold labels outside it fall into one OOV class.
+
+    The rows are reduced to (gold, pred) cells first, so the known labels are
+    looked up for distinct cells only and no raw row is shuffled by its label."""
+    gc = list(group_cols)
+    cell = [F.col(c).alias(c) for c in gc]
     if vals:
-        return df.select("*", T.encode_label(gold_col, vals).cast("string").alias("gold_class"),
-                         T.encode_label(pred_col, vals).cast("string").alias("pred_class"))
-    labels = df.select(F.col(pred_col).alias("_lab")).distinct().withColumn("_known", F.lit(True))
-    j = df.join(labels, F.col(gold_col).eqNullSafe(F.col("_lab")), "left")
-    return j.select(*[F.col(c) for c in df.columns],
-                    F.when(F.col("_known"), F.col(gold_col)).otherwise(F.lit("\u0000OOV")).alias("gold_class"),
-                    F.col(pred_col).alias("pred_class"))
+        g, p = (T.encode_label(c, vals).cast("string") for c in (gold_col, pred_col))
+        return df.groupBy(*cell, g.alias("gold_class"), p.alias("pred_class")).agg(F.count(F.lit(1)).alias("cnt"))
+    cells = df.groupBy(*cell, F.col(gold_col).alias("gold_class"), F.col(pred_col).alias("pred_class")).agg(
+        F.count(F.lit(1)).alias("cnt"))
+    # one row per label: the gold counts of a label beside the mark that some row predicts it
+    sides = cells.select(*gc, "gold_class", "pred_class", "cnt", F.explode(F.array(F.lit(0), F.lit(1))).alias("as_pred"))
+    marked = sides.withColumn("label", F.when(F.col("as_pred") == 1, F.col("pred_class")).otherwise(F.col("gold_class")))
+    known = F.max("as_pred").over(Window.partitionBy("label"))
+    return (marked.withColumn("known", known).where("as_pred = 0")
+            .withColumn("gold_class", F.when(F.col("known") == 1, F.col("gold_class")).otherwise(F.lit("\u0000OOV")))
+            .groupBy(*gc, "gold_class", "pred_class").agg(F.sum("cnt").alias("cnt")))
 
 
 def distinct_labels(df: DataFrame, col: str) -> DataFrame:
@@ -147,8 +155,7 @@ def weighted_prf(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
     tiny aggregates after that.
     """
     gc = list(group_cols)
-    enc = encode_labels(df, gold_col, pred_col, vals)
-    cells = enc.groupBy(*gc, "gold_class", "pred_class").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = label_cells(df, gold_col, pred_col, vals, gc)
     # each cell contributes support to its gold class and a prediction to its predicted class
     per_class = (cells.select(*gc, F.explode(F.array(
         F.struct(F.col("gold_class").alias("cls"), F.col("cnt").alias("support"), F.lit(0).cast("long").alias("predicted"),

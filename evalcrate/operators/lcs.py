@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evalcrate.operators.overlap import ROUGE_TOKEN, rouge_tokens
-from evalcrate.operators.parallel import spread
 from evalcrate.session import ship_package
 
 SCORE = StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType()),
@@ -182,9 +181,9 @@ def rouge_l_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
     """Per pair ROUGE-L (and optionally ROUGE-Lsum) precision/recall/F1."""
     ship_package(df.sparkSession)
     if not lsum:
-        return spread(df).withColumn("rougeL", _rouge_l_udf(rouge_tokens(pred_col), rouge_tokens(ref_col)))
+        return df.withColumn("rougeL", _rouge_l_udf(rouge_tokens(pred_col), rouge_tokens(ref_col)))
     both = _rouge_l_both_udf(sentence_tokens(pred_col), sentence_tokens(ref_col))
-    return (spread(df).withColumn("_rl", both)
+    return (df.withColumn("_rl", both)
             .withColumn("rougeL", F.col("_rl.rougeL")).withColumn("rougeLsum", F.col("_rl.rougeLsum")).drop("_rl"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from evalcrate.functions import text as T
 from evalcrate.functions.bags import bag_overlap, f1_from_overlap, ngrams
 from evalcrate.operators.overlap import TOKENIZERS, rouge_tokens
-from evalcrate.operators.parallel import spread
 
 
 def run_matrix(df: DataFrame, run_cols: Sequence[str], pred_col: str = "pred", gold_col: str = "gold") -> DataFrame:
@@ -47,7 +46,7 @@ def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
     metrics are NULL columns (so the schema is stable).  ``lcs=True`` adds
     ROUGE-L and ROUGE-Lsum means (one pandas-UDF column in the same pass)."""
     per, aggs = [], [F.count(F.lit(1)).alias("n")]
-    base = spread(df)
+    base = df
     if rouge:
         base = base.withColumn("_rp", rouge_tokens(pred_col)).withColumn("_rr", rouge_tokens(ref_col))
         for n in (1, 2):

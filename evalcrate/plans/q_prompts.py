@@ -88,6 +88,41 @@ def q_split_slice_tail(spark, sf_dir):
     return R.split_slice(FX.dialogues(spark, sf_dir), "id", 100, None).select("id")
 
 
+ORDERS_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
+
+
+@register("split_slice_wide", f"SELECT {ORDERS_COLUMNS} FROM orders ORDER BY o_orderkey LIMIT 3500 OFFSET 10500")
+def q_split_slice_wide(spark, sf_dir):
+    """S4 over several columns, beyond the first ten thousand rows."""
+    o = R.read_table(spark, sf_dir, "orders").select(*ORDERS_COLUMNS.split(", "))
+    return R.get_dataset_slices({"train": o}, "o_orderkey", {"valid": "train[10500:14000]"})["valid"]
+
+
+@register("split_slice_negative", f"SELECT {ORDERS_COLUMNS} FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey DESC) AS r FROM orders) "
+          "WHERE r <= 3000 AND r > 500")
+def q_split_slice_negative(spark, sf_dir):
+    o = R.read_table(spark, sf_dir, "orders").select(*ORDERS_COLUMNS.split(", "))
+    return R.split_slice(o, "o_orderkey", -3000, -500)
+
+
+@register("sample_n_large", f"SELECT {ORDERS_COLUMNS} FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':3'), o_orderkey LIMIT 12000")
+def q_sample_n_large(spark, sf_dir):
+    return R.sample_n(R.read_table(spark, sf_dir, "orders").select(*ORDERS_COLUMNS.split(", ")), "o_orderkey", 12_000, seed=3)
+
+
+@register("pick_positions_far", f"SELECT CASE rn WHEN 5 THEN 1 WHEN 11000 THEN 2 ELSE 3 END AS k, {ORDERS_COLUMNS} FROM "
+          "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE rn IN (5, 11000, 14990)")
+def q_pick_positions_far(spark, sf_dir):
+    o = R.read_table(spark, sf_dir, "orders").select(*ORDERS_COLUMNS.split(", "))
+    return R.pick_positions(o, "o_orderkey", [5, 11_000, 14_990]).drop("pos")
+
+
+@register("row_position_wide", "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem")
+def q_row_position_wide(spark, sf_dir):
+    """W4 with every column of the table kept."""
+    return row_position(R.read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "pos")
+
+
 @register("row_position", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations")
 def q_row_position(spark, sf_dir):
     c = R.read_table(spark, sf_dir, "conversations").select("conv_id", "turn")

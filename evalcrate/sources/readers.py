@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evalcrate.operators.positions import row_position
+from evalcrate.operators.positions import numbered
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,6 @@ def scan_json_splits(spark: SparkSession, files: Mapping[str, str | list[str]],
     return out
 
 
-# slices up to this many rows use the top-k path; longer ones are numbered
-HEAD_LIMIT = 10_000
-
 _SLICE = re.compile(r"^(?P<name>\w+)(\[(?P<a>-?\d*)(?P<colon>:?)(?P<b>-?\d*)\])?$")
 
 
@@ -72,28 +69,20 @@ def split_slice(df: DataFrame, order_col: str | list[str], start: int | None = N
                 stop: int | None = None) -> DataFrame:
     """Rows ``[start:stop)`` of ``df`` ordered by the unique key ``order_col``.
 
-    Negative bounds count from the end like Python.  Positions come from
-    :func:`row_position`, a distributed numbering (range shuffle + per-partition
-    offsets), so large slices never funnel through one partition.
+    Negative bounds count from the end like Python.  Only the key buckets that
+    overlap the slice are shuffled (:func:`evalcrate.operators.positions.numbered`).
     """
-    if (start is None or start >= 0) and stop is not None and stop >= 0:
-        a = start or 0
-        if stop <= HEAD_LIMIT:
-            # bounded head: per-partition top-k + merge (TakeOrderedAndProject)
-            keys = [order_col] if isinstance(order_col, str) else list(order_col)
-            head = df.orderBy(*keys).limit(stop)
-            return head.offset(a) if a else head
-    pos = row_position(df, order_col, "_pos")
-    cond = F.lit(True)
-    if (start is not None and start < 0) or (stop is not None and stop < 0):
-        total = df.count()  # one small scalar job; the rows stay distributed
-        start = None if start is None else (start + total if start < 0 else start)
-        stop = None if stop is None else (stop + total if stop < 0 else stop)
-    if start is not None:
-        cond = cond & (F.col("_pos") >= start)
-    if stop is not None:
-        cond = cond & (F.col("_pos") < stop)
-    return pos.where(cond).drop("_pos")
+    def bound(value: int | None, total, default):
+        if value is None:
+            return default
+        return F.lit(value) if value >= 0 else total + value
+
+    def wanted(first, last, total):
+        return (last >= bound(start, total, F.lit(0))) & (first < bound(stop, total, total))
+
+    def chosen(pos, total):
+        return (pos >= bound(start, total, F.lit(0))) & (pos < bound(stop, total, total))
+    return numbered(df, order_col, "_pos", wanted, chosen).drop("_pos")
 
 
 def get_dataset_slices(splits: Mapping[str, DataFrame], order_col: str, specs: Mapping[str, str]) -> dict:
@@ -118,14 +107,10 @@ def pick_positions(df: DataFrame, order_col: str, positions: Iterable[int], pos_
     order given).  Only those few rows survive, so the result is safe to broadcast."""
     positions = list(positions)
     rank = F.array_position(F.array(*[F.lit(p) for p in positions]), F.col(pos_col))
-    if max(positions) < HEAD_LIMIT:
-        # bounded head: only the first max(pos)+1 rows are ever sorted/merged
-        base = df.orderBy(order_col).limit(max(positions) + 1)
-        from pyspark.sql import Window
-        base = base.withColumn(pos_col, F.row_number().over(Window.orderBy(order_col)) - 1)
-    else:
-        base = row_position(df, order_col, pos_col)
-    return (base.where(F.col(pos_col).isin(positions))
+
+    def wanted(first, last, total):
+        return F.exists(F.array(*[F.lit(p) for p in positions]), lambda p: p.between(first, last))
+    return (numbered(df, order_col, pos_col, wanted, lambda pos, total: pos.isin(positions))
             .withColumn(rank_col, rank.cast("int")))
 
 
@@ -133,9 +118,7 @@ def sample_n(df: DataFrame, key_col: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows uniformly without replacement, reproducible for a seed.
 
     Each row gets a hash-derived priority ``md5('<key>:<seed>')`` (a portable
-    hash, so any engine can reproduce the sample); the ``n`` smallest win — a
-    bounded top-k merge for small ``n``, the distributed row numbering beyond
-    that."""
+    hash, so any engine can reproduce the sample); the ``n`` smallest win."""
     prio = df.withColumn("_prio", F.md5(F.concat(F.col(key_col).cast("string"), F.lit(f":{seed}"))))
     return split_slice(prio, ["_prio", key_col], 0, n).drop("_prio")
 

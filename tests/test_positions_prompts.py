@@ -10,7 +10,7 @@ from evalcrate.sources.readers import parse_slice, split_slice
 
 def test_row_position_equals_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5003).alias("k"))
-    got = row_position(df, "k", "pos", num_partitions=7)
+    got = row_position(df, "k", "pos")
     want = df.withColumn("rn", F.row_number().over(Window.orderBy("k")) - 1)
     assert got.join(want, "k").where(F.col("pos") != F.col("rn")).count() == 0
     assert got.count() == 5000
@@ -75,13 +75,37 @@ def test_merge_adjacent_roles_long(spark):
     assert got == [(1, 0, "user", "ab"), (1, 1, "assistant", "c"), (1, 2, "user", "d"), (2, 0, "user", "x")]
 
 
-def test_sample_n_large_path_equals_topk(spark, monkeypatch):
-    from evalcrate.sources import readers
-    df = spark.range(0, 500).withColumnRenamed("id", "k")
-    small = sorted(r.k for r in readers.sample_n(df, "k", 40, seed=3).collect())
-    monkeypatch.setattr(readers, "HEAD_LIMIT", 10)
-    large = sorted(r.k for r in readers.sample_n(df, "k", 40, seed=3).collect())
-    assert small == large and len(small) == 40
+@pytest.mark.parametrize("partitions,aqe", [(1, True), (8, False), (8, True), (200, False), (200, True)])
+def test_positions_do_not_depend_on_the_plan(spark, partitions, aqe):
+    """Wide rows, string and composite keys: positions are exactly 0..n-1 in key order."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+        for keys in (["o_orderkey"], ["o_orderstatus", "o_orderkey"]):
+            got = row_position(o, keys, "pos").orderBy("pos").select("pos", *keys).collect()
+            want = o.select(*keys).orderBy(*keys).collect()
+            assert [r.pos for r in got] == list(range(len(want)))
+            assert [tuple(r)[1:] for r in got] == [tuple(r) for r in want]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_slices_and_samples_of_wide_tables(spark):
+    from evalcrate.sources import readers as R
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    keys = [r[0] for r in o.select("o_orderkey").orderBy("o_orderkey").collect()]
+    n = len(keys)
+    for a, b in ((0, 10_001), (9_000, 12_000), (None, -14_000), (-30, None), (-n - 5, 3), (n - 2, n + 9), (7, 7)):
+        got = R.split_slice(o, "o_orderkey", a, b)
+        assert sorted(r.o_orderkey for r in got.collect()) == keys[a:b]
+    assert R.head_limit(o, "o_orderkey", 12_345).count() == 12_345
+    assert R.sample_n(o, "o_orderkey", 10_001).count() == 10_001
+    picked = R.pick_positions(o, "o_orderkey", [14_000, 3]).collect()
+    assert sorted((r.k, r.o_orderkey) for r in picked) == [(1, keys[14_000]), (2, keys[3])]
+    assert R.split_slice(o.limit(0), "o_orderkey", -3, None).count() == 0
 
 
 def test_hot_conversation_pairing_and_merging(spark):
