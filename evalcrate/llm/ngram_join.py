@@ -75,7 +75,7 @@ def _sketcher(k: int, percent: int, frequent: np.ndarray, prefix_only: bool):
     by_hash = frequent[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytescan.slices(batches):
             h, off = bytescan.word_hashes(batch.column("text"), bytescan.NON_SPACE)
             cid = np.zeros(batch.num_rows, np.int64)
             sizes = np.zeros(batch.num_rows, np.int64)
@@ -223,7 +223,7 @@ def _exact(k: int, percent: int):
 
 def _gram_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytescan.slices(batches):
             h, off = bytescan.word_hashes(batch.column("text"), bytescan.NON_SPACE)
             grams = [bytescan.shingles(h[a:b], k) for a, b in zip(off, off[1:])]
             # a doc_id may stand in several rows: only the rows of the class itself
@@ -305,7 +305,7 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     marked = docs.mapInArrow(_with_class(k), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))
     one = (marked.where("_cid IS NOT NULL").join(kept, marked.doc_id.eqNullSafe(kept._kept) & (F.col("_cid") == F.col("_kept_cid")), "left_semi")
            .dropDuplicates(["doc_id", "_cid"]))
-    return one.unionByName(marked.where("_cid IS NULL")).withColumnsRenamed(back).select(*columns)
+    return one.unionByName(marked.where("_cid IS NULL")).select(*docs.columns).withColumnsRenamed(back).select(*columns)
 
 
 def _with_class(k: int):
