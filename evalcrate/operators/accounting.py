@@ -27,7 +27,7 @@ RULE_3_1_MODELS = ("gpt-3.5-turbo-0613", "gpt-3.5-turbo-16k-0613", "gpt-4-0314",
 RULE_4_M1_MODEL = "gpt-3.5-turbo-0301"
 # Names containing these fall back to the 3/1 rule, tested in this order:
 RULE_FALLBACK_SUBSTRINGS = ("gpt-3.5-turbo", "gpt-4")
-# Every reply is primed with this many tokens.
+# Tokens added once to each request.
 REPLY_PRIMING = 3
 # ---------------------------------------------------------------------------
 
@@ -80,18 +80,6 @@ def message_rule(model: str) -> tuple[int, int]:
     raise NotImplementedError(f"token rule not implemented for model {model}")
 
 
-def message_rule_col(model) -> tuple[Column, Column]:
-    """Column form of :func:`message_rule` for a per-row model column (run matrix)."""
-    m = _c(model)
-    err = F.raise_error(F.concat(F.lit("token rule not implemented for model "), m)).cast("int")
-    fallback = m.contains(RULE_FALLBACK_SUBSTRINGS[0]) | m.contains(RULE_FALLBACK_SUBSTRINGS[1])
-    per_msg = (F.when(m.isin(*RULE_3_1_MODELS), 3).when(m == RULE_4_M1_MODEL, 4)
-               .when(fallback, 3).otherwise(err))
-    per_name = (F.when(m.isin(*RULE_3_1_MODELS), 1).when(m == RULE_4_M1_MODEL, -1)
-                .when(fallback, 1).otherwise(err))
-    return per_msg, per_name
-
-
 def message_tokens(messages: DataFrame, request_cols, model: str, role_col: str = "role",
                    content_col: str = "content", name_col: str | None = None,
                    count: Callable[[Column], Column] = native_token_count) -> DataFrame:

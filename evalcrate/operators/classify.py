@@ -194,7 +194,7 @@ def binary_acc_f1(df: DataFrame, pred_col: str = "pred", label_col: str = "label
 
 
 def acc_f1_worst_group(df: DataFrame, groups: Sequence[str], pred_col: str = "pred", label_col: str = "label",
-                       threshold: float = 0.5) -> DataFrame:
+                       threshold: float = 0.5, group_cols: Sequence[str] = ()) -> DataFrame:
     """M4 + M5 in one scan: accuracy, binary F1 and worst-group accuracy from a
     single aggregate with one pair of counters per (group, label) cell (the
     group list is a fixed parameter, so the counters are too)."""
@@ -208,37 +208,38 @@ def acc_f1_worst_group(df: DataFrame, groups: Sequence[str], pred_col: str = "pr
             member = (F.col(g) >= threshold) & (t == lab)
             aggs += [F.count_if(member).alias(f"_n{gi}_{lab}"), F.count_if(member & (p == t)).alias(f"_c{gi}_{lab}")]
             cells.append((gi, g, lab))
-    a = df.agg(*aggs)
+    a = (df.groupBy(*group_cols) if group_cols else df).agg(*aggs)
     cell_structs = [F.when(F.col(f"_n{gi}_{lab}") > 0, F.struct(
         (F.col(f"_c{gi}_{lab}") / F.col(f"_n{gi}_{lab}")).alias("accuracy"), F.lit(g).alias("group"),
         F.lit(lab).alias("label"))) for gi, g, lab in cells]
     worst = F.array_min(F.filter(F.array(*cell_structs), lambda c: c.isNotNull()))
     den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return a.select("n", F.try_divide(F.col("n_equal").cast("double"), F.col("n").cast("double")).alias("accuracy"),
+    return a.select(*group_cols, "n", F.try_divide(F.col("n_equal").cast("double"), F.col("n").cast("double")).alias("accuracy"),
                     F.when(den > 0, 2.0 * F.col("tp") / den).otherwise(F.lit(0.0)).alias("f1"),
                     worst["accuracy"].alias("wga"), worst["group"].alias("worst_group"), worst["label"].alias("worst_label"))
 
 
 def group_accuracy_cells(df: DataFrame, groups: Sequence[str], pred_col: str = "pred",
-                         label_col: str = "label", threshold: float = 0.5) -> DataFrame:
+                         label_col: str = "label", threshold: float = 0.5, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per (group, label) accuracy over members (fraction >= threshold).
 
     ``unpivot`` is a map-side expand; the aggregate has |groups|·2 keys, so the
     partial aggregate leaves a few rows per partition to shuffle.
     """
-    long = df.select(pred_col, label_col, *groups).unpivot(
-        [pred_col, label_col], list(groups), "group", "fraction")
+    long = df.select(*group_cols, pred_col, label_col, *groups).unpivot(
+        [*group_cols, pred_col, label_col], list(groups), "group", "fraction")
     return (long.where(F.col("fraction") >= threshold)  # F1 group_member
-            .groupBy("group", F.col(label_col).alias("label"))
+            .groupBy(*group_cols, "group", F.col(label_col).alias("label"))
             .agg(F.count(F.lit(1)).alias("n"),
                  F.avg((F.col(pred_col) == F.col(label_col)).cast("double")).alias("accuracy")))
 
 
 def worst_group_accuracy(df: DataFrame, groups: Sequence[str], pred_col: str = "pred",
-                         label_col: str = "label", threshold: float = 0.5) -> DataFrame:
+                         label_col: str = "label", threshold: float = 0.5, group_cols: Sequence[str] = ()) -> DataFrame:
     """M5 / T4: minimum accuracy over non-empty (group, label) cells, with the cell."""
-    cells = group_accuracy_cells(df, groups, pred_col, label_col, threshold)
+    cells = group_accuracy_cells(df, groups, pred_col, label_col, threshold, group_cols)
     worst = F.min(F.struct("accuracy", "group", "label"))
+    cells = cells.groupBy(*group_cols) if group_cols else cells
     return cells.agg(worst.alias("w")).select(
-        F.col("w.accuracy").alias("wga"), F.col("w.group").alias("worst_group"),
+        *group_cols, F.col("w.accuracy").alias("wga"), F.col("w.group").alias("worst_group"),
         F.col("w.label").alias("worst_label"))

@@ -5,19 +5,20 @@ Precision = mean over prediction vectors of their best cosine against the
 reference vectors of the same pair; recall symmetrically; F1 per pair, then
 means over pairs.
 
-Plan: each side of a pair is cut into blocks of about ``block`` vectors
-(vectors hashed to ``ceil(n / block)`` blocks, so a block is bounded however
-the ids of a pair are spread); prediction blocks are joined to reference
-blocks of the same pair — rows = pred blocks x ref blocks, never vectors x
-vectors.  One Arrow-batched pandas UDF turns each block pair into one cosine
-matrix (numpy) and returns the row-wise and column-wise maxima, so precision
-and recall come from the same pass.  Max per vector and means per pair are
-hash aggregates.  AQE's skew-join handling splits a pair holding a large
-share of the blocks.
+Plan: a pair is a bounded unit, the tokens of one text and of one other text.
+Each side of a pair is collected into ``blocks`` arrays (one by default; give
+more where texts run to many thousand tokens), and prediction blocks are joined
+to reference blocks of the same pair — rows = pred blocks x ref blocks, never
+vectors x vectors.  One Arrow-batched pandas UDF turns each block pair into one
+cosine matrix (numpy); its row-wise and column-wise maxima leave as one tagged
+array, so each side is read once, the UDF runs once, and precision and recall
+come from one aggregate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,37 +47,36 @@ def _block_best(pred_vecs: pd.Series, ref_vecs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"pred_best": pb, "ref_best": rb})
 
 
-def _blocks(vectors: DataFrame, side: str, block: int) -> DataFrame:
-    v = vectors.where(F.col("side") == side).select("pair_id", "vec_id", "embedding")
-    nb = v.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_nb"))
+def _blocks(vectors: DataFrame, keys: list[str], side: str, blocks: int) -> DataFrame:
     e = F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))
-    return (v.join(nb, "pair_id").withColumn("_blk", F.pmod(F.xxhash64("vec_id"), F.col("_nb")))
-            .groupBy("pair_id", "_blk").agg(e.alias("_e"))
-            .select("pair_id", F.col("_e.vec_id").alias(f"{side}_ids"), F.col("_e.embedding").alias(f"{side}_vecs")))
+    return (vectors.where(F.col("side") == side)
+            .groupBy(*keys, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_blk")).agg(e.alias("_e"))
+            .select(*keys, F.col("_e.vec_id").alias(f"{side}_ids"), F.col("_e.embedding").alias(f"{side}_vecs")))
 
 
-def greedy_match_pairs(vectors: DataFrame, block: int = 256) -> DataFrame:
+def greedy_match_pairs(vectors: DataFrame, blocks: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per pair: precision (pred side), recall (ref side), F1."""
     ship_package(vectors.sparkSession)
-    j = _blocks(vectors, "pred", block).join(_blocks(vectors, "ref", block), "pair_id")
-    best = j.select("pair_id", "pred_ids", "ref_ids", _block_best("pred_vecs", "ref_vecs").alias("b"))
-
-    def side_mean(ids: str, arr: str, name: str) -> DataFrame:
-        pairs = F.arrays_zip(F.col(ids).alias("v"), F.col(arr).alias("s"))
-        per_vec = (best.select("pair_id", F.explode(pairs).alias("x"))
-                   .groupBy("pair_id", F.col("x.v").alias("v")).agg(F.max("x.s").alias("m")))
-        return per_vec.groupBy("pair_id").agg(F.avg("m").alias(name))
-
-    p = side_mean("pred_ids", "b.pred_best", "precision")
-    r = side_mean("ref_ids", "b.ref_best", "recall")
-    s = p.join(r, "pair_id")
+    keys = [*group_cols, "pair_id"]
+    j = _blocks(vectors, keys, "pred", blocks).join(_blocks(vectors, keys, "ref", blocks), keys)
+    best = j.select(*keys, "pred_ids", "ref_ids", _block_best("pred_vecs", "ref_vecs").alias("b"))
+
+    def tagged(ids: str, scores: str, side: str):
+        return F.transform(F.arrays_zip(F.col(ids).alias("v"), F.col(scores).alias("s")),
+                           lambda x: F.struct(F.lit(side).alias("side"), x["v"].alias("v"), x["s"].alias("s")))
+    per_vec = (best.select(*keys, F.explode(F.concat(tagged("pred_ids", "b.pred_best", "pred"),
+                                                     tagged("ref_ids", "b.ref_best", "ref"))).alias("x"))
+               .groupBy(*keys, F.col("x.side").alias("side"), F.col("x.v").alias("v")).agg(F.max("x.s").alias("m")))
+    s = per_vec.groupBy(*keys).agg(F.avg(F.when(F.col("side") == "pred", F.col("m"))).alias("precision"),
+                                   F.avg(F.when(F.col("side") == "ref", F.col("m"))).alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") != 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return s.select("pair_id", "precision", "recall", f1.alias("f1"))
+    return s.select(*keys, "precision", "recall", f1.alias("f1"))
 
 
-def greedy_match_score(vectors: DataFrame, block: int = 256) -> DataFrame:
+def greedy_match_score(vectors: DataFrame, blocks: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
     """Means of per-pair precision, recall and F1."""
-    s = greedy_match_pairs(vectors, block)
-    return s.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("precision").alias("precision"),
+    s = greedy_match_pairs(vectors, blocks, group_cols)
+    g = s.groupBy(*group_cols) if group_cols else s
+    return g.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("precision").alias("precision"),
                  F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))

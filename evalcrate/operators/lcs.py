@@ -88,28 +88,6 @@ def _lcs_positions(ref, can) -> list[int]:
     return out
 
 
-def _lcs_positions_table(ref, can) -> list[int]:
-    """Reference form of :func:`_lcs_positions` with the full table (tests)."""
-    n, m = len(ref), len(can)
-    t = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        ri, row, prev = ref[i - 1], t[i], t[i - 1]
-        for j in range(1, m + 1):
-            row[j] = prev[j - 1] + 1 if ri == can[j - 1] else (row[j - 1] if row[j - 1] > prev[j] else prev[j])
-    i, j, out = n, m, []
-    while i > 0 and j > 0:
-        if ref[i - 1] == can[j - 1]:
-            out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif t[i][j - 1] > t[i - 1][j]:
-            j -= 1
-        else:
-            i -= 1
-    out.reverse()
-    return out
-
-
 def summary_lcs_hits(ref_sents, can_sents) -> tuple[int, int, int]:
     """Union-LCS hits for ROUGE-Lsum, with clipped token counts."""
     m = sum(len(s) for s in ref_sents)
@@ -139,17 +117,6 @@ def _rouge_l_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["precision", "recall", "fmeasure"])
 
 
-@F.pandas_udf(SCORE)
-def _rouge_lsum_udf(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, r in zip(pred, ref):
-        ps = [list(s) for s in p if len(s)]
-        rs = [list(s) for s in r if len(s)]
-        hits, n, m = summary_lcs_hits(rs, ps)
-        out.append(_score(hits, n, m))
-    return pd.DataFrame(out, columns=["precision", "recall", "fmeasure"])
-
-
 BOTH = StructType([StructField("rougeL", SCORE), StructField("rougeLsum", SCORE)])
 
 

@@ -51,6 +51,7 @@ EXAMPLE_TEMPLATES = {
     "dialogue": "\n\nExample {k}:\n\n## Content:\n{dialogue}\n\n## Topic:\n{section_header}\n\n## Summary:",
     "question_documents": "\n\nExample {k}:\n\n## Documents:\n{context}\n\n## Question:\n{question}\n\n## Answer:\n{answer}\n\n",
     "question": "\n\nExample {k}:\n\n## Question:\n{question}\n\n## Answer:\n{answer}\n\n",
+    "comment": "\n\nExample {k}:\n\n## Comment:\n{text}\n\n## Response:",
 }
 # Literal role rewrites for models without chat roles, applied in order.
 ROLE_REWRITES = (("user", "User:"), ("assistant", "Assistant:"), ("Assistant:!", "assistant!"),
@@ -70,9 +71,6 @@ EM_TRANSACTION = (
 )
 # ---------------------------------------------------------------------------
 
-MAX_SHOTS = 3
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -123,18 +121,20 @@ def family_wrap(df: DataFrame, text_col: str, family_col: str, start_prompt: str
     return j.select(*[df[c] for c in df.columns], prompt.alias("prompt"), F.col("suffix").alias("remove_suffix"))
 
 
-def _check_shots(shots: int) -> None:
-    if not 0 <= shots <= MAX_SHOTS:
+FACT_CHECK_SHOTS = 3  # the fact-check builder takes up to three examples; the others any number
+
+
+def check_shots(shots: int, most: int | None = None) -> None:
+    if shots < 0 or (most is not None and shots > most):
         raise ValueError(f"Invalid number of shots: {shots}")
 
 
 def fewshot_prefix(examples: DataFrame, shots: int, start_prompt: str = "", transition: str = "",
-                   k_col: str = "k", text_col: str = "shot") -> DataFrame:
-    """One row ``prefix = start_prompt + shot_1 + .. + shot_k + transition`` (k in 0..3).
+                   k_col: str = "k", text_col: str = "shot", max_shots: int | None = FACT_CHECK_SHOTS) -> DataFrame:
+    """One row ``prefix = start_prompt + shot_1 + .. + shot_k + transition`` (k in 0..``max_shots``).
 
-    ``examples`` holds (k, shot); only k <= shots rows (at most three) are
-    aggregated, in k order."""
-    _check_shots(shots)
+    ``examples`` holds (k, shot); only k <= shots rows are aggregated, in k order."""
+    check_shots(shots, max_shots)
     ex = examples.where(F.col(k_col) <= shots).select(F.struct(k_col, text_col).alias("e"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e[text_col]), "")
     if shots == 0:
@@ -157,7 +157,7 @@ def example_turns(examples: DataFrame, shots: int, first_prefix: str = "", k_col
     """One row holding the few-shot chat prefix ``[user q1, assistant r1, ...]`` (k <= shots).
 
     ``first_prefix`` is prepended to the first question (system text given as user turn)."""
-    _check_shots(shots)
+    check_shots(shots)
     ex = examples.where(F.col(k_col) <= shots).select(F.struct(k_col, q_col, r_col).alias("e"))
     srt = F.sort_array(F.collect_list("e"))
     turns = F.flatten(F.transform(srt, lambda e, i: F.array(
@@ -182,7 +182,7 @@ def fewshot_chat_text(df: DataFrame, question: Column, examples: DataFrame, shot
     """P5 (text form, for models without chat roles): lines
     ``start_prompt``, ``User: q_k``, ``Assistant: r_k`` ..., ``User: <question>``,
     ``Assistant:`` joined by newlines.  The example lines are built once (scalar)."""
-    _check_shots(shots)
+    check_shots(shots)
     ex = examples.where(F.col("k") <= shots).select(F.struct("k", "question", "response").alias("e"))
     lines = F.flatten(F.transform(F.sort_array(F.collect_list("e")), lambda e: F.array(
         F.concat(F.lit(user_tag), e["question"]), F.concat(F.lit(assistant_tag + " "), e["response"]))))
@@ -243,8 +243,10 @@ def example_rows(picked: DataFrame, q_template: str, r_field: str | None, k_col:
     return picked.select(F.col(k_col).alias("k"), q.alias("question"), r.alias("response"))
 
 
-def example_block(rows: DataFrame, with_response: bool = False) -> DataFrame:
-    """P10: one row, all example blocks concatenated in k order."""
+def example_block(rows: DataFrame, with_response: bool = False, shots: int | None = None) -> DataFrame:
+    """P10: one row, the example blocks with ``k <= shots`` (None: all picked ones) concatenated in k order."""
+    if shots is not None:
+        rows = rows.where(F.col("k") <= shots)
     e = F.struct("k", "question", "response")
     body = F.transform(F.sort_array(F.collect_list(e)),
                        lambda x: F.concat(x["question"], x["response"]) if with_response else x["question"])

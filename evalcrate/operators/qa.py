@@ -11,6 +11,8 @@ into one conditional aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ def resolve_references(papers: DataFrame) -> DataFrame:
     spans = F.coalesce(ans["extractive_spans"], F.array().cast("array<string>"))
     free = ans["free_form_answer"]
     yn = ans["yes_no"]
-    err = F.raise_error(F.concat(F.lit("Annotation "), F.coalesce(F.col("ann.annotation_id"), F.lit("?")),
-                                 F.lit(" does not contain an answer")))
+    err = F.raise_error(F.concat(F.lit("no answer of any type in annotation "),
+                                 F.coalesce(F.col("ann.annotation_id"), F.lit("?"))))
     answer = (F.when(F.coalesce(ans["unanswerable"], F.lit(False)), F.lit("Unanswerable"))
               .when(F.size(spans) > 0, F.array_join(spans, ", "))
               .when(F.coalesce(free, F.lit("")) != "", free)
@@ -67,13 +69,12 @@ def resolve_references(papers: DataFrame) -> DataFrame:
                     answer.alias("answer"), typ.alias("type"))
 
 
-def dedupe_predictions(preds: DataFrame, key: str = "question_id", order_col: str | None = None) -> DataFrame:
+def dedupe_predictions(preds: DataFrame, key: str | list[str] = "question_id", order_col: str = "written") -> DataFrame:
     """Keep one prediction per key: the last by ``order_col`` (dict semantics: last write wins)."""
-    if order_col is None:
-        return preds.dropDuplicates([key])
-    cols = [c for c in preds.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = [c for c in preds.columns if c not in keys]
     best = F.max_by(F.struct(*cols), F.col(order_col))
-    return preds.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
+    return preds.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def join_gold(gold: DataFrame, preds: DataFrame, key: str = "question_id") -> DataFrame:
@@ -96,11 +97,21 @@ def expand_references(gold_nested: DataFrame, refs_col: str = "references") -> D
 
 
 def reference_scores(gold: DataFrame, preds: DataFrame, pred_col: str = "prediction",
-                     key: str = "question_id") -> DataFrame:
+                     key: str = "question_id", order_col: str | None = None, run_cols: Sequence[str] = ()) -> DataFrame:
     """Per (question, reference): cleaned answer, strict token F1, abstention flag.
 
-    Extra prediction columns (run keys such as model or shots) are carried
-    through, so ``best_reference(scores, [run keys.., key])`` scores a run matrix."""
+    Of several predictions for one question (and run) the last by ``order_col``
+    counts; without an order column a second prediction fails.  Extra prediction
+    columns (run keys such as model or shots) are carried through, so
+    ``best_reference(scores, [run keys.., key])`` scores a run matrix."""
+    runs = list(run_cols) or [c for c in preds.columns if c not in (pred_col, key, order_col)]
+    if order_col:
+        preds = dedupe_predictions(preds, [*runs, key], order_col).drop(order_col)
+    else:
+        others = [F.first(c).alias(c) for c in preds.columns if c not in (*runs, key)]
+        say = F.raise_error(F.lit(f"several predictions for one {key} need an order_col"))
+        preds = (preds.groupBy(*runs, key).agg(*others, F.count(F.lit(1)).alias("_n"))
+                 .where(F.when(F.col("_n") > 1, say.cast("boolean")).otherwise(F.lit(True))).drop("_n"))
     p = preds.select(*[c for c in preds.columns if c != pred_col], T.extract_answer(pred_col).alias("answer_pred"))
     # the prediction is cleaned and tokenized once, before it meets its references
     p = p.withColumn("_pt", T.answer_tokens("answer_pred"))

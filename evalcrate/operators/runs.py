@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
+from evalcrate.functions.util import let
 from evalcrate.functions.bags import bag_overlap, f1_from_overlap, ngrams
+from evalcrate.operators.greedy import greedy_match_pairs
 from evalcrate.operators.overlap import TOKENIZERS, rouge_tokens
 
 
@@ -41,12 +43,20 @@ def run_duration(df: DataFrame, run_cols: Sequence[str], ts_col: str = "ts") ->
 
 def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", rouge: bool = True,
                     bleu: bool = True, f1: bool = True, exact: bool = True, group_cols: Sequence[str] = (),
-                    lcs: bool = False) -> DataFrame:
+                    lcs: bool = False, vectors: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """The requested metrics in one scan and one aggregate; switched-off
     metrics are NULL columns (so the schema is stable).  ``lcs=True`` adds
-    ROUGE-L and ROUGE-Lsum means (one pandas-UDF column in the same pass)."""
+    ROUGE-L and ROUGE-Lsum means (one pandas-UDF column in the same pass).
+    ``vectors(pair_id, vec_id, side, embedding)`` adds the mean vector-match
+    precision, recall and F1 (M17) of the pairs whose ``id_col`` has vectors."""
     per, aggs = [], [F.count(F.lit(1)).alias("n")]
     base = df
+    if vectors is not None:
+        match = greedy_match_pairs(vectors).select(F.col("pair_id").alias("_pair"), *[
+            F.col(c).alias(f"_match_{c}") for c in ("precision", "recall", "f1")])
+        base = base.join(match, F.col(id_col) == F.col("_pair"), "left")
+        per += [f"_match_{c}" for c in ("precision", "recall", "f1")]
+        aggs += [F.avg(f"_match_{c}").alias(f"match_{c}") for c in ("precision", "recall", "f1")]
     if rouge:
         base = base.withColumn("_rp", rouge_tokens(pred_col)).withColumn("_rr", rouge_tokens(ref_col))
         for n in (1, 2):
@@ -102,21 +112,32 @@ def summary_metrics(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
                       bleu_col.alias("bleu"),
                       F.col("token_f1") if f1 else null.alias("token_f1"),
                       F.col("exact_match") if exact else null.alias("exact_match"),
-                      *(["rougeL", "rougeLsum"] if lcs else []))
+                      *(["rougeL", "rougeLsum"] if lcs else []),
+                      *([f"match_{c}" for c in ("precision", "recall", "f1")] if vectors is not None else []))
+
+
+# 52 hash bits make a uniform number; below this a further Poisson weight cannot be drawn
+RESOLUTION = 2.0 ** -52
+
+
+def poisson_cdf() -> list[float]:
+    """P(weight <= k) of Poisson(1) for k = 0, 1, ... until the next term is below the uniform's resolution."""
+    out, total, term = [], 0.0, math.exp(-1.0)
+    while term >= RESOLUTION:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
 
 
 def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
-    """Poisson(1) bootstrap weight from a hash of (key, replicate): inverse CDF
-    on a uniform drawn from 53 hash bits (the Poisson bootstrap for data
-    too large to resample)."""
-    u = (F.xxhash64(key, replicate, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53))
-    w = F.lit(0)
-    cdf, p = 0.0, math.exp(-1.0)
-    for k in range(0, 8):
-        cdf += p
-        w = w + F.when(u >= cdf, 1).otherwise(0)
-        p = p / (k + 1)
-    return w
+    """Poisson(1) bootstrap weight from ``md5('<key>:<replicate>:<seed>')``: inverse CDF on a uniform
+    drawn from 52 hash bits (the Poisson bootstrap for data too large to resample; a portable hash, so
+    any engine can reproduce the interval)."""
+    h = F.md5(F.concat_ws(":", key.cast("string"), replicate.cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") * RESOLUTION
+    cdf = F.array(*[F.lit(c) for c in poisson_cdf()])
+    return let(u, lambda x: F.size(F.filter(cdf, lambda c: x >= c)))
 
 
 def bootstrap_mean(scores: DataFrame, key_col: str, value_col: str, replicates: int = 1000, seed: int = 0,

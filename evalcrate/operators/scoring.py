@@ -24,29 +24,37 @@ def format_with(df: DataFrame, formatting_func: Callable[[DataFrame], object], o
     return df.withColumn(out_col, formatting_func(df))
 
 
-_LOADED: dict = {}
+_LOADED: dict[str, Callable[[list[str]], list[str]]] = {}
+
+
+def loaded(key: str, make_fn: Callable[[], Callable[[list[str]], list[str]]]) -> Callable[[list[str]], list[str]]:
+    """The scorer that ``make_fn`` builds, built once in this process for each key."""
+    if key not in _LOADED:
+        _LOADED[key] = make_fn()
+    return _LOADED[key]
 
 
 def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]] | None, id_col: str, input_col: str,
              output_col: str = "output", batch_size: int = 64,
-             make_fn: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:
+             make_fn: Callable[[], Callable[[list[str]], list[str]]] | None = None,
+             make_key: str | None = None) -> DataFrame:
     """``(id, output, error)`` for every input row; ``fn`` sees lists of
     at most ``batch_size`` prompts (one model call per list).
 
     ``make_fn`` builds the scorer instead (e.g. loads a model): it runs once
-    per Python worker process and is reused by every task that worker runs."""
+    per Python worker process and is reused by every task that worker runs.
+    ``make_key`` names what it builds (a model and its settings); scorers of
+    different keys never mix."""
+    if make_fn is not None and not make_key:
+        raise ValueError("make_fn needs a make_key that names the scorer it builds")
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {output_col} string, error string"
 
     def run(batches):
         nonlocal fn
         if make_fn is not None:
-            code = getattr(make_fn, "__code__", None)
-            key = (getattr(make_fn, "__module__", ""), getattr(make_fn, "__qualname__", repr(make_fn)),
-                   code.co_firstlineno if code else 0)
-            if key not in _LOADED:
-                _LOADED[key] = make_fn()
-            fn = _LOADED[key]
+            from evalcrate.operators.scoring import loaded  # the worker's module, not a pickled copy of it
+            fn = loaded(make_key, make_fn)
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
@@ -84,18 +92,22 @@ def align_predictions(inputs: DataFrame, outputs: DataFrame, id_col: str) -> Dat
 def _read_done(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def resumable_score(inputs: DataFrame, fn: Callable[[list[str]], list[str]], id_col: str, input_col: str,
-                    out_path: str, output_col: str = "output", batch_size: int = 64) -> DataFrame:
+def resumable_score(inputs: DataFrame, fn: Callable[[list[str]], list[str]] | None, id_col: str, input_col: str,
+                    out_path: str, output_col: str = "output", batch_size: int = 64,
+                    make_fn: Callable[[], Callable[[list[str]], list[str]]] | None = None,
+                    make_key: str | None = None) -> DataFrame:
     """U3 + J4 + K5: score what is pending, append it to ``out_path`` (shared
     storage), and return the latest successful output per id."""
     spark = inputs.sparkSession
     done = _read_done(spark, out_path)
     pending = inputs if done is None else resume_pending(inputs, done, id_col)
-    scored = score_fn(pending, fn, id_col, input_col, output_col, batch_size)
+    scored = score_fn(pending, fn, id_col, input_col, output_col, batch_size, make_fn, make_key)
     scored.write.mode("append").parquet(out_path)     # K5: one committed batch per run
     allout = spark.read.parquet(out_path)
     best = allout.groupBy(id_col).agg(

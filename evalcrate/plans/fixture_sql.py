@@ -49,7 +49,7 @@ SELECT event_type AS model, user_id % 4 AS shots, event_id AS id, ts,
        CASE WHEN event_id % 5 < 2 THEN 1 ELSE 0 END AS pred
 FROM events""",
     "token_vectors": """
-SELECT label AS pair_id, vec_id, CASE WHEN vec_id % 2 = 0 THEN 'pred' ELSE 'ref' END AS side, embedding
+SELECT CAST(floor(vec_id / 128) AS BIGINT) * 1000 + label AS pair_id, vec_id, CASE WHEN vec_id % 2 = 0 THEN 'pred' ELSE 'ref' END AS side, embedding
 FROM embeddings""",
 }
 

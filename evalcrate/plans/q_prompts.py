@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import string
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
@@ -13,7 +15,8 @@ from evalcrate.operators import prompts as P
 from evalcrate.operators.positions import row_position
 from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.registry import register
-from evalcrate.sinks.writers import chat_jsonl_column
+from evalcrate.session import ensure_checkpoint_dir
+from evalcrate.sinks.writers import chat_jsonl_column, export_chat_jsonl
 from evalcrate.sources import fixtures as FX
 from evalcrate.sources import readers as R
 
@@ -117,10 +120,10 @@ def q_pick_positions_far(spark, sf_dir):
     return R.pick_positions(o, "o_orderkey", [5, 11_000, 14_990]).drop("pos")
 
 
-@register("row_position_wide", "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem")
+@register("row_position_wide", "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem")
 def q_row_position_wide(spark, sf_dir):
     """W4 with every column of the table kept."""
-    return row_position(R.read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "pos")
+    return row_position(R.read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "pos")
 
 
 @register("row_position", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM conversations")
@@ -186,6 +189,19 @@ def q_example_block(spark, sf_dir):
     return P.example_block(_examples(spark, sf_dir), with_response=True)
 
 
+@register("example_block_comment", with_fixtures("toxic_groups", extra="""
+p AS (SELECT id, label, row_number() OVER (ORDER BY id) - 1 AS pos FROM toxic_groups),
+c AS (SELECT CASE pos WHEN 11 THEN 1 WHEN 50 THEN 2 ELSE 3 END AS k, d.text, p.label FROM p JOIN documents d ON d.doc_id = p.id
+      WHERE pos IN (11, 50, 21))""") +
+          "SELECT string_agg(chr(10) || chr(10) || 'Example ' || k || ':' || chr(10) || chr(10) || '## Comment:' || chr(10) || text || chr(10) "
+          "|| chr(10) || '## Response:' || label, '' ORDER BY k) AS examples FROM c")
+def q_example_block_comment(spark, sf_dir):
+    """P10, toxicity form: comments picked by position with their labels as responses."""
+    rows = R.pick_positions(FX.toxic_groups(spark, sf_dir).select("id", "label"), "id", [11, 50, 21])
+    rows = rows.join(R.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return P.example_block(P.example_rows(rows, P.EXAMPLE_TEMPLATES["comment"], "label", text="text"), with_response=True)
+
+
 _PREFIX_START = "Summarise each dialogue. "
 _PREFIX_TRANSITION = "\n\nNow the dialogue to summarise."
 
@@ -247,7 +263,7 @@ def q_fewshot_chat_text(spark, sf_dir):
           f"SELECT id, {sq(SYSTEM)} || (SELECT string_agg(question || response, '' ORDER BY k) FROM ex WHERE k <= 2) "
           f"|| {sq(TRANSACTION)} || {_test_question()} AS prompt FROM dialogues")
 def q_flat_fewshot(spark, sf_dir):
-    block = P.example_block(_examples(spark, sf_dir).where(F.col("k") <= 2), with_response=True)
+    block = P.example_block(_examples(spark, sf_dir), with_response=True, shots=2)
     d = P.attach_scalar(FX.dialogues(spark, sf_dir), block, "examples")
     return d.select("id", P.flat_fewshot(SYSTEM, F.col("examples"), TRANSACTION, _spark_test_question()).alias("prompt"))
 
@@ -396,9 +412,14 @@ _EXPORT_SYS = "You match records."
 
 
 @register("export_chat_jsonl", with_fixtures("record_pairs") + f"""
-SELECT id, to_json({{'messages': [{{'role': 'system', 'content': {sq(_EXPORT_SYS)}}},
+SELECT overall_label AS split, to_json({{'messages': [{{'role': 'system', 'content': {sq(_EXPORT_SYS)}}},
                                   {{'role': 'user', 'content': {_serialize_sql()}}},
                                   {{'role': 'assistant', 'content': overall_label}}]}})::VARCHAR AS line FROM record_pairs""")
 def q_export_chat_jsonl(spark, sf_dir):
+    """K1: the export written as one folder of JSON lines per split, and read back."""
     df = FX.record_pairs(spark, sf_dir)
-    return df.select("id", chat_jsonl_column(P.serialize_pair(df, _PAIR_COLS), F.col("overall_label"), _EXPORT_SYS).alias("line"))
+    lines = df.select(chat_jsonl_column(P.serialize_pair(df, _PAIR_COLS), F.col("overall_label"), _EXPORT_SYS).alias("line"),
+                      F.col("overall_label").alias("split"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evalcrate-io/chat-{uuid.uuid4().hex}"
+    export_chat_jsonl(lines, "line", path)
+    return spark.read.schema("value string, split string").text(path).select("split", F.col("value").alias("line"))

@@ -3,6 +3,8 @@ best reference (M9, W1), F1 by type (M10), answerability (M11)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
@@ -10,6 +12,7 @@ from evalcrate.operators import qa as Q
 from evalcrate.plans import duck as D
 from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.registry import register, rounded
+from evalcrate.session import ensure_checkpoint_dir
 from evalcrate.sources import fixtures as FX
 
 
@@ -28,7 +31,7 @@ SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS question_id,
 FROM a
 UNION ALL
 SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), CAST(1 AS BIGINT),
-       'Summary: ' || split_part(text, chr(10), 1), 'abstractive'
+       'Summary: ' || text, 'abstractive'
 FROM a"""
 
 
@@ -37,6 +40,14 @@ def q_qasper_gold(spark, sf_dir):
     return Q.resolve_references(_papers(spark, sf_dir))
 
 
+@register("scan_nested_qa", _NESTED_GOLD_SQL)
+def q_scan_nested_qa(spark, sf_dir):
+    """S3: the nested gold as JSON-lines files, read by the file reader and resolved."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evalcrate-io/nested-{uuid.uuid4().hex}"
+    FX.nested_qa_json(spark, sf_dir).write.text(path)
+    return Q.resolve_references(Q.scan_nested_qa(spark, path))
+
+
 @register("expand_references", """
 SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS question_id, CAST(p AS BIGINT) AS ref_pos,
        CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '-' || CAST(p AS VARCHAR) AS annotation_id
@@ -79,7 +90,8 @@ best AS (SELECT question_id, m.f1 AS best_f1, m.type AS type, -m.neg_pos AS ref_
 
 
 def _scores(spark, sf_dir):
-    return Q.reference_scores(FX.multi_ref_gold(spark, sf_dir), FX.multi_ref_pred(spark, sf_dir))
+    # the oracle scores the last prediction of each question only
+    return Q.reference_scores(FX.multi_ref_gold(spark, sf_dir), FX.multi_ref_pred_log(spark, sf_dir), order_col="written")
 
 
 @register("join_gold", _SCORES_SQL + "SELECT question_id, ref_pos, type, answer_pred FROM j")

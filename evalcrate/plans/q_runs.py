@@ -3,6 +3,8 @@ U1, U3, J3, J4, K3."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalcrate.operators import lcs as L
@@ -17,7 +19,8 @@ from evalcrate.plans.fixture_sql import with_fixtures
 from evalcrate.plans.q_classify import em_scored
 from evalcrate.plans.q_overlap import _ROUGE_SQL  # noqa: F401  (also registers the overlap oracles)
 from evalcrate.plans.registry import register, rounded
-from evalcrate.sinks.writers import metrics_record
+from evalcrate.session import ensure_checkpoint_dir
+from evalcrate.sinks.writers import write_metrics
 from evalcrate.sources import fixtures as FX
 from evalcrate.sources.readers import read_table
 
@@ -65,7 +68,19 @@ def q_summary_metrics_all(spark, sf_dir):
     return rounded(RU.summary_metrics(FX.text_pairs(spark, sf_dir)))
 
 
-@register("bootstrap_mean")  # Poisson bootstrap from xxhash64 weights: rows-only check
+def _bootstrap_sql() -> str:
+    cdf = ", ".join(repr(c) for c in RU.poisson_cdf())
+    return _ROUGE_SQL + f""",
+v AS (SELECT id, CASE WHEN o1 > 0 THEN 2.0 * o1 / (np1 + nr1) ELSE 0.0 END AS v FROM s),
+u AS (SELECT b, v, CAST('0x' || substr(md5(id || ':' || b || ':11'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      FROM v, (SELECT unnest(range(0, 200)) AS b) x),
+w AS (SELECT b, v, len(list_filter([{cdf}], lambda c: u >= c)) AS w FROM u),
+m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY b)
+SELECT count(*) AS replicates, {D.r6('quantile_cont(m, 0.025)', 'low')}, {D.r6('quantile_cont(m, 0.5)', 'mid')},
+       {D.r6('quantile_cont(m, 0.975)', 'high')} FROM m"""
+
+
+@register("bootstrap_mean", _bootstrap_sql())
 def q_bootstrap_mean(spark, sf_dir):
     s = rouge_n_scores(FX.text_pairs(spark, sf_dir), orders=(1,))
     return rounded(RU.bootstrap_mean(s, "id", "rouge1", replicates=200, seed=11))
@@ -90,7 +105,7 @@ j AS (SELECT pair_id, precision, recall,
 SELECT count(*) AS n_pairs, {D.r6('avg(precision)', 'precision')}, {D.r6('avg(recall)', 'recall')}, {D.r6('avg(f1)', 'f1')}
 FROM j""")
 def q_greedy_match_score(spark, sf_dir):
-    return rounded(G.greedy_match_score(FX.token_vectors(spark, sf_dir), block=16))
+    return rounded(G.greedy_match_score(FX.token_vectors(spark, sf_dir)))
 
 
 def parity_scorer(texts: list[str]) -> list[str]:
@@ -151,5 +166,8 @@ def _write_metrics_sql() -> str:
 
 @register("write_metrics", _write_metrics_sql())
 def q_write_metrics(spark, sf_dir):
+    """K3: the metrics record written as JSON text and read back."""
     m = em_confusion(em_scored(spark, sf_dir))
-    return metrics_record(rounded(m), {"model": "parity-stub", "shots": 0, "accuracy": "config value loses"})
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evalcrate-io/metrics-{uuid.uuid4().hex}"
+    write_metrics(rounded(m), {"model": "parity-stub", "shots": 0, "accuracy": "config value loses"}, path)
+    return spark.read.text(path)

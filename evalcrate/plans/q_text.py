@@ -33,11 +33,10 @@ def q_drop_suffix(spark, sf_dir):
     return p.select("question_id", T.drop_suffix("prediction", "</s>").alias("cleaned"))
 
 
-@register("strip", f"SELECT conv_id, turn, {D.py_strip(chr(39) + ' ' + chr(39) + ' || split_part(text, chr(10), -1) || chr(10)')} AS stripped FROM conversations")
+@register("strip", f"SELECT conv_id, turn, {D.py_strip(chr(39) + ' ' + chr(39) + ' || text || chr(10)')} AS stripped FROM conversations")
 def q_strip(spark, sf_dir):
     c = _conv(spark, sf_dir)
-    last_line = F.concat(F.lit(" "), F.substring_index("text", "\n", -1), F.lit("\n"))
-    return c.select("conv_id", "turn", T.py_strip(last_line).alias("stripped"))
+    return c.select("conv_id", "turn", T.py_strip(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("stripped"))
 
 
 @register("first_line", f"SELECT conv_id, turn, {D.py_strip(f'split_part({D.py_strip(chr(39) + chr(10) + chr(39) + ' || text')}, chr(10), 1)')} AS line FROM conversations")
@@ -81,34 +80,34 @@ def q_merge_adjacent_roles(spark, sf_dir):
 _SYS = "You are a helpful assistant."
 
 
+_NEXT = "Please go on."
+
+
 @register("build_request", f"""
-WITH u AS (SELECT a.conv_id, a.turn, a.text, p.role AS prole, p.text AS ptext
-           FROM conversations a LEFT JOIN conversations p ON p.conv_id = a.conv_id AND p.turn = a.turn - 1
-           WHERE a.role = 'user')
-SELECT conv_id, turn, 0 AS pos, 'system' AS role, '{_SYS}' AS content FROM u
-UNION ALL SELECT conv_id, turn, 1, prole, ptext FROM u WHERE prole IS NOT NULL
-UNION ALL SELECT conv_id, turn, CASE WHEN prole IS NULL THEN 1 ELSE 2 END, 'user', text FROM u""")
+SELECT conv_id, 0 AS pos, 'system' AS role, '{_SYS}' AS content FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, CAST(turn + 1 AS INTEGER), role, text FROM conversations
+UNION ALL SELECT conv_id, CAST(max(turn) + 2 AS INTEGER), 'user', '{_NEXT}' FROM conversations GROUP BY conv_id""")
 def q_build_request(spark, sf_dir):
-    c = _conv(spark, sf_dir)
-    prev = c.select(F.col("conv_id").alias("_c"), (F.col("turn") + 1).alias("_t"),
-                    F.struct(F.col("role").alias("role"), F.col("text").alias("content")).alias("_m"))
-    u = c.where(F.col("role") == "user")
-    j = u.join(prev, (u["conv_id"] == prev["_c"]) & (u["turn"] == prev["_t"]), "left")
-    hist = F.when(F.col("_m").isNull(), F.array().cast(H.MSG_ARRAY)).otherwise(F.array("_m"))
-    req = j.select("conv_id", "turn", H.build_request(_SYS, hist, F.col("text")).alias("messages"))
-    return req.select("conv_id", "turn", F.posexplode("messages").alias("pos", "m")).select(
-        "conv_id", "turn", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    """H1: one request per conversation, system + the whole history + the new turn (a request is one row)."""
+    history = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
+                          lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    c = _conv(spark, sf_dir).groupBy("conv_id").agg(history.alias("history"))
+    req = c.select("conv_id", H.build_request(_SYS, F.col("history"), F.lit(_NEXT)).alias("messages"))
+    return H.to_long(req, "conv_id")
 
 
 @register("append_history", """
 SELECT conv_id, turn, role, text FROM conversations
 UNION ALL SELECT conv_id, max(turn) + 1, 'user', 'Thanks, that helps.' FROM conversations GROUP BY conv_id
-UNION ALL SELECT conv_id, max(turn) + 2, 'assistant', 'Glad to help.' FROM conversations GROUP BY conv_id""")
+UNION ALL SELECT conv_id, max(turn) + 2, 'assistant', 'Glad to help.' FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, max(turn) + 3, 'user', 'Bye.' FROM conversations GROUP BY conv_id
+UNION ALL SELECT conv_id, max(turn) + 4, 'assistant', 'Goodbye.' FROM conversations GROUP BY conv_id""")
 def q_append_history(spark, sf_dir):
     c = _conv(spark, sf_dir)
-    new = c.select("conv_id").distinct().select("conv_id", F.lit("Thanks, that helps.").alias("user_text"),
-                                                F.lit("Glad to help.").alias("assistant_text"))
-    return H.append_history(c, new)
+    says = F.array(F.struct(F.lit(1).alias("n"), F.lit("Thanks, that helps.").alias("user_text"), F.lit("Glad to help.").alias("assistant_text")),
+                   F.struct(F.lit(2).alias("n"), F.lit("Bye.").alias("user_text"), F.lit("Goodbye.").alias("assistant_text")))
+    new = c.select("conv_id").distinct().select("conv_id", F.explode(says).alias("x")).select("conv_id", "x.*")
+    return H.append_history(c, new, order_col="n")
 
 
 @register("set_system_prompt", f"""

@@ -45,24 +45,42 @@ def evaluate_entity_matching(df: DataFrame, response_col: str, label_col: str, p
 
 
 def evaluate_toxicity(df: DataFrame, response_col: str, label_col: str, groups: Sequence[str] = ("male", "female"),
-                      positive_marker: str = "Y") -> DataFrame:
+                      positive_marker: str = "Y", group_cols: Sequence[str] = ()) -> DataFrame:
     """yes/no responses -> accuracy, F1 and worst-group accuracy (M4 + M5)."""
-    s = df.select(*groups, T.label_contains(label_col, positive_marker).cast("int").alias("label"),
+    s = df.select(*group_cols, *groups, T.label_contains(label_col, positive_marker).cast("int").alias("label"),
                   T.yes_flag(response_col).alias("pred"))
-    return C.acc_f1_worst_group(s, groups, "pred", "label")   # one scan, one aggregate
+    return C.acc_f1_worst_group(s, groups, "pred", "label", group_cols=group_cols)   # one scan, one aggregate
 
 
 def evaluate_summaries(df: DataFrame, pred_col: str, ref_col: str, rouge: bool = True, bleu: bool = True,
                        f1: bool = True, exact: bool = False, group_cols: Sequence[str] = (),
-                       rouge_l: bool = True) -> DataFrame:
-    """ROUGE-1/2/L/Lsum, corpus BLEU, token F1, exact match in one pass (M18 switches)."""
-    return RU.summary_metrics(df, pred_col, ref_col, rouge, bleu, f1, exact, group_cols, lcs=rouge_l and rouge)
-
-
-def evaluate_abstention(gold_long: DataFrame, predictions: DataFrame, pred_col: str = "prediction") -> DataFrame:
-    """Multi-reference F1 by answer type (M10) and answerability (M11) in one row."""
-    best = Q.best_reference(Q.reference_scores(gold_long, predictions, pred_col))
-    return best.agg(*Q.f1_by_type_aggs(), *Q.answerability_aggs())
+                       rouge_l: bool = True, vectors: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """ROUGE-1/2/L/Lsum, corpus BLEU, token F1, exact match in one pass (M18 switches);
+    ``vectors`` (token vectors by pair) adds the vector-match scores."""
+    return RU.summary_metrics(df, pred_col, ref_col, rouge, bleu, f1, exact, group_cols, lcs=rouge_l and rouge,
+                              vectors=vectors, id_col=id_col)
+
+
+def evaluate_abstention(gold_long: DataFrame, predictions: DataFrame, pred_col: str = "prediction",
+                        order_col: str | None = None, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Multi-reference F1 by answer type (M10) and answerability (M11), one row a run."""
+    scores = Q.reference_scores(gold_long, predictions, pred_col, order_col=order_col, run_cols=group_cols)
+    best = Q.best_reference(scores, [*group_cols, "question_id"])
+    return (best.groupBy(*group_cols) if group_cols else best).agg(*Q.f1_by_type_aggs(), *Q.answerability_aggs())
+
+
+def evaluate_abstention_texts(gold_long: DataFrame, predictions: DataFrame, pred_col: str = "prediction",
+                              order_col: str | None = None, group_cols: Sequence[str] = (), rouge_l: bool = False,
+                              vectors: DataFrame | None = None) -> DataFrame:
+    """ROUGE, BLEU and, given ``vectors`` by question, vector match of the cleaned predictions
+    against every reference, one row a run."""
+    runs = list(group_cols)
+    if order_col:
+        predictions = Q.dedupe_predictions(predictions, [*runs, "question_id"], order_col)
+    pairs = Q.join_gold(gold_long, predictions).select(
+        *runs, "question_id", T.extract_answer(pred_col).alias("pred"), F.col("answer").alias("ref"))
+    return RU.summary_metrics(pairs, "pred", "ref", f1=False, exact=False, group_cols=runs, lcs=rouge_l,
+                              vectors=vectors, id_col="question_id")
 
 
 def evaluate_qa(df: DataFrame, pred_col: str, gold_col: str, remove_suffix: str | None = None,

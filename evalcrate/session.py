@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 LOCAL_CONF = {
@@ -24,14 +26,34 @@ LOCAL_CONF = {
 }
 
 
+def _given_settings() -> set[str]:
+    """Names of the settings that spark-submit or spark-defaults.conf bring."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit: its JVM holds them
+        SparkContext._ensure_initialized()
+        return {kv._1() for kv in SparkContext._jvm.org.apache.spark.SparkConf(True).getAll()}
+    names = set(re.findall(r"(spark\.[\w.]+)=", os.environ.get("PYSPARK_SUBMIT_ARGS", "")))
+    if "--driver-memory" in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        names.add("spark.driver.memory")
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    path = os.path.join(folder, "spark-defaults.conf")
+    if os.path.isfile(path):
+        with open(path) as f:
+            names |= set(re.findall(r"^\s*(spark\.[\w.]+)", f.read(), re.M))
+    return names
+
+
 def get_spark(master: str | None = None, app: str = "evalcrate", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the local defaults; cluster settings win."""
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    for k, v in {**LOCAL_CONF, **(extra or {})}.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
+    """The active session if there is one, else a new one; the local defaults fill only settings
+    that neither the submit command nor spark-defaults.conf gives."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        given = _given_settings()
+        b = SparkSession.builder.appName(app)
+        if master:
+            b = b.master(master)
+        for k, v in {**{k: v for k, v in LOCAL_CONF.items() if k not in given}, **(extra or {})}.items():
+            b = b.config(k, v)
+        spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -41,11 +63,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is left alone.  Only
-    when it is unset (local tests) a private scratch folder is created.
+    in local mode a private scratch folder stands in for it; on a cluster without
+    it this raises, since executors do not see each other's local folders.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="evalcrate-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -84,6 +84,17 @@ def multi_ref_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(q.alias("question_id"), pred.alias("prediction")))
 
 
+def multi_ref_pred_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, prediction, written): every prediction of ``multi_ref_pred`` as the last write, with an
+    earlier one, often the better answer, before a third of them."""
+    last = multi_ref_pred(spark, sf_dir).withColumn("written", F.lit(2))
+    c = read_table(spark, sf_dir, "conversations")
+    q = F.col("conv_id")
+    early = c.where((F.col("turn") == 1) & (q % 3 == 0) & (q % 9 != 0)).select(
+        q.alias("question_id"), F.col("text").alias("prediction"), F.lit(1).alias("written"))
+    return last.unionByName(early)
+
+
 def record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring customers as an entity-matching record pair (NULL prints as NA)."""
     a = read_table(spark, sf_dir, "customer").alias("a")
@@ -109,9 +120,11 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair_id, vec_id, side, embedding): token vectors of prediction/reference texts."""
+    """(pair_id, vec_id, side, embedding): token vectors of prediction/reference texts.
+
+    A pair is a label within a range of 128 ids, so its size is bounded at every scale."""
     e = read_table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").alias("pair_id"), "vec_id",
+    return e.select((F.floor(F.col("vec_id") / 128) * 1000 + F.col("label")).alias("pair_id"), "vec_id",
                     F.when(F.col("vec_id") % 2 == 0, F.lit("pred")).otherwise(F.lit("ref")).alias("side"),
                     "embedding")
 
@@ -121,7 +134,7 @@ def nested_qa_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One line per assistant turn (bounded size, no grouping): the question has
     two annotations — one typed by ``turn % 4`` (spans / free text / yes-no /
-    unanswerable) and one free-text summary (its first line)."""
+    unanswerable) and one free-text summary."""
     c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     t = F.col("turn") % 4
     no_spans = F.array().cast("array<string>")
@@ -137,7 +150,7 @@ def nested_qa_json(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.when(t == 1, F.col("text")).otherwise(F.lit("")),
              F.when(t == 2, F.length("text") % 2 == 0).otherwise(null_bool))
     a1 = ann("-1", F.lit(False), no_spans,
-             F.concat(F.lit("Summary: "), F.substring_index(F.col("text"), "\n", 1)), null_bool)
+             F.concat(F.lit("Summary: "), F.col("text")), null_bool)
     qa = F.struct(ann_id.alias("question_id"), F.array(a0, a1).alias("answers"))
     paper = F.struct(F.array(qa).alias("qas"))
     return c.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), paper)).alias("value"))

@@ -19,11 +19,14 @@ from pyspark.sql.types import StructType
 
 from evalcrate.operators.classify import clean_binary_responses, em_confusion
 from evalcrate.operators.scoring import score_fn
-from evalcrate.session import ensure_checkpoint_dir
 
 
 def _ckpt(spark: SparkSession, name: str, given: str | None) -> str:
-    return given or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    """A folder that outlives the process: the given one, else one under the configured ``spark.checkpoint.dir``."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not given and not shared:
+        raise ValueError("give a checkpoint folder or set spark.checkpoint.dir: a stream restarts from it")
+    return given or f"{shared.rstrip('/')}/streams/{name}"
 
 
 def stream_score(spark: SparkSession, input_path: str, schema: StructType | str, fn: Callable[[list[str]], list[str]],

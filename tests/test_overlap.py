@@ -19,6 +19,28 @@ def pairs(spark):
     return spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(PAIRS)], "id int, pred string, ref string")
 
 
+def _lcs_positions_table(ref, can) -> list[int]:
+    """Reference form of :func:`_lcs_positions` with the full table (tests)."""
+    n, m = len(ref), len(can)
+    t = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        ri, row, prev = ref[i - 1], t[i], t[i - 1]
+        for j in range(1, m + 1):
+            row[j] = prev[j - 1] + 1 if ri == can[j - 1] else (row[j - 1] if row[j - 1] > prev[j] else prev[j])
+    i, j, out = n, m, []
+    while i > 0 and j > 0:
+        if ref[i - 1] == can[j - 1]:
+            out.append(i - 1)
+            i -= 1
+            j -= 1
+        elif t[i][j - 1] > t[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    out.reverse()
+    return out
+
+
 def test_bag_overlap_matches_counter(spark):
     rnd = random.Random(3)
     rows = []
@@ -99,7 +121,7 @@ def test_rouge_l_udf(pairs):
 
 
 def test_lcs_positions_bitvector_equals_table():
-    from evalcrate.operators.lcs import _lcs_positions, _lcs_positions_table
+    from evalcrate.operators.lcs import _lcs_positions
     rnd = random.Random(9)
     for _ in range(400):
         a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 25))]

@@ -1,3 +1,5 @@
+import pytest
+
 
 
 from evalcrate.operators import scoring as S
@@ -60,3 +62,46 @@ def test_stream_restart_processes_only_new_files(spark, tmp_path):
                  checkpoint=ck).awaitTermination(120)
     rows = sorted((r.id, r.output) for r in spark.read.parquet(out).collect())
     assert rows == [(1, "A"), (2, "B")]          # restart picked up only the new file
+
+
+def _factory(name, folder):
+    def make():
+        import uuid
+        from pathlib import Path
+        (Path(folder) / f"{name}-{uuid.uuid4().hex}").touch()
+        return lambda texts: [f"{name}:{t}" for t in texts]
+    return make
+
+
+def test_scorer_is_built_once_per_worker_and_key(spark, tmp_path):
+    df = spark.range(0, 64).selectExpr("id", "cast(id as string) as p").repartition(16)
+    for _ in range(2):
+        out = S.score_fn(df, None, "id", "p", make_fn=_factory("a", str(tmp_path)), make_key="model-a").collect()
+        assert all(r.output == f"a:{r.id}" for r in out)
+    other = S.score_fn(df, None, "id", "p", make_fn=_factory("b", str(tmp_path)), make_key="model-b").collect()
+    assert all(r.output == f"b:{r.id}" for r in other)
+    workers = 4  # the test session's cores
+    assert 1 <= len(list(tmp_path.glob("a-*"))) <= workers and 1 <= len(list(tmp_path.glob("b-*"))) <= workers
+    with pytest.raises(ValueError, match="make_key"):
+        S.score_fn(df, None, "id", "p", make_fn=_factory("a", str(tmp_path)))
+
+
+def test_resumable_run_with_a_scorer_factory(spark, tmp_path):
+    df = spark.range(0, 10).selectExpr("id", "cast(id as string) as p")
+    out = S.resumable_score(df, None, "id", "p", str(tmp_path / "o"), make_fn=_factory("c", str(tmp_path)), make_key="model-c")
+    assert sorted(r.output for r in out.collect()) == sorted(f"c:{i}" for i in range(10))
+
+
+def test_unreadable_output_folder_is_not_taken_for_an_empty_one(spark, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        S.resumable_score(spark.range(3).selectExpr("id", "'x' as p"), lambda t: t, "id", "p", str(tmp_path / "bad"))
+
+
+def test_stream_needs_a_lasting_checkpoint(spark):
+    from evalcrate.streaming import scoring
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="checkpoint"):
+            scoring._ckpt(spark, "x", None)
+    assert scoring._ckpt(spark, "x", "/given") == "/given"
