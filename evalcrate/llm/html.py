@@ -50,7 +50,7 @@ al como con cuando del el ella ellos entre era es esta este fue ha hay la las lo
 por porque qué se ser si sin sobre su sus también todo tu una uno y ya yo
 """.split())
 
-BLOCK = frozenset("""address article aside blockquote body br_ center dd details dialog dir div dl dt fieldset figcaption
+BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section
 select summary table tbody td tfoot th thead tr ul""".split())
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"])
@@ -58,16 +58,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("head form button select template svg math object canvas audio video dialog datalist".split())
 BOILERPLATE = frozenset("nav footer aside menu".split())
 # fixed values: words of class, id and role that mark boilerplate; the second list only outside an article
-MARKED = frozenset("""ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs captcha comment
+MARKED = frozenset("""alert banner notice notices notification notifications ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs captcha comment
 comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr login menu modal nav navbar
 navigation newsletter outbrain pager pagination popup promo promotion related replies reply respond search share sharing
 sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets complementary
 contentinfo""".split())
-MARKED_OUTSIDE = frozenset("alert banner header masthead notice notices notification topbar".split())
+MARKED_OUTSIDE = frozenset("header masthead topbar".split())
 CONTENT = frozenset("article articlebody entry post story content main".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""",
-                    re.S)
+# comments, declarations, tags (a quote counts after an equals sign only); last, tags with an unclosed quote
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|(?!["'])))*)(?:>|\Z)"""
+                    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"\w+")
@@ -127,7 +128,8 @@ def blocks(html: str) -> list[_Block]:
         if not m:
             break
         at = m.end()
-        name = (m.group(2) or "").lower()
+        slash, name, attrs = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
+        name = (name or "").lower()
         if not name:
             continue
         if name == "br":
@@ -135,7 +137,7 @@ def blocks(html: str) -> list[_Block]:
             continue
         if name in BLOCK:
             close()
-        if m.group(1):
+        if slash:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -143,7 +145,7 @@ def blocks(html: str) -> list[_Block]:
                 if name not in BLOCK and stack[i][0] in BLOCK:
                     break
             continue
-        attrs = m.group(3) or ""
+        attrs = attrs or ""
         if name in RAW:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             if not stop:

@@ -30,7 +30,7 @@ from evalcrate.llm.shared import hidden, saved
 
 PROBES = 256
 CELL_ROWS = 100_000
-HOT_TEXTS = 1000
+HOT_TEXTS = 200
 LOWEST = -(1 << 63)
 
 
