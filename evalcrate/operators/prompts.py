@@ -152,6 +152,17 @@ def msg(role: str | Column, content) -> Column:
     return F.struct(r.alias("role"), _c(content).alias("content"))
 
 
+def examples_of(table: DataFrame, dataset: str, dataset_col: str = "dataset") -> DataFrame:
+    """The few-shot examples of one dataset from a user's ``(dataset, k, question, response)`` table;
+    a dataset without examples fails when its prompts are built, instead of building them without."""
+    own = table.where(F.col(dataset_col) == dataset).select("k", "question", "response")
+    some = table.agg(F.count_if(F.col(dataset_col) == dataset).alias("n")).select("n").scalar()
+    say = F.raise_error(F.lit(f"no few-shot examples for dataset {dataset}"))
+    one = table.sparkSession.range(1).where(F.when(some == 0, say.cast("boolean")).otherwise(F.lit(False))).select(
+        F.lit(None).cast(own.schema["k"].dataType).alias("k"), F.lit("").alias("question"), F.lit("").alias("response"))
+    return own.unionByName(one)
+
+
 def example_turns(examples: DataFrame, shots: int, first_prefix: str = "", k_col: str = "k",
                   q_col: str = "question", r_col: str = "response") -> DataFrame:
     """One row holding the few-shot chat prefix ``[user q1, assistant r1, ...]`` (k <= shots).

@@ -202,6 +202,26 @@ def q_example_block_comment(spark, sf_dir):
     return P.example_block(P.example_rows(rows, P.EXAMPLE_TEMPLATES["comment"], "label", text="text"), with_response=True)
 
 
+_SET_SQL = """
+p AS (SELECT id, response, truth_text, row_number() OVER (ORDER BY id) AS k FROM em_preds),
+ex AS (SELECT 'odd' AS dataset, k, 'Is it ' || truth_text || '?' AS question, response FROM p WHERE k <= 3
+       UNION ALL SELECT 'even', k, 'Q ' || k, truth_text FROM p WHERE k <= 5)"""
+
+
+@register("fewshot_by_dataset", with_fixtures("em_preds", extra=_SET_SQL) +
+          "SELECT e.id, (SELECT string_agg(question || response, '' ORDER BY k) FROM ex WHERE dataset = 'even' AND k <= 4) || e.response "
+          "AS prompt FROM em_preds e")
+def q_fewshot_by_dataset(spark, sf_dir):
+    """P4/P5 material from one table of examples keyed by dataset, four shots."""
+    preds = FX.em_preds(spark, sf_dir)
+    first = R.pick_positions(preds, "id", [0, 1, 2, 3, 4])
+    odd = first.where("k <= 3").select(F.lit("odd").alias("dataset"), "k", F.concat(F.lit("Is it "), "truth_text", F.lit("?")).alias("question"), "response")
+    even = first.select(F.lit("even").alias("dataset"), "k", F.concat(F.lit("Q "), F.col("k").cast("string")).alias("question"),
+                        F.col("truth_text").alias("response"))
+    block = P.example_block(P.examples_of(odd.unionByName(even), "even"), with_response=True, shots=4)
+    return P.attach_scalar(preds, block, "examples").select("id", F.concat("examples", "response").alias("prompt"))
+
+
 _PREFIX_START = "Summarise each dialogue. "
 _PREFIX_TRANSITION = "\n\nNow the dialogue to summarise."
 

@@ -47,3 +47,11 @@ def test_poisson_weights_are_not_cut(spark):
     cdf = RU.poisson_cdf()
     assert len(cdf) > 15 and cdf[-1] > 1 - 2 ** -50
     assert all(a < b for a, b in zip(cdf, cdf[1:16]))
+
+
+def test_examples_of_an_unknown_dataset_fail(spark):
+    from evalcrate.operators import prompts as P
+    table = spark.createDataFrame([("a", 1, "q", "r"), ("b", 1, "x", "y")], "dataset string, k int, question string, response string")
+    assert [tuple(r) for r in P.examples_of(table, "a").collect()] == [(1, "q", "r")]
+    with pytest.raises(Exception, match="no few-shot examples"):
+        P.examples_of(table, "c").collect()
