@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import hidden, saved
-from evalcrate.session import ship_package
+from evalcrate.llm.shared import for_python, hidden, saved
 
 SEGMENT = 4 << 20
 GAP = 64
@@ -225,7 +224,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int = 1) -> DataFrame:
     """One row per document with its hit words, matched items and the verdict ``contaminated``
     (some word is hit, and at least one in twenty is)."""
-    ship_package(docs.sparkSession)
+    for_python(docs.sparkSession)
     words = saved(test_words(benchmark), "test-words")
     return find_matches(build_index(docs, words), words, width, slop).mapInArrow(_digest, _DIGEST)
 

@@ -24,8 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalcrate.llm.shared import saved
-from evalcrate.session import ship_package
+from evalcrate.llm.shared import for_python, saved
 
 BLOCK = 100_000
 QUERIES = 20_000
@@ -108,7 +107,7 @@ def exact_topk(rows: DataFrame, query: DataFrame, id_col: str = "vec_id", vector
                k: int = 10) -> DataFrame:
     """Per row of ``query`` its ``k`` nearest rows: ``query_id, rank, vec_id, distance``."""
     spark = rows.sparkSession
-    ship_package(spark)
+    for_python(spark)
     codes = sign_codes(rows, id_col, vector_col).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     some = F.row_number().over(Window.partitionBy("code", "salt").orderBy("id"))
     best = F.row_number().over(Window.partitionBy("code").orderBy("id"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.llm import bytescan
-from evalcrate.session import ship_package
+from evalcrate.llm.shared import for_python
 
 SHORT, LONG = 70, 200
 LOW_DENSITY, HIGH_DENSITY = 0.1, 0.2
@@ -272,7 +272,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: ``page_id, url, text, n_chars, n_kept, n_dropped`` (blocks)."""
-    ship_package(pages.sparkSession)
+    for_python(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_kept long, n_dropped long")

@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import saved
-from evalcrate.session import ship_package
+from evalcrate.llm.shared import for_python, saved
 
 ORDER = 4
 MAX_GRAMS = 400_000
@@ -201,7 +200,7 @@ def held_out(doc_id="doc_id"):
 
 def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> CharModel | None:
     """Model of all labelled texts that are not held out."""
-    ship_package(docs.sparkSession)
+    for_python(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = saved(rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram")

@@ -43,8 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import components, hidden, saved
-from evalcrate.session import ship_package
+from evalcrate.llm.shared import components, for_python, hidden, saved
 
 CELLS = 64
 TILE = 1024
@@ -247,7 +246,7 @@ def _tiled(df: DataFrame, size_col: str, tile: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
     """Per document: ``doc_id, cid`` (id of its n-gram set), ``n_shingles, comp`` (component over set ids)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    for_python(spark)
     # n-grams that many classes hold among their first columns, the most frequent ones last in the order
     first = (sketches(docs, k, percent, np.empty(0, np.uint64), prefix_only=True).where("n_shingles > 0")
              .groupBy("cid").agg(F.first("prefix").alias("prefix")))

@@ -7,7 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalcrate.session import ensure_checkpoint_dir
+from evalcrate.session import ensure_checkpoint_dir, ship_package
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def for_python(spark: SparkSession) -> None:
+    """Make the session ready for Arrow functions over texts: workers can import the package, and a batch
+    is 1,000 rows where the session still has Spark's default of 10,000 (a batch is held several times over,
+    by the JVM and by Python, in every running task)."""
+    ship_package(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.llm import bytescan
-from evalcrate.session import ship_package
+from evalcrate.llm.shared import for_python
 
 LONG = 2048
 CACHE = 500_000
@@ -216,7 +216,7 @@ def _counter(name: str):
 
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_tokens, over_limit``."""
-    ship_package(docs.sparkSession)
+    for_python(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     return rows.mapInArrow(_counter(model), "doc_id long, n_bytes long, n_tokens long").withColumn(
