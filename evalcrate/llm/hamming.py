@@ -28,6 +28,7 @@ from evalcrate.llm.shared import for_python, saved
 
 BLOCK = 100_000
 QUERIES = 20_000
+LEAST = 256
 CHUNK = 64
 SEGMENT = 16
 SALTS = 64
@@ -117,7 +118,9 @@ def exact_topk(rows: DataFrame, query: DataFrame, id_col: str = "vec_id", vector
     asked = saved(sign_codes(query, id_col, vector_col).groupBy("code").agg(F.collect_list("id").alias("ids"))
                   .withColumn("q", F.xxhash64("code")), "queries")
     nb = max(1, -(-entries.count() // BLOCK))
-    nq = max(1, -(-asked.count() // QUERIES))
+    # enough query blocks to give every core some, each of at least LEAST queries
+    n = asked.count()
+    nq = max(1, -(-n // QUERIES), min(-(-n // LEAST), -(-2 * spark.sparkContext.defaultParallelism // nb)))
     base = entries.withColumn("b", F.pmod(F.xxhash64("low"), F.lit(nb))).withColumn(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
     probes = asked.select("q", "code").withColumn("a", F.pmod(F.xxhash64("q"), F.lit(nq))).withColumn(
