@@ -89,18 +89,19 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
 
 
 class _Block:
-    __slots__ = ("text", "linked", "heading", "marked", "content", "label")
+    __slots__ = ("text", "linked", "heading", "marked", "marked_at", "content", "label")
 
     def __init__(self, text, linked, heading, marked, content):
         self.text, self.linked, self.heading = text, linked, heading
-        self.marked, self.content, self.label = marked, content, None
+        # content rank of the place where the innermost boilerplate mark stands, None without a mark
+        self.marked, self.marked_at, self.content, self.label = marked is not None, marked, content, None
 
 
 def blocks(html: str) -> list[_Block]:
     """Visible blocks in page order."""
     out: list[_Block] = []
     # open elements: (name, dropped, marked, content rank, link, heading)
-    stack: list[tuple] = [("", False, False, 0, False, False)]
+    stack: list[tuple] = [("", False, None, 0, False, False)]
     parts: list[tuple[str, bool]] = []
 
     def close():
@@ -122,7 +123,7 @@ def blocks(html: str) -> list[_Block]:
         if text and not stack[-1][1]:
             if not parts or (parts and all(not t.strip() for t, _ in parts)):
                 state = stack[-1]
-            elif stack[-1][2] or stack[-1][3] > state[3]:
+            elif stack[-1][2] is not None or stack[-1][3] > state[3]:
                 state = stack[-1]
             parts.append((text, stack[-1][4]))
         if not m:
@@ -173,11 +174,10 @@ def blocks(html: str) -> list[_Block]:
         words, hidden = _marks(attrs) if attrs.strip() else (set(), False)
         dropped = dropped or hidden or name in DROPPED
         if name == "body" or name == "html":
-            marked = False
-        elif name in BOILERPLATE or words & MARKED:
-            marked = True
-        elif not content and (name == "header" or (words & MARKED_OUTSIDE and not words & CONTENT)):
-            marked = True
+            marked = None
+        elif name in BOILERPLATE or words & MARKED or (
+                not content and (name == "header" or (words & MARKED_OUTSIDE and not words & CONTENT))):
+            marked = content  # the innermost mark
         if name == "article":
             content = max(content, 3)
         elif name == "main" or "main" in words and "role" in attrs.lower():
@@ -251,6 +251,12 @@ def _second_pass(page: list[_Block], inside: bool) -> None:
 def main_text(html: str | None) -> tuple[str, int, int]:
     """Main text, number of blocks kept, number of blocks dropped."""
     page = blocks(html) if html else []
+    top = max((b.content for b in page), default=0)
+    if top >= 2 and all(b.marked for b in page if b.content == top):
+        # a wrapper's class named a boilerplate part: inside the article only marks set there count
+        for b in page:
+            if b.content == top and b.marked_at < top:
+                b.marked = False
     best = max((b.content for b in page if not b.marked), default=0)
     for b in page:
         b.label = _first_pass(b, best)

@@ -150,6 +150,8 @@ PAGES = {
     "<article><p>a<!-- no --> b</p>\n\n<p>&#233;&nbsp;x</p><p> </p></article>": "a b\n\né x",
     "<body><div class='sidebar'><p>no</p></div><main><p>yes</p><ul><li>item one</li><li>item two</li></ul></main></body>": "yes\n\nitem one\n\nitem two",
     "<article><p>kept<script>never closed": "kept",
+    "<body class='no-comments'><div class='page with-sidebar'><nav>n</nav><article><p>In</p><div class='ad'>x</div></article></div>": "In",
+    "<article><p>In</p></article><div class='sidebar'><article><p>Teaser</p></article></div>": "In",
     "<article><p title=x\">One</p><div class='notice'>Read this</div><p>Two 3 < 4 <em>it's</em></p><p>cut <a href=\"/y": "One\n\nTwo 3 < 4 it's\n\ncut",
     "<article><p>Text</p></article><div class='cookie-notice'>We use cookies</div>": "Text",
     "<article><p>Text with <a href='/x'>a link</a> in it</p><p><a href='/y'>Read more</a></p></article>": "Text with a link in it",
