@@ -19,8 +19,9 @@ entries of A A^T; only blocks that can hold a linked pair are ever multiplied:
    the block's columns.  Rows already in the block's largest linked component
    need no product of their own, since every row outside it is multiplied with
    all rows; a large group of near copies is therefore not expanded into pairs.
-5. Columns and blocks with more than ``tile`` rows are cut into tiles (pairs of
-   row chunks), so no task holds an unbounded group.
+5. Columns with more than ``2 * tile`` rows, and blocks with more rows than that
+   or more than ``2 * TILE_GRAMS`` n-grams, are cut into tiles (pairs of row
+   chunks), so no task holds an unbounded group.
 
 No pair is capped, sampled or dropped: every step discards only pairs that
 provably miss the threshold (n-grams are compared by 64-bit hashes).
@@ -47,6 +48,7 @@ from evalcrate.llm.shared import components, for_python, hidden, saved
 
 CELLS = 64
 TILE = 1024
+TILE_GRAMS = 4 << 20
 FREQUENT = 32
 ORDER_LIST = 65536
 
@@ -197,13 +199,21 @@ def _exact(k: int, percent: int):
             ids = t.column("cid").to_numpy()
             ends = np.append(starts, len(ids))[1:]
             for s, e in zip(starts, ends):
-                sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").slice(s, e - s).to_pylist()]
-                n = np.array([len(x) for x in sets])
-                _, col = np.unique(np.concatenate(sets), return_inverse=True)
-                row = np.repeat(np.arange(len(n)), n)
-                by_col = row[np.argsort(col, kind="stable")]
-                ptr = np.append(0, np.cumsum(np.bincount(col)))
-                off = np.append(0, np.cumsum(n))
+                sets = t.column("grams").slice(s, e - s).combine_chunks()
+                at = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset:sets.offset + e - s + 1]
+                values = np.frombuffer(sets.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.uint64)
+                off = (at - at[0]).astype(np.int64) // 8
+                n = np.diff(off)
+                order = np.argsort(values, kind="stable")
+                values = values[order]
+                del sets
+                new = np.append(True, values[1:] != values[:-1])
+                ptr = np.append(np.flatnonzero(new), len(values))
+                # column of each entry in row order, and the rows of each column
+                col = np.empty(len(values), np.int32)
+                col[order] = np.cumsum(new, dtype=np.int32) - 1
+                by_col = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+                del values, order, new
 
                 def linked(i, col=col, by_col=by_col, ptr=ptr, off=off, n=n):
                     c = col[off[i]:off[i + 1]]
@@ -235,16 +245,17 @@ def _gram_sets(k: int):
     return run
 
 
-def _tiled(df: DataFrame, size_col: str, tile: int) -> DataFrame:
-    """Add tile keys a <= b: one tile up to ``tile`` rows, else one for every pair of row chunks."""
-    k = F.ceil(F.col(size_col) / F.lit(tile)).cast("int")
+def _tiled(df: DataFrame, chunks) -> DataFrame:
+    """Add tile keys a <= b: one tile for a group of up to two ``chunks``, else one for every pair of chunks."""
+    k = F.when(chunks <= 2, 1).otherwise(F.ceil(chunks)).cast("int")
     c = F.pmod(F.xxhash64("cid"), k).cast("int")
     return (df.withColumn("_c", c).withColumn("_o", F.explode(F.sequence(F.lit(0), k - 1)))
             .withColumn("a", F.least("_c", "_o")).withColumn("b", F.greatest("_c", "_o")).drop("_c", "_o"))
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
-    """Per document: ``doc_id, cid`` (id of its n-gram set), ``n_shingles, comp`` (component over set ids)."""
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """One row per document ``doc_id, cid, n_shingles``, and one per n-gram set ``cid, comp, doc_id``
+    (component over set ids, smallest doc_id of the set)."""
     spark = docs.sparkSession
     for_python(spark)
     # n-grams that many classes hold among their first columns, the most frequent ones last in the order
@@ -260,14 +271,16 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
         F.min("doc_id").alias("doc_id")), "ngram-classes")
     columns = classes.select("cid", F.explode("prefix").alias("t"))
     shared = columns.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    cells = _tiled(columns.join(shared, "t").join(classes.select("cid", "n_shingles", "hist"), "cid"), "c", tile)
+    cells = _tiled(columns.join(shared, "t").join(classes.select("cid", "n_shingles", "hist"), "cid"), F.col("c") / F.lit(tile))
     near = (cells.select("t", "a", "b", "cid", "n_shingles", "hist").repartition("t", "a", "b")
             .sortWithinPartitions("t", "a", "b").mapInArrow(_coarse(percent), "u long, v long"))
     blocks = components(near)
 
     members = blocks.withColumnRenamed("id", "cid")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("c"))
-    reps = _tiled(members.join(sizes, "comp"), "c", tile).join(classes.select("cid", "doc_id"), "cid")
+    members = members.join(classes.select("cid", "doc_id", "n_shingles"), "cid")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("g"))
+    reps = _tiled(members.join(sizes, "comp"), F.greatest(F.col("c") / F.lit(tile), F.col("g") / F.lit(TILE_GRAMS)))
+    reps = reps.select("cid", "comp", "a", "b", "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     grams = (texts.join(reps.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
              .select("cid", "comp", "a", "b", "text")
@@ -276,16 +289,16 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
              .mapInArrow(_exact(k, percent), "u long, v long"))
     linked = components(links)
 
-    return rows.select("doc_id", "cid", "n_shingles").join(
-        linked.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn(
-        "comp", F.coalesce("comp", "cid"))
+    sets = classes.select("cid", "doc_id").join(linked.select(F.col("id").alias("cid"), "comp"), "cid", "left")
+    return rows.select("doc_id", "cid", "n_shingles"), sets.withColumn("comp", F.coalesce("comp", "cid"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id`` (smallest doc_id reachable over links)."""
-    labelled = jaccard_classes(docs, k, percent, tile)
-    smallest = labelled.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    return labelled.join(smallest, "comp", "left").select(
+    rows, sets = jaccard_classes(docs, k, percent, tile)
+    smallest = sets.groupBy("comp").agg(F.min("doc_id").alias("low"))
+    of_set = sets.select("cid", "comp").join(smallest, "comp").select("cid", "low")
+    return rows.join(of_set, "cid", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
         .alias("component_id"))
 
@@ -297,8 +310,8 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     that stands for two different texts keeps both."""
     columns = docs.columns
     docs, back = hidden(docs, ["_cid", "_kept", "_kept_cid"])
-    labelled = jaccard_classes(docs, k, percent)
-    kept = labelled.where("n_shingles > 0").groupBy("comp").agg(
+    _, sets = jaccard_classes(docs, k, percent)
+    kept = sets.groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")).alias("m"))
     kept = kept.select(F.col("m.doc_id").alias("_kept"), F.col("m.cid").alias("_kept_cid"))
     marked = docs.mapInArrow(_with_class(k), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))

@@ -96,6 +96,7 @@ def near_copy_texts():
 @pytest.mark.parametrize("tile", [1024, 7])
 def test_jaccard_components_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", 1 << 20 if tile == 1024 else 2000)
     texts = near_copy_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs_of(spark, texts), tile=tile).collect()}
     assert got == brute_components(texts)
