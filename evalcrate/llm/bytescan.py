@@ -1,7 +1,7 @@
 """Vectorised word scanning over the UTF-8 bytes of Arrow string columns.
 
 Shared by the n-gram join and the decontamination index.  Texts are scanned
-whole, in pieces of about a megabyte, so memory stays bounded by the piece
+whole, in pieces of a quarter of a megabyte, so memory stays bounded by the piece
 and by eight bytes a word, however long a text is.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from evalcrate.llm import bytescan
 from evalcrate.llm.shared import for_python, hidden, saved
 
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 GAP = 64
 MAX_TERMS = 4_000_000
 MAX_WINDOWS = 200_000
@@ -177,9 +177,23 @@ def _finder(block, slop: int):
     return run
 
 
+def _judge(block, slop: int):
+    """Matches and their digest in one pass over the segments."""
+    find = _finder(block, slop)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digest(find(batches))
+    return run
+
+
 def find_matches(index: DataFrame, words: DataFrame, width: int = 13, slop: int = 1) -> DataFrame:
     """Per document: flat ``spans`` (start, end word of every exact window match), matched ``items``
     and ``near`` items (proximity matches)."""
+    return _found(index, words, width, slop, whole=False)
+
+
+def _found(index: DataFrame, words: DataFrame, width: int, slop: int, whole: bool) -> DataFrame:
+    """``find_matches``; with ``whole`` its digest."""
     spark = index.sparkSession
     posted = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(
         F.col("x.terms").alias("t")).agg(F.sum("x.counts").alias("c"))
@@ -192,14 +206,18 @@ def find_matches(index: DataFrame, words: DataFrame, width: int = 13, slop: int
         terms = part.select(F.explode("words").alias("t")).distinct()
         counts = {r.t: r.c for r in posted.join(terms, "t").collect()}
         sent = spark.sparkContext.broadcast(_windows(part.collect(), width, counts))
+        if whole and blocks == 1:
+            return index.mapInArrow(_judge(sent, slop), _DIGEST)
         one = index.mapInArrow(_finder(sent, slop), _FOUND)
         found = one if found is None else found.unionByName(one)
     if blocks == 1:
         return found
+    # a document's matches with the blocks of the test set come together again
     lists = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")]
-    return found.groupBy("segment", "place").agg(
+    found = found.groupBy("segment", "place").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"), *lists)
+    return found.mapInArrow(_digest, _DIGEST) if whole else found
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop:
     (some word is hit, and at least one in twenty is)."""
     for_python(docs.sparkSession)
     words = saved(test_words(benchmark), "test-words")
-    return find_matches(build_index(docs, words), words, width, slop).mapInArrow(_digest, _DIGEST)
+    return _found(build_index(docs, words), words, width, slop, whole=True)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:

@@ -38,7 +38,7 @@ ORDER = 4
 MAX_GRAMS = 400_000
 CALIBRATION = 20_000
 MARGIN = 1.0
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 _OTHER = 0xFFFE  # letters outside the basic plane
 _TABLE: list[np.ndarray] = []
 
@@ -91,7 +91,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 g = grams(x[i:i + CHUNK + 3])
                 held.setdefault(lang, []).append((g, np.ones(len(g), np.int64)))
                 size[lang] = size.get(lang, 0) + len(g)
-            if size.get(lang, 0) > 4 * CHUNK:
+            if size.get(lang, 0) > 8 * CHUNK:
                 fold(lang)
                 size[lang] = 0
     for lang in held:
