@@ -18,6 +18,8 @@ LOCAL_CONF = {
     # partitions instead of merging a few MB of text into one task
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # a small file scans as one task: a shuffled join spreads the text work behind it over the cores
+    "spark.sql.autoBroadcastJoinThreshold": "256k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
