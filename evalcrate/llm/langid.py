@@ -3,12 +3,15 @@
 Training counts every character 4-gram of all labelled training texts (lower
 case, runs of non-letters as one space).  Raw counts serve the highest order,
 numbers of distinct left contexts the lower ones; each order is discounted and
-interpolated with the next, down to a uniform base.  The model keeps the most
-frequent 4-grams, at most ``MAX_GRAMS`` over all languages, which bounds what is
-shipped to the tasks; the discounts come from the counts of counts over all
-training text.  Per order, the union of the languages' n-grams is one sorted
-array of 64-bit keys with one log-probability column a language, found by binary
-search; an n-gram no language knows backs off through its context's weight.
+interpolated with the next, down to a uniform base.  The model keeps every
+4-gram of every language.  What a task holds of it at a time is bounded by cutting
+it into blocks of about ``MAX_GRAMS`` (language, 4-gram) pairs by ranges of the
+third letter: a 4-gram, its shorter n-grams down to two letters and all their
+contexts lie in one block, the single letters in each.  More blocks mean more
+lookups a text, never a dropped n-gram.  Per order, the union of the languages'
+n-grams is one sorted array of 64-bit keys with one log-probability column a
+language, found by binary search; an n-gram no language knows backs off through
+its context's weight.
 
 A text gets the language of the lowest cross-entropy per character.  ``rejected``
 marks texts without letters and texts that no model explains: their cross-entropy
@@ -113,9 +116,13 @@ def _discount(n1: float, n2: float) -> float:
 
 
 class CharModel:
-    """Union tables of all languages, order by order."""
+    """Union tables of all languages, order by order.
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], ones_twos: dict[str, tuple]):
+    A block of a larger model gets what its own 4-grams cannot give as ``whole``: per language the
+    single letters with their counts and the (ones, twos) of the lower orders, longest first."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], ones_twos: dict[str, tuple],
+                 whole: dict[str, tuple] | None = None):
         self.langs = sorted(counts)
         size = len(self.langs)
         levels = []  # per order from 1: {lang: (keys, counts, discount)}
@@ -128,7 +135,9 @@ class CharModel:
                 else:  # distinct left contexts of the shorter n-gram
                     above = levels[1][lang][0]
                     keys, n = np.unique(above & np.uint64((1 << 16 * (ORDER - k)) - 1), return_counts=True)
-                    d = _discount((n == 1).sum(), (n == 2).sum())
+                    if whole and k == ORDER - 1:
+                        keys, n = whole[lang][0]
+                    d = _discount(*(whole[lang][k] if whole else ((n == 1).sum(), (n == 2).sum())))
                 levels[0][lang] = (keys, n.astype(np.float64), d)
         alphabet = len(np.unique(np.concatenate([levels[0][x][0] for x in self.langs]))) + 1
         self.base = np.log(1.0 / alphabet)
@@ -170,67 +179,126 @@ class CharModel:
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Characters scored and cross-entropy per character of each text, one column a language."""
-        n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
-        parts, docs, held = [], [], 0
-
-        def flush():
-            d = np.repeat(docs, [len(p) for p in parts])
-            lp = self.log_prob(np.concatenate(parts))
-            for j in range(len(self.langs)):
-                total[:, j] -= np.bincount(d, weights=lp[:, j], minlength=len(texts))
-
-        for i, t in enumerate(texts):
-            x = normal(t) if t else ()
-            n[i] = max(len(x) - 3, 0)
-            for a in range(0, n[i], CHUNK):
-                parts.append(grams(x[a:a + CHUNK + 3]))
-                docs.append(i)
-                held += len(parts[-1])
-                if held >= CHUNK:
-                    flush()
-                    parts, docs, held = [], [], 0
-        if parts:
-            flush()
-        return n, total / np.maximum(n, 1)[:, None]
+        return _entropy(texts, len(self.langs), self.log_prob, CHUNK)
+
+
+def _entropy(texts: list[str], size: int, log_prob, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``CharModel.entropy`` by ``log_prob``, asked for about ``most`` 4-grams at a time."""
+    n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), size))
+    parts, docs, held = [], [], 0
+
+    def flush():
+        d = np.repeat(docs, [len(p) for p in parts])
+        lp = log_prob(np.concatenate(parts))
+        for j in range(size):
+            total[:, j] -= np.bincount(d, weights=lp[:, j], minlength=len(texts))
+
+    for i, t in enumerate(texts):
+        x = normal(t) if t else ()
+        n[i] = max(len(x) - 3, 0)
+        for a in range(0, n[i], CHUNK):
+            parts.append(grams(x[a:a + CHUNK + 3]))
+            docs.append(i)
+            held += len(parts[-1])
+            if held >= most:
+                flush()
+                parts, docs, held = [], [], 0
+    if parts:
+        flush()
+    return n, total / np.maximum(n, 1)[:, None]
+
+
+class Blocks:
+    """The whole model as broadcast ``CharModel`` blocks; block ``i`` has the third letters from ``starts[i]`` on."""
+
+    def __init__(self, langs: list[str], starts: list[int], blocks: list):
+        self.langs, self.starts, self.blocks = langs, np.array(starts, np.uint64), blocks
+
+    def _block(self, i: int) -> CharModel:
+        block = self.blocks[i]
+        model = block.value
+        if len(self.blocks) > 1 and getattr(block, "_path", None):
+            block.__dict__.pop("_value", None)  # read again when needed: one block at a time in memory
+        return model
+
+    def log_prob(self, g: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.starts, g >> np.uint64(16) & np.uint64(0xFFFF), "right") - 1
+        out = np.empty((len(g), len(self.langs)), np.float32)
+        for i in np.unique(at):
+            here = np.flatnonzero(at == i)
+            model = self._block(i)
+            for a in range(0, len(here), CHUNK):
+                out[here[a:a + CHUNK]] = model.log_prob(g[here[a:a + CHUNK]])
+            del model
+        return out
+
+    def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.blocks) == 1:
+            return self._block(0).entropy(texts)
+        return _entropy(texts, len(self.langs), self.log_prob, max(CHUNK, (1 << 22) // len(self.langs)))
 
 
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> CharModel | None:
-    """Model of all labelled texts that are not held out."""
-    for_python(docs.sparkSession)
+def _per_lang(langs: list[str], counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and counts of each language."""
+    got = counts.select("lang", "gram", "n").toArrow()
+    lang = np.array(got.column("lang").to_pylist(), dtype=object)
+    gram, n = got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    per = {}
+    for x in langs:
+        own = np.flatnonzero(lang == x)
+        own = own[np.argsort(gram[own])]
+        per[x] = (gram[own], n[own])
+    return per
+
+
+def train(docs: DataFrame, most: int | None = None) -> Blocks | None:
+    """Model of all labelled texts that are not held out, in blocks of about ``most`` (language, 4-gram) pairs
+    (of fewer with more than eight languages, as the tables have a column a language)."""
+    spark = docs.sparkSession
+    for_python(spark)
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = saved(rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram")
                    .agg(F.sum("n").alias("n")), "grams")
-    # the lowest count that keeps the table within its bound, and the counts of counts
-    of_counts = counts.groupBy("lang", F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("types")).collect()
-    if not of_counts:
+
+    def ones_twos(table: DataFrame) -> dict[str, tuple]:
+        return {r.lang: (r.a, r.b) for r in table.groupBy("lang").agg(
+            F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect()}
+
+    top = ones_twos(counts)
+    if not top:
         return None
-    by_n: dict[int, int] = {}
-    for r in of_counts:
-        by_n[r.n] = by_n.get(r.n, 0) + r.types
-    least, kept = max(by_n) + 1, 0
-    for n in sorted(by_n, reverse=True):
-        if kept + by_n[n] > max_grams:
-            break
-        least, kept = n, kept + by_n[n]
-    got = counts.where(F.col("n") >= least).toArrow()
-    lang, gram, n = got.column("lang").to_pylist(), got.column("gram").to_numpy(), got.column("n").to_numpy()
-    per: dict[str, tuple] = {}
-    lang = np.array(lang, dtype=object)
-    for x in sorted(set(lang)):
-        keys, order = np.unique(gram[lang == x].view(np.uint64), return_index=True)
-        per[x] = (keys, n[lang == x][order])
-    ones = {x: tuple(sum(r.types for r in of_counts if r.lang == x and r.n == k) for k in (1, 2)) for x in per}
-    return CharModel(per, ones) if per else None
+    langs = sorted(top)
+    third = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    limit = (MAX_GRAMS if most is None else most) * 8 // max(8, len(langs))
+    starts, size = [0], 0
+    for r in sorted(counts.groupBy(third.alias("x")).agg(F.count("*").alias("k")).collect()):
+        if size and size + r.k > limit:
+            starts.append(r.x)
+            size = 0
+        size += r.k
+    if len(starts) == 1:
+        return Blocks(langs, starts, [spark.sparkContext.broadcast(CharModel(_per_lang(langs, counts), top))])
+    lower, level = {x: [] for x in langs}, counts
+    for k in range(1, ORDER):  # distinct left contexts of the shorter n-grams, over all blocks
+        level = saved(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (ORDER - k)) - 1).cast("long"))
+                                    .alias("gram")).agg(F.count("*").alias("n")), "grams")
+        for x, found in ones_twos(level).items():
+            lower[x].append(found)
+    letters = _per_lang(langs, level)
+    whole = {x: (letters[x], *lower[x]) for x in langs}
+    blocks = [spark.sparkContext.broadcast(CharModel(_per_lang(langs, counts.where(third.between(lo, hi - 1))), top, whole))
+              for lo, hi in zip(starts, [*starts[1:], 1 << 16])]
+    return Blocks(langs, starts, blocks)
 
 
 def _scorer(model, limits, z: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, bound = (model.value, limits) if model is not None else (None, {})
+        m, bound = (model, limits) if model is not None else (None, {})
         for b in bytescan.slices(batches):
             texts = b.column("text").to_pylist()
             lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
@@ -283,11 +351,10 @@ def calibrate(docs: DataFrame, model, z: float) -> dict[tuple[str, int], tuple[f
 
 
 def fit(docs: DataFrame, z: float) -> tuple:
-    """Broadcast model (None without training rows) and calibrated limits."""
+    """Model (None without training rows) and calibrated limits."""
     model = train(docs)
     if model is None:
         return None, {}
-    model = docs.sparkSession.sparkContext.broadcast(model)
     return model, calibrate(docs, model, z)
 
 

@@ -198,6 +198,25 @@ def test_language_held_out_accuracy(spark):
     assert n > 200 and right / n >= 0.98
 
 
+def test_language_model_in_blocks_is_the_whole_model(spark, monkeypatch):
+    rng = random.Random(8)
+    hot, small = [f"{c}{v}{d}" for c in "bdfgklm" for v in "aeiou" for d in "nprst"], ["жар", "мир", "дом", "лес", "сад"]
+    rows = [(i, random_text(rng, 30, hot), "hot", "s", 0) for i in range(200)]
+    rows += [(1000 + i, random_text(rng, 5, small), "small", "s", 0) for i in range(12)]
+    df = spark.createDataFrame(rows, DOC)
+    whole = langid.train(df)
+    texts = [r[1] for r in rows] + ["жар banana", "zzz", "x 你好 y", None, "мир " * 40_000]
+    n, h = whole.entropy(texts)
+    for most in (1, 50, 400):
+        blocks = langid.train(df, most=most)
+        assert len(blocks.blocks) > 1 == len(whole.blocks) and blocks.langs == whole.langs == ["hot", "small"]
+        got_n, got = blocks.entropy(texts)
+        assert (got_n == n).all() and np.allclose(got, h, rtol=1e-5)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 100)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_language_edge_cases(spark):
     rows = [(i, ("the cat of the house and it is", "le chat de la maison et il est")[i % 2] + f" {'abcdefgh'[i % 8]}" * (i % 5),
              ("en", "fr")[i % 2], "s", 0) for i in range(80)]
