@@ -15,8 +15,9 @@ its context's weight.
 
 A text gets the language of the lowest cross-entropy per character.  ``rejected``
 marks texts without letters and texts that no model explains: their cross-entropy
-lies ``z`` standard deviations, and at least ``MARGIN`` nats, above that of training texts of the language and like length
-(calibrated on a hash sample of at most about ``CALIBRATION`` texts).
+lies ``z`` standard deviations, and at least ``MARGIN`` nats, above that of training texts of the language and like length.
+One aggregate over all rightly predicted training texts gives means and deviations; a length class with fewer than
+``EVIDENCE`` texts takes those of its language, a language with fewer those of all languages together.
 
 Edge cases: a null text or one without a letter is ``und``, score 0, rejected; a
 null label never trains; a null doc_id never trains and is not held out; ties go
@@ -33,13 +34,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import for_python, saved
+from evalcrate.llm.shared import for_python, hidden, saved
 
 ORDER = 4
 MAX_GRAMS = 400_000
-CALIBRATION = 20_000
+EVIDENCE = 30
 MARGIN = 1.0
 CHUNK = 1 << 16
 _OTHER = 0xFFFE  # letters outside the basic plane
@@ -296,84 +298,85 @@ def train(docs: DataFrame, most: int | None = None) -> Blocks | None:
     return Blocks(langs, starts, blocks)
 
 
-def _scorer(model, limits, z: float):
+def _scores(model: Blocks | None, texts: list[str]) -> list[pa.Array]:
+    """Language, score, letters scored and cross-entropy of each text."""
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    n, best = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    if model is not None:
+        n, h = model.entropy(texts)
+        pick = h.argmin(axis=1)
+        best = h[np.arange(len(texts)), pick]
+        share = 1 / np.exp(-(h - best[:, None]) * np.minimum(n, 100)[:, None]).sum(axis=1)
+        for i in np.flatnonzero(n):
+            lang[i] = model.langs[pick[i]]
+        score = np.where(n > 0, share, 0.0)
+    return [pa.array(lang, pa.string()), pa.array(score), pa.array(n), pa.array(best)]
+
+
+def _scored(docs: DataFrame, model: Blocks | None, column: str = "text") -> DataFrame:
+    """``docs``, all columns, with ``_lang, _score, _n, _entropy`` of their text."""
+    added = [("_lang", T.StringType()), ("_score", T.DoubleType()), ("_n", T.LongType()), ("_entropy", T.DoubleType())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, bound = (model, limits) if model is not None else (None, {})
-        for b in bytescan.slices(batches):
-            texts = b.column("text").to_pylist()
-            lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-            n, best = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            if m is not None:
-                n, h = m.entropy(texts)
-                pick = h.argmin(axis=1)
-                best = h[np.arange(len(texts)), pick]
-                share = 1 / np.exp(-(h - best[:, None]) * np.minimum(n, 100)[:, None]).sum(axis=1)
-                for i in np.flatnonzero(n):
-                    lang[i] = m.langs[pick[i]]
-                    mean, sd = bound.get((lang[i], int(n[i]).bit_length()), (0.0, np.inf))
-                    rejected[i] = best[i] > mean + max(z * sd, MARGIN)
-                score = np.where(n > 0, share, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(lang, pa.string()),
-                 pa.array(score), pa.array(rejected), pa.array(n), pa.array(best), b.column("label")],
-                names=["doc_id", "held_out", "lang_pred", "score", "rejected", "n", "entropy", "label"])
-    return run
-
-
-_SCORED = ("doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, n long, entropy double, "
-           "label string")
-
-
-def _scored(docs: DataFrame, model, limits: dict, z: float) -> DataFrame:
-    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"),
-                       F.col("lang").cast("string").alias("label")).mapInArrow(_scorer(model, limits, z), _SCORED)
-
-
-def calibrate(docs: DataFrame, model, z: float) -> dict[tuple[str, int], tuple[float, float]]:
-    """Mean and deviation of the cross-entropy per language and length class (powers of two)."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    n = rows.count()
-    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // CALIBRATION)))) == 0)
-    stats = (_scored(part, model, {}, z).where("n > 0 AND lang_pred = label")
-             .withColumn("c", F.length(F.bin("n"))).groupBy("lang_pred", "c")
-             .agg(F.count("*").alias("k"), F.avg("entropy").alias("m"), F.var_pop("entropy").alias("v")).collect())
-    limits = {}
-    for lang in {r.lang_pred for r in stats}:
-        own = {r.c: r for r in stats if r.lang_pred == lang}
-        k = sum(r.k for r in own.values())
-        mean = sum(r.k * r.m for r in own.values()) / k
-        sd = (sum(r.k * (r.v + (r.m - mean) ** 2) for r in own.values()) / k) ** 0.5
+        for b in bytescan.slices(batches, column):
+            yield pa.RecordBatch.from_arrays([*b.columns, *_scores(model, b.column(column).to_pylist())],
+                                             names=[*b.schema.names, *(c for c, _ in added)])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in added)])
+    return docs.mapInArrow(run, schema)
+
+
+def _calibration(scored: DataFrame) -> list[tuple[str, int, int, float, float]]:
+    """Per language and length class (powers of two): number, mean and variance of the cross-entropy of all rightly
+    predicted training texts among ``scored`` (with the columns ``_label``, null where a row does not train)."""
+    return [tuple(r) for r in scored.where("_n > 0 AND _lang = _label").groupBy("_lang", F.length(F.bin("_n")).alias("c"))
+            .agg(F.count("*"), F.avg("_entropy"), F.var_pop("_entropy")).collect()]
+
+
+def limits(stats: list[tuple[str, int, int, float, float]], langs: list[str]) -> dict[tuple[str, int], tuple[float, float]]:
+    """Mean and deviation for every language and length class."""
+    def pooled(rows):
+        k = sum(r[2] for r in rows)
+        mean = sum(r[2] * r[3] for r in rows) / k
+        return mean, (sum(r[2] * (r[4] + (r[3] - mean) ** 2) for r in rows) / k) ** 0.5
+
+    out = {}
+    for lang in langs if stats else ():
+        own = {r[1]: r for r in stats if r[0] == lang}
+        mean, sd = pooled(own.values() if sum(r[2] for r in own.values()) >= EVIDENCE else stats)
         for c in range(1, 64):
             r = own.get(c)
-            limits[lang, c] = (max(r.m, mean), max(r.v ** 0.5, sd)) if r and r.k >= 30 else (
-                mean, sd * max(1.0, 2.0 ** ((10 - c) / 2)))
-    return limits
+            out[lang, c] = (max(r[3], mean), max(r[4] ** 0.5, sd)) if r and r[2] >= EVIDENCE else (mean, sd)
+    return out
 
 
-def fit(docs: DataFrame, z: float) -> tuple:
-    """Model (None without training rows) and calibrated limits."""
-    model = train(docs)
-    if model is None:
-        return None, {}
-    return model, calibrate(docs, model, z)
+def _judged(scored: DataFrame, model: Blocks | None, z: float) -> DataFrame:
+    """``scored`` with ``_bad``: without letters, or above the limit of the language and length class."""
+    bounds = limits(_calibration(scored), model.langs) if model else {}
+    bounds = scored.sparkSession.createDataFrame([(x, c, m + max(z * sd, MARGIN)) for (x, c), (m, sd) in bounds.items()],
+                                                 "_of string, _class int, _limit double")
+    return scored.join(F.broadcast(bounds), (F.col("_lang") == F.col("_of")) & (F.length(F.bin("_n")) == F.col("_class")),
+                       "left").withColumn("_bad", (F.col("_n") == 0) | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))
+
+
+def _label():
+    return F.when(F.col("doc_id").isNotNull() & ~held_out(), F.col("lang").cast("string"))
 
 
 def identify(docs: DataFrame, z: float = 12.0) -> DataFrame:
     """Per document: ``doc_id, held_out, lang_pred, score, rejected``."""
-    model, limits = fit(docs, z)
-    return _scored(docs, model, limits, z).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    model = train(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), _label().alias("_label"),
+                       F.col("text").cast("string").alias("text"))
+    scored = saved(_scored(rows, model).drop("text"), "scored")
+    return _judged(scored, model, z).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"),
+                                            F.col("_score").alias("score"), F.col("_bad").alias("rejected"))
 
 
 def keep_identified(docs: DataFrame, z: float = 12.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not rejected."""
-    model, limits = fit(docs, z)
-    score = _scorer(model, limits, z)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bytescan.slices(batches):
-            n = pa.nulls(b.num_rows)
-            judged = next(score(iter([pa.RecordBatch.from_arrays(
-                [n.cast(pa.int64()), n.cast(pa.bool_()), b.column("text"), n.cast(pa.string())],
-                names=["doc_id", "held_out", "text", "label"])])))
-            yield b.filter(pc.invert(judged.column("rejected")))
-    return docs.mapInArrow(run, docs.schema)
+    columns = docs.columns
+    model = train(docs)
+    docs, back = hidden(docs, ["_lang", "_score", "_n", "_entropy", "_label", "_of", "_class", "_limit", "_bad"])
+    scored = saved(_scored(docs, model), "scored")
+    kept = _judged(scored.withColumn("_label", _label()), model, z).where("NOT _bad")
+    return kept.select(*docs.columns).withColumnsRenamed(back).select(*columns)

@@ -217,6 +217,34 @@ def test_language_model_in_blocks_is_the_whole_model(spark, monkeypatch):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_language_limits_come_from_all_texts():
+    stats = [("a", 8, 1000, 2.0, 0.01), ("a", 3, 29, 4.0, 0.25), ("b", 8, 20, 3.0, 0.04)]
+    got = langid.limits(stats, ["a", "b", "c"])
+
+    def pooled(rows):
+        k = sum(r[2] for r in rows)
+        mean = sum(r[2] * r[3] for r in rows) / k
+        return pytest.approx((mean, (sum(r[2] * (r[4] + r[3] ** 2) for r in rows) / k - mean ** 2) ** 0.5))
+
+    assert set(got) == {(x, c) for x in "abc" for c in range(1, 64)}
+    mean, sd = got["a", 3]
+    assert got["a", 3] == got["a", 60] == pooled(stats[:2])  # too few in the class: as in the language, not wider
+    assert got["a", 8] == (max(2.0, mean), max(0.1, sd))
+    assert got["b", 8] == got["c", 1] == pooled(stats)  # too few in the language: as in the corpus, never without a limit
+    assert langid.limits([], ["a"]) == {}
+
+
+def test_language_with_few_texts_still_rejects(spark):
+    rng = random.Random(9)
+    known = ["the", "house", "road", "people", "reason", "water", "other", "under", "garden", "winter"]
+    rows = [(i, random_text(rng, 20, known), "en", "s", 0) for i in range(200)]
+    rows += [(500 + i, random_text(rng, 20, ["жар", "мир", "дом", "лес", "сад"]), "ru", "s", 0) for i in range(5)]
+    rows += [(900 + i, "".join(rng.choice("абвгдежзиклмнопрст ") for _ in range(200)), None, "s", 0) for i in range(10)]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(out[900 + i].lang_pred == "ru" and out[900 + i].rejected for i in range(10))
+    assert not any(r.rejected for d, r in out.items() if d < 900)
+
+
 def test_language_edge_cases(spark):
     rows = [(i, ("the cat of the house and it is", "le chat de la maison et il est")[i % 2] + f" {'abcdefgh'[i % 8]}" * (i % 5),
              ("en", "fr")[i % 2], "s", 0) for i in range(80)]
