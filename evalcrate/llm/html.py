@@ -56,6 +56,7 @@ select summary table tbody td tfoot th thead tr ul""".split())
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head form button select template svg math object canvas audio video dialog datalist".split())
+HEAD = frozenset("base basefont bgsound link meta template".split()) | RAW
 BOILERPLATE = frozenset("nav footer aside menu".split())
 # fixed values: words of class, id and role that mark boilerplate; the second list only outside an article
 MARKED = frozenset("""alert banner notice notices notification notifications ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs captcha comment
@@ -70,6 +71,7 @@ CONTENT = frozenset("article articlebody entry post story content main".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*'|(?!["'])))*)(?:>|\Z)"""
                     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.S)
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+$")  # a slash at its end belongs to the value
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"\w+")
 
@@ -120,6 +122,8 @@ def blocks(html: str) -> list[_Block]:
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at:m.start() if m else end]
+        if stack[-1][0] == "head" and text.strip():
+            stack.pop()
         if text and not stack[-1][1]:
             if not parts or (parts and all(not t.strip() for t, _ in parts)):
                 state = stack[-1]
@@ -147,6 +151,10 @@ def blocks(html: str) -> list[_Block]:
                     break
             continue
         attrs = attrs or ""
+        if name == "body":
+            del stack[next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)):]
+        elif stack[-1][0] == "head" and name not in HEAD:  # </head> is optional
+            stack.pop()
         if name in RAW:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
             if not stop:
@@ -154,7 +162,8 @@ def blocks(html: str) -> list[_Block]:
             at = html.find(">", stop.start())
             at = end if at < 0 else at + 1
             continue
-        if name in VOID or attrs.rstrip().endswith("/") and name in ("path", "use", "img"):
+        closed = attrs.rstrip().endswith("/") and not _UNQUOTED.search(attrs.rstrip())
+        if name in VOID or closed and name in ("path", "use", "svg", "math"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these close an open one of their kind
             for i in range(len(stack) - 1, 0, -1):

@@ -164,6 +164,20 @@ def test_main_text():
         assert html.main_text(page)[0] == text
 
 
+def test_main_text_after_open_head_and_empty_svg():
+    for page, text in {
+        "<html><head><title>x</title><body><article><p>One</p></article></body>": "One",
+        "<html><head><title>x</title><meta charset=utf-8><article><p>One</p></article>": "One",
+        "<html><head><style>p{}</style><template><div>no</div></template><script>1</script><article><p>One</p></article>": "One",
+        "<head><title>x</title></head><body><article><p>One</p></article>": "One",
+        "<head><template><p>no</p><body><article><p>One</p></article>": "One",
+        "<article><svg class='a'/><p>One</p><math/><p>Two</p></article>": "One\n\nTwo",
+        "<article><p>One</p><svg viewBox='0 0 1 1'><path d='M0'/><text>no</text></svg><p>Two</p></article>": "One\n\nTwo",
+        "<article><svg width=1/><text>no</text></svg><p>One</p></article>": "One",
+    }.items():
+        assert html.main_text(page)[0] == text
+
+
 def test_main_text_without_article_marks():
     good = "The reason for this is that all of the people in the house were on the road when the rain came. " * 4
     page = (f"<body><div><a href='/a'>One</a> <a href='/b'>Two</a></div><h2>A heading</h2><p>{good}</p><p>Short one.</p><p>{good}</p>"
