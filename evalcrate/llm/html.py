@@ -10,8 +10,12 @@ equal distance a heading follows what comes after it, a block of middling
 density is kept, and other short blocks follow what comes before.
 
 Where a page marks its article, the blocks inside it are kept unless they are
-marked as boilerplate or mostly links, and blocks outside it go; density alone
-decides on pages without such marks.
+marked as boilerplate or mostly links, and blocks outside it go; density
+decides only on pages without such marks.  There the stop words are the listed ones of
+four languages and, for every language that pages declare in ``<html lang>`` (pages
+without one are a group too), the words with a share of ``FREQUENT`` or more in the
+texts of at least ``EVIDENCE`` pages.  Where less than a third of a page's running text is
+dense in them, no list fits the page, and length and link density decide.
 
 Edge cases: null or empty html and pages without article text give an empty
 text; broken or cut markup is read as far as it goes (an unclosed script or
@@ -30,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import for_python
+from evalcrate.llm.shared import for_python, saved
 
 SHORT, LONG = 70, 200
 LOW_DENSITY, HIGH_DENSITY = 0.1, 0.2
 LINKS_OPEN, LINKS_ARTICLE = 0.33, 0.66
+FREQUENT, EVIDENCE = 0.002, 50
 
 # fixed values: frequent function words of English, French, German and Spanish
 STOP_WORDS = frozenset("""
@@ -74,6 +79,8 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
 _UNQUOTED = re.compile(r"=\s*[^\s\"']+$")  # a slash at its end belongs to the value
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"\w+")
+_WIDE = re.compile("[\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60\U00020000-\U0003fffd]")
+_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
 
 
 def _marks(attrs: str) -> tuple[set[str], bool]:
@@ -201,7 +208,25 @@ def blocks(html: str) -> list[_Block]:
     return out
 
 
-def _first_pass(b: _Block, best: int) -> str:
+def _size(text: str) -> int:
+    """Length in columns: ideographs, kana and hangul count two."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def _density(text: str, stop_words: frozenset[str]) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in stop_words for w in words) / max(len(words), 1)
+
+
+def _fits(page: list[_Block], stop_words: frozenset[str]) -> bool:
+    """Whether at least a third of the page's running text is dense in the stop words."""
+    running = [(_size(b.text), _density(b.text, stop_words)) for b in page
+               if not b.marked and b.linked <= LINKS_OPEN and _size(b.text) >= SHORT]
+    return 3 * sum(n for n, d in running if d >= HIGH_DENSITY) >= sum(n for n, _ in running)
+
+
+def _first_pass(b: _Block, best: int, stop_words: frozenset[str] | None) -> str:
+    """``stop_words`` None: no list fits the page."""
     if b.marked:
         return "bad"
     if best:
@@ -210,14 +235,14 @@ def _first_pass(b: _Block, best: int) -> str:
         if b.linked > LINKS_ARTICLE:
             return "bad"
         return "good" if len(b.text) >= SHORT else "short"
-    if b.linked > LINKS_OPEN or "©" in b.text:
+    size = _size(b.text)
+    if b.linked > LINKS_OPEN or ("©" in b.text and size <= LONG):
         return "bad"
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if len(b.text) < SHORT:
-        return "short" if not b.linked else "bad"
+    if size < SHORT:
+        return "short"
+    density = HIGH_DENSITY if stop_words is None else _density(b.text, stop_words)
     if density >= HIGH_DENSITY:
-        return "good" if len(b.text) > LONG else "near"
+        return "good" if size > LONG else "near"
     return "near" if density >= LOW_DENSITY else "bad"
 
 
@@ -257,8 +282,8 @@ def _second_pass(page: list[_Block], inside: bool) -> None:
             b.label = q[1] if b.heading else p[1]
 
 
-def main_text(html: str | None) -> tuple[str, int, int]:
-    """Main text, number of blocks kept, number of blocks dropped."""
+def _main(html: str | None, stop_words: frozenset[str]) -> tuple[str, int, int, bool]:
+    """``main_text``, and whether stop words had a part in it."""
     page = blocks(html) if html else []
     top = max((b.content for b in page), default=0)
     if top >= 2 and all(b.marked for b in page if b.content == top):
@@ -267,22 +292,51 @@ def main_text(html: str | None) -> tuple[str, int, int]:
             if b.content == top and b.marked_at < top:
                 b.marked = False
     best = max((b.content for b in page if not b.marked), default=0)
+    words = stop_words if not best and _fits(page, stop_words) else None
     for b in page:
-        b.label = _first_pass(b, best)
+        b.label = _first_pass(b, best, words)
     if page:
         _second_pass(page, best > 0)
     good = [b.text for b in page if b.label == "good"]
-    return "\n\n".join(good), len(good), len(page) - len(good)
+    return "\n\n".join(good), len(good), len(page) - len(good), bool(page) and not best
+
+
+def main_text(html: str | None, stop_words: frozenset[str] = STOP_WORDS) -> tuple[str, int, int]:
+    """Main text, number of blocks kept, number of blocks dropped."""
+    return _main(html, stop_words)[:3]
+
+
+def _extract(lists: dict[str, frozenset[str]]):
+    """Rows with their text; ``again`` holds the html of pages that another list may read otherwise."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bytescan.slices(batches, "html"):
+            pages = b.column("html").to_pylist()
+            langs = [(m.group(1).lower() if (m := _LANG.search(h or "", 0, 4096)) else "") for h in pages]
+            got = [_main(h, lists.get(x, STOP_WORDS)) for h, x in zip(pages, langs)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_id"), b.column("url"), pa.array([g[0] for g in got], pa.string()),
+                 pa.array([len(g[0]) for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()),
+                 pa.array([g[2] for g in got], pa.int64()), pa.array(langs, pa.string()),
+                 pa.array([h if g[3] else None for h, g in zip(pages, got)], pa.string())],
+                names=["page_id", "url", "text", "n_chars", "n_kept", "n_dropped", "lang", "again"])
+    return run
+
+
+_TEXTS = ("page_id long, url string, text string, n_chars long, n_kept long, n_dropped long, lang string, again string")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in bytescan.slices(batches, "html"):
-        got = [main_text(h) for h in b.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), pa.array([t for t, _, _ in got], pa.string()),
-             pa.array([len(t) for t, _, _ in got], pa.int64()), pa.array([k for _, k, _ in got], pa.int64()),
-             pa.array([d for _, _, d in got], pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_kept", "n_dropped"])
+def frequent_words(texts: DataFrame) -> dict[str, frozenset[str]]:
+    """Per ``lang`` the words with a mean share of ``FREQUENT`` or more in its texts (at most 1 / ``FREQUENT`` words)."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    texts = texts.select("lang", words.alias("words")).where(F.size("words") > 0)
+    pages = {r.lang: r.k for r in texts.groupBy("lang").agg(F.count("*").alias("k")).collect() if r.k >= EVIDENCE}
+    if not pages:
+        return {}
+    sizes = F.create_map(*(F.lit(x) for p in sorted(pages.items()) for x in p))
+    found = (texts.where(F.col("lang").isin(list(pages))).select("lang", (1 / F.size("words")).alias("share"), F.explode("words").alias("w"))
+             .groupBy("lang", "w").agg(F.sum("share").alias("share"))
+             .where(F.col("share") >= FREQUENT * F.element_at(sizes, F.col("lang"))).collect())
+    return {x: frozenset(r.w for r in found if r.lang == x) for x in pages}
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -290,4 +344,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     for_python(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_kept long, n_dropped long")
+    first = saved(rows.mapInArrow(_extract({}), _TEXTS), "texts")
+    waiting = first.where("again IS NOT NULL")
+    langs = [r.lang for r in waiting.select("lang").distinct().collect()]
+    lists = frequent_words(first.where(F.col("lang").isin(langs))) if langs else {}
+    if lists:
+        more = {x: STOP_WORDS | w for x, w in lists.items()}
+        waits = F.col("again").isNotNull() & F.col("lang").isin(list(more))
+        second = first.where(waits).select("page_id", "url", F.col("again").alias("html")).mapInArrow(_extract(more), _TEXTS)
+        first = first.where(~waits).unionByName(second)
+    return first.drop("lang", "again")

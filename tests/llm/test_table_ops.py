@@ -185,6 +185,45 @@ def test_main_text_without_article_marks():
     assert html.main_text(page)[0] == "\n\n".join(["A heading", good.strip(), "Short one.", good.strip()])
 
 
+ITALIAN = ("Ogni mattina il vecchio pescatore scendeva verso il porto per guardare quelle barche che tornavano cariche di pesce, "
+           "mentre tutti i bambini correvano lungo la spiaggia e le donne aprivano finestre delle case bianche. ")
+POLISH = ("Każdego ranka stary rybak schodził do portu, aby patrzeć na łodzie wracające pełne ryb, podczas gdy dzieci biegały "
+          "po plaży, a kobiety otwierały okna domów i rozmawiały o pogodzie, o morzu i o tym, że zima nadchodzi. ")
+RUSSIAN = ("Каждое утро старый рыбак спускался в порт смотреть на лодки, которые возвращались полные рыбы, пока дети бегали по "
+           "пляжу, а женщины открывали окна домов и говорили о погоде, о море и о том, что зима уже близко. ")
+CHINESE = "每天早上老渔夫都会走到港口看着满载鱼儿归来的船只，孩子们在沙滩上奔跑，妇女们打开房子的窗户。"
+
+
+def test_main_text_without_marks_in_other_languages():
+    for text in (ITALIAN, POLISH, RUSSIAN, CHINESE * 3):
+        page = (f"<body><div><a href='/a'>One</a> <a href='/b'>Two</a></div><h2>{text[:20]}</h2><p>{text * 2}</p>"
+                f"<p>{text[:30]} <a href='/x'>{text[4:8]}</a></p><p>{text * 3}</p></body>")
+        want = [text[:20], text * 2, f"{text[:30]} {text[4:8]}", text * 3]
+        assert html.main_text(page)[0] == "\n\n".join(" ".join(w.split()) for w in want)
+    good = "The reason for this is that all of the people in the house were on the road when the © sign came. " * 4
+    assert html.main_text(f"<body><p>{good}</p></body>")[0] == good.strip()
+
+
+def test_frequent_words_come_from_the_pages(spark):
+    rng = random.Random(11)
+    rare = ["".join(rng.choice("bcdfgłmnprst") + rng.choice("aeiouy") for _ in range(4)) for _ in range(3000)]
+    common = ["się", "nie", "że", "jest", "przez", "oraz"]
+
+    def text(n, words=common):
+        return " ".join(rng.choice(words) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n))
+
+    rows = [(i, "u", f"<html lang='pl'><body><article><p>{text(120)}</p></article></body></html>") for i in range(80)]
+    good, junk = text(80), text(60, rare)
+    page = f"<body><p>{good}</p><p>{text(50)}</p><p>{good}</p><p>{good}</p><div>{junk}</div></body></html>"
+    rows += [(900, "u", "<html lang='pl'>" + page), (901, "u", "<html lang='xx'>" + page)]
+    got = {r.page_id: r for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 82 and all(got[i].n_kept == 1 for i in range(80))
+    assert got[900].n_kept == 4 and junk not in got[900].text  # the derived list tells running text from junk
+    assert got[901].n_kept == 5  # no list: length decides
+    lists = html.frequent_words(spark.createDataFrame([("pl", r.text) for r in got.values()], "lang string, text string"))
+    assert set(lists) == {"pl"} and set(common) <= lists["pl"] and len(lists["pl"]) <= 500
+
+
 def test_extract_pages(spark):
     rows = [(i, f"u{i}", h, "x") for i, h in enumerate(PAGES)] + [(0, None, "<article><p>w</p></article>" + " " * 100_000, "y")]
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
