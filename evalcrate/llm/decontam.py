@@ -13,8 +13,9 @@ posting lists of a window's terms shifted by their offsets, from the term that
 is rarest in the whole corpus to the most frequent one, so nearly all
 candidates die at the first lists.  ``slop`` 0 gives exact phrases, a larger
 one proximity matches (every term within ``slop`` words of its place).  The test
-set is shipped in blocks of at most ``MAX_WINDOWS`` windows; more blocks mean
-more passes over the stored index, never a dropped window.
+set is shipped in blocks of at most about ``MAX_WINDOWS`` windows, a long item
+in several pieces; more blocks mean more passes over the stored index, never a
+dropped window.
 
 Edge cases: null or empty texts have no words and no hits; repeated rows are
 judged each; items without words or with a null item_id match nothing; two rows
@@ -199,7 +200,13 @@ def _found(index: DataFrame, words: DataFrame, width: int, slop: int, whole: boo
         F.col("x.terms").alias("t")).agg(F.sum("x.counts").alias("c"))
     total = words.agg(F.sum(F.greatest(F.size("words") - F.lit(width - 1), F.lit(1)))).first()[0] or 0
     blocks = max(1, -(-3 * total // (2 * MAX_WINDOWS))) if total > MAX_WINDOWS else 1
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    if blocks > 1:
+        # pieces of at most a twentieth of a block's windows; each has all words of its windows
+        piece = max(1, MAX_WINDOWS // 20)
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(width), F.lit(0)), F.lit(piece))
+        words = saved(words.where(F.size("words") > 0).select("item", "words", F.explode(starts).alias("lo")).select(
+            "item", "lo", F.slice("words", F.col("lo") + 1, piece + width - 1).alias("words")), "test-words")
+    block = F.pmod(F.xxhash64("item", "lo"), F.lit(blocks)) if blocks > 1 else F.lit(0)
     found = None
     for b in range(blocks):
         part = words.where(block == b)

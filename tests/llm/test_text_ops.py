@@ -162,6 +162,21 @@ def test_contamination_brute_force(spark, most_windows, most_terms, monkeypatch)
         assert sorted(r.doc_id for r in clean.collect()) == [d for d in want if not want[d][4]]
 
 
+def test_a_long_item_is_spread_over_test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_WINDOWS", 100)
+    sent, windows = [], decontam._windows
+    monkeypatch.setattr(decontam, "_windows", lambda rows, *a: sent.append(windows(rows, *a)) or sent[-1])
+    long_item = [f"w{i}" for i in range(1012)]
+    items = [(1, " ".join(long_item)), (2, "short one"), (3, " ".join(long_item[200:220]))]
+    texts = [" ".join(long_item[i:i + 40]) for i in range(0, 1012, 9)] + ["a short one b", "nothing here"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+           for r in decontam.contamination(docs_of(spark, texts), bench).collect()}
+    assert got == brute_contamination(texts, items)
+    sizes = [len(x[2]) for x in sent]
+    assert sum(sizes) >= 1001 and max(sizes) <= 100
+
+
 def test_proximity_finds_a_phrase_with_a_word_put_in(spark):
     phrase = " ".join(f"p{i}" for i in range(13))
     texts = [phrase, phrase.replace("p6", "p6 extra"), phrase.replace("p6", "other")]
