@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
+from evalcrate.llm.conversations import damaged, repair_report
 from evalcrate.llm.decontam import contamination
 from evalcrate.llm.hamming import exact_topk
 from evalcrate.llm.html import extract_pages
@@ -192,3 +193,71 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 def op9(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     return exact_topk(rows, rows.where("vec_id % 20 = 0"), k=10)
+
+
+# CRC-32 of an ASCII string, bit by bit
+CRC32 = ("xor(list_reduce(list_transform(string_split({s}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda acc, b: "
+         "list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))), 4294967295), 4294967295)")
+
+
+def _repair_sql() -> str:
+    """One fold over a conversation's rows that carries the least (cost, audit, repaired text) of every state."""
+    dead = "struct_pack(c := 999999999, a := '', r := '')"
+
+    def least(*ways):
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def step(s, cost, edit, line):
+        return (f"struct_pack(c := {s}.c + {cost}, a := {s}.a || '{edit}', r := {s}.r || CASE WHEN {s}.r = '' THEN '' ELSE chr(10) END || {line})"
+                if line else f"struct_pack(c := {s}.c + {cost}, a := {s}.a || '{edit}', r := {s}.r)")
+    # states: 0 nothing, 1 after s, 2 after u, 3 after a; inserted turns first
+    user = least("acc[3]", step("acc[1]", 3, "I", "'user:'"), step("acc[2]", 3, "I", "'user:'"), step("acc[4]", 3, "I", "'user:'"))
+    reply = least("acc[4]", step("u", 3, "I", "'assistant:'"))
+    late = "CASE WHEN x.fault = 'truncated' THEN 3 ELSE 0 END"
+
+    def keep(s, initial):
+        return f"CASE WHEN x.fault IN ('blank', 'duplicate') OR x.initial <> '{initial}' THEN {dead} ELSE {step(s, late, 'K', 'x.line')} END"
+
+    def rerole(s, name):
+        return (f"CASE WHEN x.fault IN ('blank', 'duplicate') THEN {dead} ELSE "
+                + step(s, f"3 + {late}", "R", f"'{name}:' || x.text") + " END")
+    z, s, u, a = "p[1]", "p[2]", "p[3]", "p[4]"
+    new = ", ".join([
+        step(z, 4, "D", None),
+        least(step(s, 4, "D", None), keep(z, "s")),
+        least(step(u, 4, "D", None), *[keep(q, "u") for q in (z, s, a)], *[rerole(q, "user") for q in (z, s, a)]),
+        least(step(a, 4, "D", None), keep(u, "a"), rerole(u, "assistant"))])
+    start = f"[struct_pack(c := 0, a := '', r := ''), {dead}, {dead}, {dead}]"
+    insert_user = f"list_transform([{user}], lambda u: [acc[1], acc[2], u, {reply}])[1]"
+    # a user turn may also follow an inserted reply; such a way is never cheapest, since it returns to its state
+    end = least("acc[1]", "acc[4]", step("acc[3]", 3, "I", "'assistant:'"),
+                step(f"({step('acc[2]', 3, 'I', chr(39) + 'user:' + chr(39))})", 3, "I", "'assistant:'"))
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {CRC32.format(s="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+  CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS initial,
+  lag(CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END) OVER (PARTITION BY conv_id ORDER BY i) AS was FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (was IS NOT NULL AND was || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+  list_reduce(list(struct_pack(fault, initial, text, line := role || ':' || text) ORDER BY i), lambda acc, x:
+    list_transform([{insert_user}], lambda p: [{new}])[1], {start}) AS acc FROM f GROUP BY conv_id),
+r AS (SELECT *, {end} AS best FROM g)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN r ON k.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+@query("op11_conversation_repair", _repair_sql())
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_report(rows, damaged(rows))
