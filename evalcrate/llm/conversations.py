@@ -347,7 +347,9 @@ def placed(rows: DataFrame) -> DataFrame:
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     rows = rows.withColumn("same", F.when(~blank, F.md5(F.concat_ws("\0", "_conv", "role", "key"))))
     rows = saved(rows.drop("key"), "conv-placed")
-    firsts = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("pos").alias("seen"))
+    # only what occurs more than once, stored: its size is known, and adaptive execution can split a hot text's rows
+    firsts = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("pos").alias("seen"), F.count("*").alias("n"))
+    firsts = saved(firsts.where("n > 1").drop("n"), "conv-firsts")
     rows = rows.join(firsts, "same", "left")
     cut = ~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")
     fault = (F.when(F.col("same").isNull(), "blank").when(F.col("seen") < F.col("pos"), "duplicate")
