@@ -11,6 +11,7 @@ from evalcrate.llm.decontam import contamination
 from evalcrate.llm.hamming import exact_topk
 from evalcrate.llm.html import extract_pages
 from evalcrate.llm.langid import identify
+from evalcrate.llm.licenses import COVERED, SLACK, scan_licenses, template_rows
 from evalcrate.llm.mixing import mix_sources
 from evalcrate.llm.ngram_join import jaccard_components
 from evalcrate.llm.shards import histogram_shards
@@ -261,3 +262,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN r ON k.conv_id IS
 def op11(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair_report(rows, damaged(rows))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({i}, {base}, '{label}', {n}, {t}, {k}, '{' '.join(gram)}')" for i, base, label, n, t, k, gram in template_rows())
+    return f"""
+WITH g(template, base, label, n, t, k, gram) AS (VALUES {rows}),
+d AS (SELECT DISTINCT doc_id, text, {ALNUM_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, text, k, unnest(range(0, len(w) - k + 1)) AS p, w FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k),
+v AS (SELECT doc_id, text, template, base, label, n, p - t AS diagonal, bit_or(((1::BIGINT << p.k) - 1) << t) AS mask
+  FROM p JOIN g ON g.k = p.k AND array_to_string(p.w[p + 1:p + p.k], ' ') = gram GROUP BY ALL),
+c AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal, 1, -1000000) OVER (PARTITION BY doc_id, text, template ORDER BY diagonal) > {SLACK}
+  THEN 1 ELSE 0 END AS cut FROM v),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, text, template ORDER BY diagonal) AS island FROM c),
+s AS (SELECT doc_id, text, base, label, min(diagonal) AS low, greatest(max(bit_count(mask) / n), CASE WHEN max(diagonal) - min(diagonal) <= {2 * SLACK}
+  THEN bit_count(bit_or(mask)) / n ELSE 0 END) AS covered FROM i GROUP BY doc_id, text, template, base, label, n, island),
+a AS (SELECT doc_id, text, count(*) FILTER (base) AS n_base, min(low) FILTER (base) AS first_word, max(low) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  max(covered) AS score FROM s WHERE covered >= CASE WHEN base THEN 1 ELSE {COVERED} END GROUP BY ALL)
+SELECT e.doc_id, CAST(len(e.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0) AS score
+FROM (SELECT doc_id, text, {ALNUM_WORDS} AS w FROM documents) e
+LEFT JOIN a ON e.doc_id IS NOT DISTINCT FROM a.doc_id AND e.text IS NOT DISTINCT FROM a.text
+"""
+
+
+@query("op12_license_scan", _license_sql())
+def op12(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
