@@ -13,6 +13,7 @@ from evalcrate.llm.html import extract_pages
 from evalcrate.llm.langid import identify
 from evalcrate.llm.licenses import COVERED, SLACK, scan_licenses, template_rows
 from evalcrate.llm.mixing import mix_sources
+from evalcrate.llm.negatives import mine_negatives
 from evalcrate.llm.ngram_join import jaccard_components
 from evalcrate.llm.shards import histogram_shards
 from evalcrate.llm.shared import table
@@ -291,3 +292,25 @@ LEFT JOIN a ON e.doc_id IS NOT DISTINCT FROM a.doc_id AND e.text IS NOT DISTINCT
 @query("op12_license_scan", _license_sql())
 def op12(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.r AS ar, b.vec_id AS id, b.r AS br, a.label = b.label AS same,
+  CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(e.select(F.col("vec_id").alias("id"), moved.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("anchor")))
