@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before lower-casing
 K = 3
 SLACK = 3
 COVERED = 0.8
@@ -128,7 +129,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
         F.max("covered").alias("score"))
     per = per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n_base", "first_word", "last_word", "bases", "all", "score")
     rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"),
-                       F.size(words(F.col("text"))).cast("long").alias("n_words"))
+                       F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
 
     def listed(name):
         return F.coalesce(F.array_join(F.array_sort(name), ","), F.lit(""))
