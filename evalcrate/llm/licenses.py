@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before lower-casing
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words after A-Z are lower-cased
 K = 3
 SLACK = 3
 COVERED = 0.8
@@ -49,8 +48,9 @@ NOTICES = (
 
 
 def words(text: Column) -> Column:
+    """Runs of the other characters: split, not matched one by one (a match result copies the whole text in Java)."""
     lower = F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.regexp_extract_all(lower, F.lit(WORD), 0), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(lower, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def template_rows(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
@@ -65,28 +65,31 @@ def template_rows(phrases=PHRASES, notices=NOTICES) -> list[tuple]:
     return out
 
 
-def _rolling(w: Column) -> dict[int, Column]:
-    """Hashes of all 2-grams and 3-grams: the hash of the shorter one is carried on by a word."""
-    one = F.transform(w, lambda x: F.xxhash64(x))
-    two = F.zip_with(one, F.slice(one, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(two, F.slice(one, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return {2: two, 3: three}
+def _rolling() -> list[tuple[str, Column]]:
+    """Hashes of all words, 2-grams and 3-grams of ``w``: the hash of the shorter gram is carried on by a word."""
+    def carried(name, k):
+        return F.zip_with(name, F.slice("h1", F.lit(k), F.greatest(F.size("h1") - (k - 1), F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return [("h1", F.transform("w", lambda x: F.xxhash64(x))), ("h2", carried("h1", 2)), ("h3", carried("h2", 3))]
 
 
 def _grams(spark: SparkSession, rows: list[tuple], k: int) -> DataFrame:
     """Template positions by k-gram hash, one row per hash."""
     df = spark.createDataFrame([r for r in rows if r[5] == k],
                                "template int, base boolean, label string, n int, t int, k int, gram array<string>")
-    h = F.element_at(_rolling(F.col("gram"))[k], 1)
-    return df.groupBy(h.alias(f"h{k}")).agg(F.collect_list(F.struct("template", "t", "k", "gram")).alias(f"at{k}"))
+    df = df.withColumn("w", F.col("gram"))
+    for name, step in _rolling():
+        df = df.withColumn(name, step)
+    return df.groupBy(F.element_at(f"h{k}", 1).alias(f"h{k}")).agg(F.collect_list(F.struct("template", "t", "k", "gram")).alias(f"at{k}"))
 
 
 def diagonals(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """``doc_id, key, template, diagonal, mask``: the template words found on each diagonal (key: hash of the text)."""
     rows = template_rows(phrases, notices)
     w = docs.select("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), words(F.col("text")).alias("w"))
-    rolled = _rolling(F.col("w"))
-    p = w.select("doc_id", "key", "w", F.posexplode(F.arrays_zip(rolled[2].alias("h2"), rolled[3].alias("h3"))).alias("p", "h"))
+    rolled = w
+    for name, step in _rolling():  # one projection a step: higher-order functions are not shared inside one
+        rolled = rolled.withColumn(name, step)
+    p = rolled.select("doc_id", "key", "w", F.posexplode(F.arrays_zip("h2", "h3")).alias("p", "h"))
     p = p.select("doc_id", "key", "w", "p", "h.h2", "h.h3")
     for k in (2, 3):  # at most one row per template position: a few hundred
         p = p.join(F.broadcast(_grams(docs.sparkSession, rows, k)), f"h{k}", "left")
@@ -129,7 +132,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
         F.max("covered").alias("score"))
     per = per.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "n_base", "first_word", "last_word", "bases", "all", "score")
     rows = docs.select("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"),
-                       F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+                       F.size(words(F.col("text"))).cast("long").alias("n_words"))
 
     def listed(name):
         return F.coalesce(F.array_join(F.array_sort(name), ","), F.lit(""))

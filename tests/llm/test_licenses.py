@@ -13,7 +13,7 @@ DOC = "doc_id long, text string"
 
 def plain_words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(L.WORD, low)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
 def plain_base(text):
