@@ -260,6 +260,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFr
     docs, back = hidden(docs, ["_text", "_bad"])
     keyed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
     bad = (contamination(keyed.select(F.col("_text").alias("doc_id"), "text"), benchmark, width, slop=0)
-           .where("contaminated").select(F.col("doc_id").alias("_text")).distinct())
-    return (keyed.join(bad.withColumnRenamed("_text", "_bad"), F.col("_text").eqNullSafe(F.col("_bad")), "left_anti")
+           .where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
+    bad = saved(bad, "contaminated")  # a table of known size: a small one is broadcast and the texts stay where they are
+    return (keyed.join(bad, F.col("_text").eqNullSafe(F.col("_bad")), "left_anti")
             .select(*docs.columns).withColumnsRenamed(back).select(*columns))

@@ -373,10 +373,15 @@ def identify(docs: DataFrame, z: float = 12.0) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, z: float = 12.0) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not rejected."""
+    """The rows of ``docs``, all columns, whose text is not rejected.
+
+    Only scores are stored; the rejected texts' hashes come back as a table of known size."""
     columns = docs.columns
     model = train(docs)
-    docs, back = hidden(docs, ["_lang", "_score", "_n", "_entropy", "_label", "_of", "_class", "_limit", "_bad"])
-    scored = saved(_scored(docs, model), "scored")
-    kept = _judged(scored.withColumn("_label", _label()), model, z).where("NOT _bad")
+    docs, back = hidden(docs, ["_text", "_bad"])
+    text = F.col("text").cast("string")
+    rows = docs.select(_label().alias("_label"), F.md5(text).alias("_text"), text.alias("text"))
+    scored = saved(_scored(rows, model).drop("text"), "scored")
+    bad = saved(_judged(scored, model, z).where("_bad").select(F.col("_text").alias("_bad")).distinct(), "rejected")
+    kept = docs.withColumn("_text", F.md5(text)).join(bad, F.col("_text").eqNullSafe(F.col("_bad")), "left_anti")
     return kept.select(*docs.columns).withColumnsRenamed(back).select(*columns)

@@ -33,7 +33,7 @@ from evalcrate.llm.shared import hidden, saved
 WEIGHTS = (3, 1, 2)
 SALTS = 64
 CAP = 2
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]+"  # between words
 
 
 def source_targets(sizes: list[tuple[str | None, int]], share: float = 1.5, cap: int = CAP,
@@ -108,9 +108,16 @@ def _copies(pdf):
     return pdf[["source", "size", "n"]].assign(k=out)
 
 
+def _source_key(source):
+    """Never null, so that the window's partitioning serves the join as well."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_source": F.col("source").cast("string"), "_size": words,
+    # split, not matched one by one: a match result copies the whole text in Java
+    words = F.coalesce(F.size(F.array_remove(F.split(F.col("text").cast("string"), SPACE), "")), F.lit(0)).cast("long")
+    words = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(words)
+    return docs.withColumns({"_source": F.col("source").cast("string"), "_key": _source_key(F.col("source").cast("string")), "_size": words,
                              "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
 
 
@@ -136,16 +143,16 @@ def _dealt(docs: DataFrame, share: float, steps: int) -> tuple[DataFrame, DataFr
         sub.source, sub["size"], "salt", "m", "n", "k").withColumn("upto", upto)
     share_of = (F.expr("CAST(CAST(k AS DECIMAL(38,0)) * upto DIV n AS BIGINT)")
                 - F.expr("CAST(CAST(k AS DECIMAL(38,0)) * (upto - m) DIV n AS BIGINT)"))
-    dealt = dealt.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"),
+    dealt = dealt.select(_source_key(F.col("source")).alias("_s"), F.col("size").alias("_z"), F.col("salt").alias("_t"),
                          F.col("m").alias("_m"), share_of.alias("_k"))
-    place = F.row_number().over(Window.partitionBy("_source", "_size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
     out = (_sized(docs).withColumn("_place", place)
-           .join(dealt, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t")))
+           .join(dealt, (F.col("_key") == F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_t")))
            .withColumn("_copies", F.expr("_k DIV _m") + (F.col("_place") <= F.expr("_k % _m")).cast("long")))
     return out, params
 
 
-_OWN = ["_source", "_size", "_salt", "_place", "_s", "_z", "_t", "_m", "_k", "_copies", "_copy"]
+_OWN = ["_source", "_key", "_size", "_salt", "_place", "_s", "_z", "_t", "_m", "_k", "_copies", "_copy"]
 
 
 def mix_sources(docs: DataFrame, share: float = 1.5, steps: int = 60) -> DataFrame:
