@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 3-word shingles at a Jaccard similarity of 0.9."""
-    return keep_one(docs, k=3, percent=90)
+    """One document of each group linked by 5-word shingles at a Jaccard similarity of 0.8."""
+    return keep_one(docs, k=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
