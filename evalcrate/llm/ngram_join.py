@@ -280,7 +280,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
     members = members.join(classes.select("cid", "doc_id", "n_shingles"), "cid")
     sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("g"))
     reps = _tiled(members.join(sizes, "comp"), F.greatest(F.col("c") / F.lit(tile), F.col("g") / F.lit(TILE_GRAMS)))
-    reps = reps.select("cid", "comp", "a", "b", "doc_id")
+    # a table of known size: while it is small, it is broadcast and the texts stay where they are
+    reps = saved(reps.select("cid", "comp", "a", "b", "doc_id"), "ngram-members")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     grams = (texts.join(reps.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
              .select("cid", "comp", "a", "b", "text")
@@ -310,14 +311,23 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     that stands for two different texts keeps both."""
     columns = docs.columns
     docs, back = hidden(docs, ["_cid", "_kept", "_kept_cid"])
-    _, sets = jaccard_classes(docs, k, percent)
+    rows, sets = jaccard_classes(docs, k, percent)
     kept = sets.groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")).alias("m"))
-    kept = kept.select(F.col("m.doc_id").alias("_kept"), F.col("m.cid").alias("_kept_cid"))
+    of_set = sets.select("cid", "comp").join(kept, "comp").select(F.col("cid").alias("_kept_cid"), F.col("m.doc_id").alias("_kept"),
+                                                                  F.col("m.cid").alias("_best"))
+    found = rows.where("n_shingles > 0").join(of_set, F.col("cid") == F.col("_kept_cid"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("cid") == F.col("_best"))
+    found = found.groupBy("doc_id", "cid").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    # what goes, and what stays but is repeated: tables of known size; while they are small, no text is shuffled
+    gone = saved(found.where("NOT stays").select(F.col("doc_id").alias("_kept"), F.col("cid").alias("_kept_cid")), "ngram-gone")
+    again = saved(found.where("stays AND n > 1").select(F.col("doc_id").alias("_kept"), F.col("cid").alias("_kept_cid")), "ngram-again")
     marked = docs.mapInArrow(_with_class(k), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))
-    one = (marked.where("_cid IS NOT NULL").join(kept, marked.doc_id.eqNullSafe(kept._kept) & (F.col("_cid") == F.col("_kept_cid")), "left_semi")
-           .dropDuplicates(["doc_id", "_cid"]))
-    return one.unionByName(marked.where("_cid IS NULL")).select(*docs.columns).withColumnsRenamed(back).select(*columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & F.col("_cid").eqNullSafe(F.col("_kept_cid"))
+    left = marked.join(gone, same, "left_anti")
+    if not again.isEmpty():  # only repeated rows meet again, and only for them the texts are read twice
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_cid"]))
+    return left.select(*docs.columns).withColumnsRenamed(back).select(*columns)
 
 
 def _with_class(k: int):
