@@ -280,14 +280,13 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
     members = members.join(classes.select("cid", "doc_id", "n_shingles"), "cid")
     sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("g"))
     reps = _tiled(members.join(sizes, "comp"), F.greatest(F.col("c") / F.lit(tile), F.col("g") / F.lit(TILE_GRAMS)))
-    # a table of known size: while it is small, it is broadcast and the texts stay where they are
-    reps = saved(reps.select("cid", "comp", "a", "b", "doc_id"), "ngram-members")
+    reps = reps.select("cid", "comp", "a", "b", "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    grams = (texts.join(reps.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
-             .select("cid", "comp", "a", "b", "text")
-             .mapInArrow(_gram_sets(k), "cid long, comp long, a int, b int, grams binary"))
-    links = (grams.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b")
-             .mapInArrow(_exact(k, percent), "u long, v long"))
+    # texts go to the blocks, since they compress and hashes do not; the sets are built there
+    placed = (texts.join(reps.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
+              .select("cid", "comp", "a", "b", "text").repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"))
+    sets_of, exact = _gram_sets(k), _exact(k, percent)
+    links = placed.mapInArrow(lambda batches: exact(sets_of(batches)), "u long, v long")
     linked = components(links)
 
     sets = classes.select("cid", "doc_id").join(linked.select(F.col("id").alias("cid"), "comp"), "cid", "left")
