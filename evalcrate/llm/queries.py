@@ -153,9 +153,11 @@ def op1(spark, sf_dir):
 
 CANONICAL = (r"""(host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END)""")
 WARC_SQL = rf"""
-WITH r AS (SELECT page_id * 2 AS record_id, page_id AS ts, url, true AS whole, md5(coalesce(html, '')) AS etag, html AS payload FROM pages
-  UNION ALL SELECT page_id * 2 + 1, page_id + 50, url || CASE WHEN instr(url, '?') > 0 THEN '&utm_source=again' ELSE '#again' END,
-  false, md5(coalesce(html, '')), NULL FROM pages),
+WITH g AS (SELECT page_id, url, coalesce(html, '') AS html, ((page_id % 7) + 7) % 7 AS k FROM pages),
+r AS (SELECT page_id * 3 AS record_id, page_id AS ts, url, true AS whole, md5(html) AS etag, html AS payload FROM g WHERE coalesce(k <> 1, true)
+  UNION ALL SELECT page_id * 3 + 1, page_id + 25, url, true, md5(html || '<!-- 2 -->'), html || '<!-- 2 -->' FROM g WHERE k = 3
+  UNION ALL SELECT page_id * 3 + 2, page_id + 50, url || CASE WHEN instr(url, '?') > 0 THEN '&utm_source=again' ELSE '#again' END,
+  false, CASE k WHEN 2 THEN md5('outdated') WHEN 3 THEN md5(html || '<!-- 2 -->') WHEN 4 THEN NULL ELSE md5(html) END, NULL FROM g),
 s AS (SELECT *, regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '#.*$', '') AS t FROM r),
 p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(t, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', '') AS host,
   regexp_replace(regexp_extract(t, '^[^/?]*([^?]*)', 1), '/(index\.html?)?$', '') AS path,
@@ -165,7 +167,7 @@ c AS (SELECT record_id, ts, coalesce({CANONICAL}, '') AS canonical_url, whole, e
 m AS (SELECT a.record_id, a.ts, a.canonical_url, a.etag, max(struct_pack(ts := b.ts, id := b.record_id, etag := b.etag, payload := b.payload)) AS b
   FROM c a LEFT JOIN c b ON b.whole AND a.canonical_url = b.canonical_url AND a.canonical_url <> '' AND b.ts < a.ts WHERE NOT a.whole
   GROUP BY ALL),
-x AS (SELECT *, CASE WHEN b.id IS NULL THEN 'no_response' WHEN etag = b.etag THEN 'resolved' ELSE 'mismatch' END AS result FROM m)
+x AS (SELECT *, CASE WHEN b.id IS NULL THEN 'no_response' WHEN etag IS NULL THEN 'no_validator' WHEN etag = b.etag THEN 'resolved' ELSE 'mismatch' END AS result FROM m)
 SELECT record_id, ts, canonical_url, result, CASE WHEN result = 'resolved' THEN b.id END AS matched_id,
   CASE WHEN result = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || b.etag END AS headers,
   CASE WHEN result = 'resolved' THEN md5(b.payload) END AS payload_md5,
