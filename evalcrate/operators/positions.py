@@ -1,75 +1,37 @@
-"""Distributed row numbering (W4) — the basis of every positional operator.
+"""Distributed row numbering.
 
 ``row_number() over (order by k)`` moves the whole table into one partition.
-Instead the key range is cut into buckets by cut values taken once from a
-bounded sample of the keys; a row's bucket is a plain function of its key, a
-bucket's offset is a running sum over the bucket counts, and ``row_number`` runs
-inside each bucket.  Every step is a function of the data alone: nothing depends
-on how Spark partitions a stage, so positions are the same under retries, with
-any partition count and with any columns besides the key.
-
-Slices and picks need the rows of a few buckets only; the others are dropped
-before the shuffle.
+Instead the rank directory (``operators.ranks``) cuts the key range into buckets
+of bounded size with the exact number of rows before each; a row's bucket is a
+plain function of its key, and ``row_number`` runs inside each bucket.  Every
+step is a function of the data alone: nothing depends on how Spark partitions a
+stage, so positions are the same under retries, with any partition count and
+with any columns besides the key.
+
+Heads, slices, picks and samples need no numbering: they filter between the
+exact keys at their ranks (``sources.readers``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalcrate.functions.util import let
-
-# the cut values come from this many keys (those with the smallest hash), a bound on what one row of the plan carries
-SAMPLE = 16_384
-LEVELS = 10  # 2**10 buckets
-BUCKETS = 1 << LEVELS
-
-
-def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with ``_bucket``: the number of cut values not above the key, by binary search."""
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    drawn = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    ordered = drawn.agg(F.sort_array(F.collect_list("k")).alias("s"))
-    n = F.size("s").cast("long")
-    cuts = ordered.select(F.transform(
-        F.sequence(F.lit(1).cast("long"), F.lit(BUCKETS - 1).cast("long")),
-        lambda i: F.try_element_at("s", F.greatest(F.least(F.floor(i * n / BUCKETS) + 1, n), F.lit(1)).cast("int"))).alias("c"))
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(LEVELS))])
-    bucket = let(F.struct(F.col("_cuts").alias("c"), key.alias("k")), lambda x: F.aggregate(
-        steps, F.lit(0), lambda low, step: F.when(F.element_at(x["c"], low + step) <= x["k"], low + step).otherwise(low)))
-    return df.withColumn("_cuts", cuts.scalar()).withColumn("_bucket", bucket).drop("_cuts")
-
+from evalcrate.operators.ranks import RankDirectory, rank_directory, with_bucket
 
-def numbered(df: DataFrame, order_col: str | list[str], out_col: str,
-             wanted: Callable[[Column, Column, Column], Column] | None = None,
-             chosen: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Rows with their 0-based position.
 
-    ``wanted(first, last, total)`` keeps buckets by their position range before
-    the rows are shuffled, ``chosen(pos, total)`` keeps rows afterwards."""
+def numbered(df: DataFrame, order_col: str | list[str], out_col: str, directory: RankDirectory | None = None) -> DataFrame:
+    """Rows with their 0-based position; a ``directory`` of the same table saves the counting."""
     keys = [order_col] if isinstance(order_col, str) else list(order_col)
-    rows = _bucketed(df, keys)
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(0))
-    offsets = counts.select("_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_first"), "_n",
-                            F.sum("_n").over(everything).alias("_total"))
-    if wanted is not None:
-        offsets = offsets.where(wanted(F.col("_first"), F.col("_first") + F.col("_n") - 1, F.col("_total")))
-    # one row a bucket: at most BUCKETS rows
-    rows = rows.join(F.broadcast(offsets.drop("_n")), "_bucket")
+    rows = with_bucket(df, directory or rank_directory(df, keys))
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
-    rows = rows.withColumn(out_col, F.col("_first") + local.cast("long") - 1)
-    if chosen is not None:
-        rows = rows.where(chosen(F.col(out_col), F.col("_total")))
-    return rows.drop("_bucket", "_first", "_total")
+    return rows.withColumn(out_col, F.col("_first") + local.cast("long") - 1).drop("_bucket", "_first")
 
 
-def row_position(df: DataFrame, order_col: str | list[str], out_col: str = "pos") -> DataFrame:
+def row_position(df: DataFrame, order_col: str | list[str], out_col: str = "pos",
+                 directory: RankDirectory | None = None) -> DataFrame:
     """Add a 0-based position by ``order_col`` (which must be unique)."""
-    return numbered(df, order_col, out_col)
+    return numbered(df, order_col, out_col, directory)
 
 
 def segmented_running_sum(df: DataFrame, key_col: str, order_col: str, value_col: str, out_col: str,

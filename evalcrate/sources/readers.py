@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from evalcrate.operators.positions import numbered
+from evalcrate.operators.ranks import before, equals, keys_at, up_to
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,24 +66,37 @@ def parse_slice(spec: str) -> tuple[str, int | None, int | None]:
     return m["name"], a, b
 
 
+def _keys(order_col: str | list[str]) -> list[str]:
+    return [order_col] if isinstance(order_col, str) else list(order_col)
+
+
 def split_slice(df: DataFrame, order_col: str | list[str], start: int | None = None,
                 stop: int | None = None) -> DataFrame:
     """Rows ``[start:stop)`` of ``df`` ordered by the unique key ``order_col``.
 
-    Negative bounds count from the end like Python.  Only the key buckets that
-    overlap the slice are shuffled (:func:`evalcrate.operators.positions.numbered`).
-    """
-    def bound(value: int | None, total, default):
-        if value is None:
-            return default
-        return F.lit(value) if value >= 0 else total + value
-
-    def wanted(first, last, total):
-        return (last >= bound(start, total, F.lit(0))) & (first < bound(stop, total, total))
-
-    def chosen(pos, total):
-        return (pos >= bound(start, total, F.lit(0))) & (pos < bound(stop, total, total))
-    return numbered(df, order_col, "_pos", wanted, chosen).drop("_pos")
+    Negative bounds count from the end like Python.  The exact keys at the two
+    ends are found by counting (:func:`evalcrate.operators.ranks.keys_at`), and the
+    slice is a filter on the key: no sort, no shuffle of rows.  Where equal keys
+    meet an end, positions decide among them."""
+    keys = _keys(order_col)
+    low, high = start or 0, stop
+    if low < 0 or (high is not None and high < 0):
+        total = df.count()
+        low = max(total + low, 0) if low < 0 else low
+        high = total + high if high is not None and high < 0 else high
+    if high is not None and high <= low:
+        return df.where(F.lit(False))
+    ends = [low] if low else []
+    if high is not None:
+        ends.append(high - 1)
+    found = keys_at(df, keys, ends)
+    if found is None:
+        inside = F.col("_pos") >= low if high is None else F.col("_pos").between(low, high - 1)
+        return numbered(df, keys, "_pos").where(inside).drop("_pos")
+    if low and found[0] is None:
+        return df.where(F.lit(False))
+    out = df.where(~before(df, keys, found[0])) if low else df
+    return out.where(up_to(df, keys, found[-1])) if high is not None and found[-1] is not None else out
 
 
 def get_dataset_slices(splits: Mapping[str, DataFrame], order_col: str, specs: Mapping[str, str]) -> dict:
@@ -105,13 +119,16 @@ def pick_positions(df: DataFrame, order_col: str, positions: Iterable[int], pos_
                    rank_col: str = "k") -> DataFrame:
     """Rows at fixed 0-based positions, tagged with their rank ``k`` (1-based, in the
     order given).  Only those few rows survive, so the result is safe to broadcast."""
-    positions = list(positions)
-    rank = F.array_position(F.array(*[F.lit(p) for p in positions]), F.col(pos_col))
-
-    def wanted(first, last, total):
-        return F.exists(F.array(*[F.lit(p) for p in positions]), lambda p: p.between(first, last))
-    return (numbered(df, order_col, pos_col, wanted, lambda pos, total: pos.isin(positions))
-            .withColumn(rank_col, rank.cast("int")))
+    positions, keys = list(positions), _keys(order_col)
+    rank = F.array_position(F.array(*[F.lit(p) for p in positions]), F.col(pos_col)).cast("int")
+    found = keys_at(df, keys, positions)
+    if found is None:
+        return numbered(df, keys, pos_col).where(F.col(pos_col).isin(positions)).withColumn(rank_col, rank)
+    at = F.lit(None).cast("long")
+    for p, values in zip(positions, found):
+        if values is not None:
+            at = F.when(equals(df, keys, values), F.lit(p).cast("long")).otherwise(at)
+    return df.withColumn(pos_col, at).where(F.col(pos_col).isNotNull()).withColumn(rank_col, rank)
 
 
 def sample_n(df: DataFrame, key_col: str, n: int, seed: int = 0) -> DataFrame:
