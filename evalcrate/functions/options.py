@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from evalcrate.functions.util import let
+from evalcrate.functions.util import let, running_sums
 
 # The options tail pattern and the characters that may follow
 # an option key when the answer names it ("A)", "A:", "A.", "A,", "A ").
@@ -63,21 +63,27 @@ def match_positions(target, pattern) -> Column:
 
     def positions(mp):
         matches, pieces = mp["m"], mp["p"]
-        n = F.size(matches)
-
-        def offset(i):
-            before = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-            prev = F.aggregate(F.slice(matches, 1, i - 1), F.lit(0), lambda a, x: a + F.length(x))
-            return before + prev
-
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), offset)).otherwise(F.array().cast("array<int>"))
+        # a match starts behind all pieces and matches before it: its own piece is the last of them
+        lengths = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda x, m: F.length(x) + F.length(m))
+        return F.zip_with(running_sums(lengths), F.slice(pieces, 1, F.size(matches)), lambda s, x: s + F.length(x))
 
     return let(F.struct(F.regexp_extract_all(t, p, 0).alias("m"), F.split(t, p).alias("p")), positions)
 
 
 def literal_positions(target, text) -> Column:
     """Offsets of the literal ``text`` (quoted, so regex metacharacters are plain)."""
-    return match_positions(target, _quote(_c(text)))
+    return _fixed_positions(_c(target), _quote(_c(text)), F.length(_c(text)))
+
+
+def _fixed_positions(target: Column, pattern: Column, length: Column) -> Column:
+    """``match_positions`` of a pattern whose matches all have ``length`` characters: the text is split once and no match
+    is extracted (Java copies the whole text for every match result)."""
+    def positions(x):
+        ends = F.slice(x["p"], 1, F.size(x["p"]) - 1)
+        lengths = F.transform(ends, lambda y: F.length(y) + x["n"])
+        return F.zip_with(running_sums(lengths), ends, lambda s, y: s + F.length(y))
+    split = let(F.struct(F.split(target, pattern).alias("p"), length.alias("n")), positions)
+    return F.when(length > 0, split).otherwise(match_positions(target, pattern))
 
 
 def first_match(target, options, use_values: bool, op: str = "min") -> Column:
@@ -90,8 +96,10 @@ def first_match(target, options, use_values: bool, op: str = "min") -> Column:
     t = _c(target)
 
     def cand(o, i):
-        pat = _quote(o["value"]) if use_values else F.concat(_quote(o["key"]), F.lit(KEY_FOLLOWERS))
-        return F.struct(match_positions(t, pat).alias("pos"), i.alias("idx"), o["key"].alias("key"))
+        name = o["value"] if use_values else o["key"]
+        pat = _quote(name) if use_values else F.concat(_quote(name), F.lit(KEY_FOLLOWERS))
+        found = _fixed_positions(t, pat, F.length(name) + F.lit(0 if use_values else 1))
+        return F.struct(found.alias("pos"), i.alias("idx"), o["key"].alias("key"))
 
     cands = F.filter(F.transform(_c(options), cand), lambda c: F.size(c["pos"]) > 0)
     pick = F.array_min(cands) if op == "min" else F.array_max(

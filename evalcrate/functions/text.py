@@ -47,6 +47,18 @@ def py_split(c) -> Column:
     return F.filter(F.split(_c(c), WS_RUN), lambda t: t != "")
 
 
+def py_pieces(c) -> Column:
+    """The text cut behind every whitespace-separated token: a piece is a token with the white space before it (the last
+    one may be white space alone).  Joined, the pieces are the text, character for character."""
+    return F.split(_c(c), r"(?U)(?<=[^\s\x1c-\x1f])(?=" + WS_CLASS + ")")
+
+
+def piece_count(pieces) -> Column:
+    """Number of tokens among ``pieces`` of :func:`py_pieces`."""
+    blank = F.element_at(pieces, -1).rlike(r"(?U)^" + WS_CLASS + "*$")
+    return F.size(pieces) - blank.cast("int")
+
+
 def cut_at_suffix(c, suffix: str | None) -> Column:
     """Text before the first occurrence of ``suffix``; empty/None = unchanged."""
     if not suffix:

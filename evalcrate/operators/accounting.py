@@ -42,7 +42,8 @@ def _c(x) -> Column:
 
 def native_token_count(c) -> Column:
     """Token count of a string under the native rule (NULL counts 0)."""
-    return F.size(F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(NATIVE_TOKEN_RULE), 0)).cast("long")
+    marked = F.regexp_replace(F.coalesce(_c(c), F.lit("")), NATIVE_TOKEN_RULE, "x")  # one mark a token, then only marks
+    return F.length(F.regexp_replace(marked, r"[ \t\n\x0B\f\r]+", "")).cast("long")
 
 
 def python_token_counter(encode: Callable[[str], list]) -> Callable[[Column], Column]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from evalcrate.operators.overlap import ROUGE_TOKEN, rouge_tokens
+from evalcrate.operators.overlap import rouge_tokens
 from evalcrate.session import ship_package
 
 SCORE = StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType()),
@@ -141,7 +141,7 @@ def sentence_tokens(c) -> Column:
     """Lines of the text (``split('\\n')``, empty lines dropped), each as ROUGE tokens."""
     lines = F.filter(F.split(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), "\n"),
                      lambda s: F.length(s) > 0)
-    return F.transform(lines, lambda s: F.regexp_extract_all(F.lower(s), F.lit(ROUGE_TOKEN), 0))
+    return F.transform(lines, rouge_tokens)
 
 
 def rouge_l_scores(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", lsum: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
+from evalcrate.functions.util import let
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the evaluated scripts' constants)
@@ -296,11 +297,18 @@ def ws_tokens(c) -> Column:
     return T.py_split(F.coalesce(_c(c), F.lit("")))
 
 
-def truncate_keep_tail(prompt_body, end_prompt: str, max_tokens: int, tokenizer=ws_tokens) -> Column:
+def truncate_keep_tail(prompt_body, end_prompt: str, max_tokens: int, tokenizer=None) -> Column:
     """If ``body + end`` has more than ``max_tokens`` tokens keep the first
-    ``max_tokens - len(tok(end)) - 1`` tokens and re-append the end prompt
-    (whitespace tokens by default; pass another tokenizer column function)."""
+    ``max_tokens - len(tok(end)) - 1`` tokens and re-append the end prompt.
+
+    Whitespace tokens by default: the cut is a prefix of the text, all its white space kept.  Another
+    ``tokenizer`` (a column function that gives tokens) has them joined with spaces."""
     full = F.concat(_c(prompt_body), F.lit(end_prompt))
+    if tokenizer is None:
+        n_end = T.piece_count(T.py_pieces(F.lit(end_prompt)))
+        keep = F.greatest(F.lit(max_tokens) - n_end - 1, F.lit(0))
+        return let(F.struct(T.py_pieces(full).alias("p"), full.alias("t"), keep.alias("k")), lambda x: F.when(
+            T.piece_count(x["p"]) > max_tokens, F.concat(F.array_join(F.slice(x["p"], 1, x["k"]), ""), F.lit(end_prompt))).otherwise(x["t"]))
     toks = tokenizer(full)
     n_end = F.size(tokenizer(F.lit(end_prompt)))
     keep = F.greatest(F.lit(max_tokens) - n_end - 1, F.lit(0))
@@ -314,6 +322,18 @@ def pretokenize(c, max_length: int | None, tokenizer=ws_tokens) -> Column:
     return F.slice(toks, 1, max_length) if max_length else toks
 
 
+def cut_tokens(c, max_tokens: int) -> Column:
+    """P15 (text form): the text up to the end of its ``max_tokens``-th whitespace token, character for character."""
+    return F.array_join(F.slice(T.py_pieces(F.coalesce(_c(c), F.lit(""))), 1, max_tokens), "")
+
+
+def strip_prompt_tokens(text, prompt) -> Column:
+    """P16 (token form): the output behind as many whitespace tokens as the prompt has, character for character."""
+    n = T.piece_count(T.py_pieces(F.coalesce(_c(prompt), F.lit(""))))
+    pieces = T.py_pieces(F.coalesce(_c(text), F.lit("")))
+    return let(F.struct(pieces.alias("p"), n.alias("n")), lambda x: F.array_join(F.slice(x["p"], x["n"] + 1, F.greatest(F.size(x["p"]), F.lit(1))), ""))
+
+
 def serialize_pair(df: DataFrame, columns: Sequence[str], left_prefix: str = "left_",
                    right_prefix: str = "right_") -> Column:
     """``LEFT col: v`` / ``RIGHT col: v`` blocks per column, missing -> ``NA``."""

@@ -348,12 +348,17 @@ def _ws_tokens_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{_WS_SQL}'), lambda w: w <> '')"
 
 
+def _head_sql(n: int) -> str:
+    """The first ``n`` tokens with the white space before them."""
+    return rf"^(?:{_WS_SQL[:-1]}*[^{_WS_SQL[1:-1]}+){{{n}}}"
+
+
 _TRUNC_END = " [/INST]"
 
 
 @register("truncate_keep_tail", with_fixtures("dialogues") + f"""
 SELECT id, CASE WHEN len({_ws_tokens_sql("'Summarize: ' || dialogue || " + sq(_TRUNC_END))}) > 64
-                THEN array_to_string({_ws_tokens_sql("'Summarize: ' || dialogue || " + sq(_TRUNC_END))}[1:64 - 1 - 1], ' ') || {sq(_TRUNC_END)}
+                THEN regexp_extract('Summarize: ' || dialogue, '{_head_sql(62)}') || {sq(_TRUNC_END)}
                 ELSE 'Summarize: ' || dialogue || {sq(_TRUNC_END)} END AS prompt FROM dialogues""")
 def q_truncate_keep_tail(spark, sf_dir):
     d = FX.dialogues(spark, sf_dir)
@@ -368,6 +373,22 @@ def q_pretokenize(spark, sf_dir):
     return d.select("id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("head"))
 
 
+@register("cut_tokens", with_fixtures("dialogues") + f"""
+SELECT id, CASE WHEN len({_ws_tokens_sql('dialogue')}) > 32 THEN regexp_extract(dialogue, '{_head_sql(32)}')
+           ELSE dialogue END AS head FROM dialogues""")
+def q_cut_tokens(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    return d.select("id", F.when(T.piece_count(T.py_pieces("dialogue")) > 32, P.cut_tokens("dialogue", 32)).otherwise(F.col("dialogue")).alias("head"))
+
+
+@register("strip_prompt_tokens", with_fixtures("dialogues") + "SELECT id, chr(10) || section_text AS output FROM dialogues")
+def q_strip_prompt_tokens(spark, sf_dir):
+    d = FX.dialogues(spark, sf_dir)
+    prompt = P.wrap_prompt("dialogue", SUM_START, SUM_END)
+    full = d.select("id", prompt.alias("prompt"), F.concat(F.rtrim(prompt), F.lit("\n"), "section_text").alias("full"))
+    return full.select("id", P.strip_prompt_tokens("full", "prompt").alias("output"))
+
+
 @register("strip_prompt", with_fixtures("dialogues") + "SELECT id, section_text AS output FROM dialogues")
 def q_strip_prompt(spark, sf_dir):
     d = FX.dialogues(spark, sf_dir)
