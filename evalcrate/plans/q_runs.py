@@ -86,8 +86,31 @@ def q_bootstrap_mean(spark, sf_dir):
     return rounded(RU.bootstrap_mean(s, "id", "rouge1", replicates=200, seed=11))
 
 
-@register("rouge_l")  # LCS per pair in a pandas UDF: checked against a plain-Python LCS in tests
+# LCS by patience piles over the match positions of every token, last position first
+_LCS_SQL = """
+k AS (SELECT id, regexp_extract_all(lower(coalesce(pred, '')), '[a-z0-9]+') AS p, regexp_extract_all(lower(coalesce(ref, '')), '[a-z0-9]+') AS r FROM text_pairs),
+h AS (SELECT id, len(p) AS np, len(r) AS nr, flatten(list_transform(p, lambda t: list_reverse(list_filter(
+      list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] = t THEN i END), lambda i: i IS NOT NULL)))) AS hits FROM k),
+l AS (SELECT id, np, nr, CAST(len(list_reduce(list_transform(hits, lambda x: [x]), lambda tops, x: list_concat(list_concat(
+      list_filter(tops, lambda t: t < x[1]), x), list_filter(tops, lambda t: t >= x[1])[2:]), CAST([] AS BIGINT[]))) AS INTEGER) AS lcs FROM h),
+f AS (SELECT id, lcs, CASE WHEN np > 0 THEN lcs / np ELSE 0 END AS precision, CASE WHEN nr > 0 THEN lcs / nr ELSE 0 END AS recall FROM l)"""
+
+
+@register("rouge_l", with_fixtures("text_pairs", extra=_LCS_SQL) + """
+SELECT count(*) AS n, round(avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END), 6) AS "rougeL" FROM f""")
 def q_rouge_l(spark, sf_dir):
+    return rounded(L.rouge_l(FX.text_pairs(spark, sf_dir)))
+
+
+@register("rouge_l_native", with_fixtures("text_pairs", extra=_LCS_SQL) + """
+SELECT id, lcs, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS fmeasure FROM f""")
+def q_rouge_l_native(spark, sf_dir):
+    return rounded(L.rouge_l_native(FX.text_pairs(spark, sf_dir)).select("id", "lcs", "precision", "recall", "fmeasure"))
+
+
+@register("rouge_lsum")  # union LCS over lines: checked against a plain-Python version in tests
+def q_rouge_lsum(spark, sf_dir):
     return rounded(L.rouge_l(FX.text_pairs(spark, sf_dir), lsum=True))
 
 

@@ -22,7 +22,7 @@ def pairs():
 
 
 def test_rouge_l_query_brute_force(spark, pairs):
-    got = E.queries()["rouge_l"](spark, SMALL).first()
+    got = E.queries()["rouge_lsum"](spark, SMALL).first()
     assert got.n == len(pairs)
     assert got.rougeL == pytest.approx(round(np.mean([rouge_l(p, r) for _, p, r in pairs]), 6), abs=1e-6)
     assert got.rougeLsum == pytest.approx(round(np.mean([rouge_lsum(p, r) for _, p, r in pairs]), 6), abs=1e-6)
