@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evalcrate.functions import text as T
 from evalcrate.functions.bags import bag_overlap, f1_from_overlap
+from evalcrate.sources.json_document import scan_json_document
 
 # Answer types of the multi-reference gold data, in report order.
 ANSWER_TYPES = ("extractive", "abstractive", "boolean", "none")
@@ -32,10 +33,13 @@ def scan_nested_qa(spark: SparkSession, path: str, whole_file: bool = False) ->
     """S3: read nested QA gold JSON as ``(paper_id, paper)`` rows.
 
     JSON-lines input (one map of papers per line) is split across tasks like
-    any text file.  ``whole_file=True`` reads one JSON document per file — a
-    format with no split points, so each file is one task; keep such files
-    small or convert them to lines."""
-    raw = spark.read.text(path, wholetext=whole_file)
+    any text file.  ``whole_file=True`` reads one JSON document per file, however
+    large: its byte ranges are read by many tasks
+    (:func:`evalcrate.sources.json_document.scan_json_document`)."""
+    if whole_file:
+        paper = NESTED_QA_SCHEMA.removeprefix("map<string, ").removesuffix(">")
+        return scan_json_document(spark, path, paper).toDF("paper_id", "paper")
+    raw = spark.read.text(path)
     parsed = raw.select(F.from_json("value", NESTED_QA_SCHEMA).alias("m"))
     return parsed.select(F.explode("m").alias("paper_id", "paper"))
 

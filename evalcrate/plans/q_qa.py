@@ -48,6 +48,19 @@ def q_scan_nested_qa(spark, sf_dir):
     return Q.resolve_references(Q.scan_nested_qa(spark, path))
 
 
+@register("scan_nested_document", _NESTED_GOLD_SQL)
+def q_scan_nested_document(spark, sf_dir):
+    """S3: the nested gold as documents of many papers, read in byte ranges and resolved."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evalcrate-io/document-{uuid.uuid4().hex}"
+    lines = FX.nested_qa_json(spark, sf_dir)
+    entry = F.substring("value", 2, 1 << 30)  # a line without its outer braces
+    part = F.pmod(F.xxhash64("value"), F.greatest(F.ceil(lines.agg(F.count("*")).scalar() / 1000), F.lit(1)))  # some 1,000 papers
+    documents = lines.groupBy(part.alias("d")).agg(F.array_join(F.transform(
+        F.collect_list(entry), lambda e: F.left(e, F.length(e) - 1)), ",\n").alias("e"))
+    documents.select(F.concat(F.lit("{"), "e", F.lit("}")).alias("value")).write.text(path)
+    return Q.resolve_references(Q.scan_nested_qa(spark, path, whole_file=True))
+
+
 @register("expand_references", """
 SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS question_id, CAST(p AS BIGINT) AS ref_pos,
        CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || '-' || CAST(p AS VARCHAR) AS annotation_id
