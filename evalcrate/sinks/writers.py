@@ -9,7 +9,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalcrate.operators.positions import row_position
 from evalcrate.operators.prompts import msg
+from evalcrate.sources.revisions import commit
 
 
 def chat_jsonl_column(user: Column, assistant: Column, system: str | Column) -> Column:
@@ -28,8 +30,11 @@ def export_chat_jsonl(df: DataFrame, line_col: str, path: str, split_col: str |
     w.text(path)
 
 
-def write_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """K2: the prediction table (keyed by id, not by position)."""
+def write_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+                      order_col: str | list[str] | None = None, index_col: str = "index") -> None:
+    """K2: the prediction table; with ``order_col`` it starts with the 0-based position of every row."""
+    if order_col is not None:
+        df = row_position(df, order_col, index_col).select(index_col, *df.columns)
     w = df.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -49,11 +54,15 @@ def write_metrics(metrics: DataFrame, config: Mapping[str, object], path: str, m
     metrics_record(metrics, config).write.mode(mode).text(path)
 
 
-def write_outputs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K4: raw model outputs (parquet instead of one in-memory array file)."""
-    df.write.mode(mode).parquet(path)
+def write_outputs(df: DataFrame, path: str, mode: str = "overwrite", committed: bool = False) -> None:
+    """K4: raw model outputs (parquet instead of one in-memory array file); ``committed`` writes a revision of the table
+    (:mod:`evalcrate.sources.revisions`) that readers see as a whole or not at all."""
+    if committed:
+        commit(df, path, mode)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
-def checkpoint_outputs(batch: DataFrame, path: str) -> None:
-    """K5: append one scored batch; a rerun skips ids already present."""
-    batch.write.mode("append").parquet(path)
+def checkpoint_outputs(batch: DataFrame, path: str, committed: bool = False) -> None:
+    """K5: append one scored batch; a rerun skips ids already present (J4).  ``committed``: as for K4."""
+    write_outputs(batch, path, "append", committed)
