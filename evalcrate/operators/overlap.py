@@ -136,6 +136,26 @@ def rouge_n(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", orders:
     return g.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"rouge{n}").alias(f"rouge{n}") for n in orders])
 
 
+def bleu_counters(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", tokenizer: str = "13a", max_order: int = 4,
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """Per pair what corpus BLEU sums up: token numbers ``tl``, ``rl``, matches ``m1``.. and possible matches ``c1``.. ."""
+    tok = TOKENIZERS[tokenizer]
+    s = df.select(*keep, tok(pred_col).alias("_pt"), tok(ref_col).alias("_rt"))
+    per = [F.size("_pt").alias("tl"), F.size("_rt").alias("rl")]
+    for n in range(1, max_order + 1):
+        per += [bag_overlap(ngrams("_pt", n), ngrams("_rt", n)).alias(f"m{n}"),
+                F.greatest(F.size("_pt") - n + 1, F.lit(0)).alias(f"c{n}")]
+    return s.select(*keep, *per)
+
+
+def bleu_of_sums(max_order: int = 4) -> Column:
+    """BLEU from the sums of the columns of :func:`bleu_counters`."""
+    prec = [F.coalesce(F.try_divide(F.col(f"m{n}").cast("double"), F.col(f"c{n}").cast("double")), F.lit(0.0)) for n in range(1, max_order + 1)]
+    geo = F.when(F.least(*prec) > 0, F.exp(sum(F.log(p) for p in prec) / max_order)).otherwise(F.lit(0.0))
+    ratio = F.try_divide(F.col("tl").cast("double"), F.col("rl").cast("double"))
+    return geo * F.when(ratio > 1.0, F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(F.lit(1.0), ratio)))
+
+
 def corpus_bleu(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", tokenizer: str = "13a",
                 max_order: int = 4, group_cols: Sequence[str] = ()) -> DataFrame:
     """Corpus BLEU without smoothing (clipped n-gram matches summed over pairs).
@@ -144,13 +164,7 @@ def corpus_bleu(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref", tok
     every order; a single aggregate sums them; the final row applies the
     geometric mean and brevity penalty.
     """
-    tok = TOKENIZERS[tokenizer]
-    s = df.select(*group_cols, tok(pred_col).alias("_pt"), tok(ref_col).alias("_rt"))
-    per = [F.size("_pt").alias("tl"), F.size("_rt").alias("rl")]
-    for n in range(1, max_order + 1):
-        per += [bag_overlap(ngrams("_pt", n), ngrams("_rt", n)).alias(f"m{n}"),
-                F.greatest(F.size("_pt") - n + 1, F.lit(0)).alias(f"c{n}")]
-    s = s.select(*group_cols, *per)
+    s = bleu_counters(df, pred_col, ref_col, tokenizer, max_order, group_cols)
     g = s.groupBy(*group_cols) if group_cols else s
     sums = g.agg(F.sum("tl").alias("translation_length"), F.sum("rl").alias("reference_length"),
                  *[F.sum(f"m{n}").alias(f"matches_{n}") for n in range(1, max_order + 1)],

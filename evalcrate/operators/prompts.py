@@ -293,6 +293,34 @@ def render_chat(messages, chat_template: Mapping = CHATML, add_generation_prompt
     return F.concat(body, F.lit(chat_template["generation"])) if add_generation_prompt else body
 
 
+def role_fault(messages, system: bool = True) -> Column:
+    """What breaks a chat template's rules, or null: a system message only as the first one (not at all with
+    ``system=False``), then user and assistant in turn, beginning with the user; no other roles, no null content.
+
+    One fold over the messages; the first fault is named with its 0-based place."""
+    def step(state, x):
+        want = F.when(state["last"] == "user", F.lit("assistant")).otherwise(F.lit("user"))
+        role = F.coalesce(x["m"]["role"], F.lit("null"))
+        fault = (F.when((role == "system") & (x["i"] == 0) & F.lit(system), F.when(x["m"]["content"].isNull(), F.lit("no content")))
+                 .when(role == "system", F.lit("system message") if not system else F.lit("system message not at the start"))
+                 .when(~role.isin("user", "assistant"), F.concat(F.lit("unknown role "), role))
+                 .when(role != want, F.concat(role, F.lit(" where "), want, F.lit(" is expected")))
+                 .when(x["m"]["content"].isNull(), F.lit("no content")))
+        named = F.concat(F.lit("message "), x["i"].cast("string"), F.lit(": "), fault)
+        return F.struct(role.alias("last"), F.coalesce(state["fault"], named).alias("fault"))
+    start = F.struct(F.lit("").alias("last"), F.lit(None).cast("string").alias("fault"))
+    places = F.transform(_c(messages), lambda m, i: F.struct(m.alias("m"), i.alias("i")))
+    return F.when(F.size(_c(messages)) > 0, F.aggregate(places, start, step)["fault"]).otherwise(F.lit("no messages"))
+
+
+def checked_render(df: DataFrame, messages_col: str, out_col: str = "text", fault_col: str = "fault", chat_template: Mapping = CHATML,
+                   add_generation_prompt: bool = True, system: bool = True) -> DataFrame:
+    """P12/P13 with the template's role rules: good chats are rendered, bad ones have null text and their fault."""
+    fault = role_fault(messages_col, system)
+    return df.withColumn(fault_col, fault).withColumn(
+        out_col, F.when(F.col(fault_col).isNull(), render_chat(messages_col, chat_template, add_generation_prompt)))
+
+
 def ws_tokens(c) -> Column:
     return T.py_split(F.coalesce(_c(c), F.lit("")))
 

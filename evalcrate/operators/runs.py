@@ -6,6 +6,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from evalcrate.functions.util import let
 from evalcrate.functions.bags import bag_overlap, f1_from_overlap, ngrams
 from evalcrate.operators.greedy import greedy_match_pairs
 from evalcrate.operators.overlap import TOKENIZERS, rouge_tokens
+from evalcrate.session import ship_package
 
 
 def run_matrix(df: DataFrame, run_cols: Sequence[str], pred_col: str = "pred", gold_col: str = "gold") -> DataFrame:
@@ -140,6 +143,61 @@ def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
     return let(u, lambda x: F.size(F.filter(cdf, lambda c: x >= c)))
 
 
+def _mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixer (splitmix64's finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _weighted_sums(names: list[str], subsets: int, replicates: int):
+    """Task function: per (subset, replicate) the sums of the counters under Poisson(``subsets``) weights drawn from row hashes."""
+    cdf, term = [], math.exp(-subsets)
+    while len(cdf) < subsets or term >= RESOLUTION:
+        cdf.append((cdf[-1] if cdf else 0.0) + term)
+        term *= subsets / len(cdf)
+    cdf = np.array(cdf)
+    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def task(frames):
+        sums = np.zeros((subsets, replicates, len(names) + 1))
+        for pdf in frames:
+            h = pdf["_h"].to_numpy(np.int64).view(np.uint64)
+            own = (h % np.uint64(subsets)).astype(np.int64)
+            values = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(np.float64) for c in names]])
+            for s in range(0, len(pdf), 2048):
+                u = (_mixed_bits(h[s:s + 2048, None] + steps[None, :]) >> np.uint64(11)) * 2.0 ** -53
+                w = np.searchsorted(cdf, u, side="right").astype(np.float64)
+                for k in np.unique(own[s:s + 2048]):
+                    at = np.flatnonzero(own[s:s + 2048] == k)
+                    sums[k] += w[at].T @ values[s:s + 2048][at]
+        k, r = np.divmod(np.arange(subsets * replicates), replicates)
+        yield pd.DataFrame({"subset": k, "replicate": r, **{c: sums[:, :, i].ravel() for i, c in enumerate(["weight", *names])}})
+    return task
+
+
+def bootstrap_interval(rows: DataFrame, key_col: str, counters: Sequence[str], estimate: Column, subsets: int | None = None,
+                       replicates: int = 100, seed: int = 0, quantiles: Sequence[float] = (0.025, 0.5, 0.975)) -> DataFrame:
+    """M15 as a bag of little bootstraps, for any metric that is a function of sums.
+
+    ``estimate`` is a column over the sums of ``counters`` and over ``weight``, the number of rows.  The rows are
+    dealt to disjoint subsets (by default about a third of n^0.3, at most 20); in every replicate a row weighs Poisson(subsets), so that a
+    subset stands for the whole table; the quantiles of the subsets are averaged.  Weights come from row hashes
+    inside the tasks: no row is copied, and a task hands on one row per subset and replicate."""
+    if subsets is None:
+        subsets = max(1, min(20, int(rows.count() ** 0.3 / 3)))
+    ship_package(rows.sparkSession)
+    names = list(counters)
+    slim = rows.select(F.xxhash64(F.col(key_col), F.lit(seed)).alias("_h"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    shape = "subset int, replicate int, weight double, " + ", ".join(f"`{c}` double" for c in names)
+    sums = slim.mapInPandas(_weighted_sums(names, subsets, replicates), shape).groupBy("subset", "replicate").agg(
+        *[F.sum(c).alias(c) for c in ["weight", *names]])
+    per = sums.select("subset", estimate.alias("_v")).groupBy("subset").agg(
+        F.percentile("_v", F.array(*[F.lit(q) for q in quantiles])).alias("q"))
+    labels = ["low", "mid", "high"] if len(quantiles) == 3 else [f"q{i}" for i in range(len(quantiles))]
+    return per.agg(F.count(F.lit(1)).alias("subsets"), *[F.avg(F.col("q")[i]).alias(x) for i, x in enumerate(labels)])
+
+
 def bootstrap_mean(scores: DataFrame, key_col: str, value_col: str, replicates: int = 1000, seed: int = 0,
                    quantiles: Sequence[float] = (0.025, 0.5, 0.975)) -> DataFrame:
     """Bootstrap interval of the mean of ``value_col``.

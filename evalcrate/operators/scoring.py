@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from evalcrate.operators.accounting import native_token_count
 from evalcrate.session import ship_package
 
 
@@ -34,12 +36,34 @@ def loaded(key: str, make_fn: Callable[[], Callable[[list[str]], list[str]]]) ->
     return _LOADED[key]
 
 
+def packed(tokens: list[int], budget: int, most: int) -> list[list[int]]:
+    """First-fit decreasing: positions of ``tokens`` in lists of at most ``budget`` tokens and ``most`` items."""
+    left = np.zeros(len(tokens), np.int64)
+    lists: list[list[int]] = []
+    for i in sorted(range(len(tokens)), key=lambda i: (-tokens[i], i)):
+        fits = np.flatnonzero(left[:len(lists)] >= tokens[i])
+        if len(fits):
+            at = int(fits[0])
+        else:
+            at = len(lists)
+            lists.append([])
+            left[at] = budget
+        lists[at].append(i)
+        left[at] = left[at] - tokens[i] if len(lists[at]) < most else -1  # a full list takes nothing more
+    return lists
+
+
 def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]] | None, id_col: str, input_col: str,
              output_col: str = "output", batch_size: int = 64,
              make_fn: Callable[[], Callable[[list[str]], list[str]]] | None = None,
-             make_key: str | None = None) -> DataFrame:
+             make_key: str | None = None, token_budget: int | None = None, token_count: Column | None = None) -> DataFrame:
     """``(id, output, error)`` for every input row; ``fn`` sees lists of
-    at most ``batch_size`` prompts (one model call per list).
+    at most ``batch_size`` prompts (one model call per list).  A null prompt is
+    not scored; its error says so.
+
+    With ``token_budget`` the prompts of an Arrow batch are packed first-fit
+    decreasing, so that no call has more tokens together (``token_count``, by
+    default the native token rule); a prompt that alone has more is an error.
 
     ``make_fn`` builds the scorer instead (e.g. loads a model): it runs once
     per Python worker process and is reused by every task that worker runs.
@@ -56,9 +80,20 @@ def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]] | None, id_col:
             from evalcrate.operators.scoring import loaded  # the worker's module, not a pickled copy of it
             fn = loaded(make_key, make_fn)
         for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                texts = part[input_col].fillna("").tolist()
+            empty = pdf[input_col].isna().to_numpy()
+            large = (pdf["_tokens"].to_numpy() > token_budget) & ~empty if token_budget else empty & False
+            if empty.any() or large.any():
+                why = [f"{n} tokens, more than the budget of {token_budget}" for n in pdf["_tokens"][large]] if token_budget else []
+                yield pd.DataFrame({id_col: [*pdf[id_col][empty], *pdf[id_col][large]], output_col: None,
+                                    "error": ["null prompt"] * int(empty.sum()) + why}).astype({output_col: object})
+            pdf = pdf[~empty & ~large]
+            if token_budget:
+                calls = packed(pdf["_tokens"].tolist(), token_budget, batch_size)
+            else:
+                calls = [range(s, min(s + batch_size, len(pdf))) for s in range(0, len(pdf), batch_size)]
+            for call in calls:
+                part = pdf.iloc[list(call)]
+                texts = part[input_col].tolist()
                 try:
                     outs, errs = list(fn(texts)), [None] * len(texts)
                     if len(outs) != len(texts):
@@ -75,6 +110,9 @@ def score_fn(df: DataFrame, fn: Callable[[list[str]], list[str]] | None, id_col:
                 yield pd.DataFrame({id_col: part[id_col].values, output_col: outs, "error": errs})
 
     ship_package(df.sparkSession)
+    if token_budget:
+        count = native_token_count(input_col) if token_count is None else token_count
+        return df.select(id_col, input_col, count.alias("_tokens")).mapInPandas(run, schema)
     return df.select(id_col, input_col).mapInPandas(run, schema)
 
 

@@ -38,4 +38,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def load_all() -> None:
     """Import the query modules (each registers itself)."""
     from evalcrate.plans import (q_classify, q_text, q_overlap, q_qa, q_prompts,  # noqa: F401
-                                 q_tokens, q_runs, q_aliases, q_tasks, q_storage)  # noqa: F401
+                                 q_tokens, q_runs, q_aliases, q_tasks, q_storage, q_rules)  # noqa: F401
