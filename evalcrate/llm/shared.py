@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evalcrate.session import ensure_checkpoint_dir, ship_package
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -28,10 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
-    Cuts the lineage: a lost executor costs at most a reread, never a recomputation."""
+    Cuts the lineage: a lost executor costs at most a reread, never a recomputation.  Nothing needs the write's
+    shuffle files any more, so Spark is told to remove them with it; the session's own setting is given back."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
