@@ -11,7 +11,7 @@ entries of A A^T; only blocks that can hold a linked pair are ever multiplied:
    order.  The order puts n-grams found frequent (a count over all classes) last,
    so that shared passages do not bring unrelated rows together.
 3. *Coarse product.*  Rows that share such a column are compared on set size and
-   on a 64-cell histogram of their n-gram hashes; half the histogram distance is
+   on a 256-cell histogram of their n-gram hashes; half the histogram distance is
    a proven bound on the overlap, and pairs below the size-derived bound go.
    Components of the rest are the blocks.
 4. *Exact product.*  Every row enters its block once with its whole set.  Inside
@@ -46,7 +46,8 @@ from pyspark.sql import types as T
 from evalcrate.llm import bytescan
 from evalcrate.llm.shared import components, for_python, hidden, saved
 
-CELLS = 64
+CELL_BITS = 8  # tells unrelated sets of up to about 26 n-grams a cell apart at 0.8
+CELLS = 1 << CELL_BITS
 TILE = 1024
 TILE_GRAMS = 4 << 20
 FREQUENT = 32
@@ -101,7 +102,7 @@ def _sketcher(k: int, percent: int, frequent: np.ndarray, prefix_only: bool):
                 prefixes.append(first.view(np.int64))
                 lengths[i + 1] = len(first)
                 hists.append(b"" if prefix_only else
-                             np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255)
+                             np.minimum(np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS), 255)
                              .astype(np.uint8).tobytes())
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([
