@@ -48,7 +48,7 @@ from evalcrate.llm.shared import components, for_python, hidden, saved
 
 CELL_BITS = 8  # tells unrelated sets of up to about 26 n-grams a cell apart at 0.8
 CELLS = 1 << CELL_BITS
-TILE = 2048
+TILE = 1024
 TILE_GRAMS = 4 << 20
 FREQUENT = 32
 ORDER_LIST = 65536
