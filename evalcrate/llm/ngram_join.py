@@ -9,7 +9,8 @@ entries of A A^T; only blocks that can hold a linked pair are ever multiplied:
 2. *Columns.*  A pair at the threshold must share one of the first
    ``n - ceil(percent * n / 100) + 1`` n-grams of each set under any one global
    order.  The order puts n-grams found frequent (a count over all classes) last,
-   so that shared passages do not bring unrelated rows together.
+   so that shared passages do not bring unrelated rows together.  Columns that hold
+   the same rows (count and two 64-bit hashes of the row ids agree) are compared once.
 3. *Coarse product.*  Rows that share such a column are compared on set size and
    on a 256-cell histogram of their n-gram hashes; half the histogram distance is
    a proven bound on the overlap, and pairs below the size-derived bound go.
@@ -264,7 +265,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
              .groupBy("cid").agg(F.first("prefix").alias("prefix")))
     counts = (first.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
               .where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "t").limit(ORDER_LIST))
-    frequent = np.array([r.t for r in counts.select("t").collect()], np.int64).view(np.uint64)
+    listed = sorted(saved(counts, "ngram-frequent").collect(), key=lambda r: (-r.c, r.t))  # stored: its shuffle files go
+    frequent = np.array([r.t for r in listed], np.int64).view(np.uint64)
 
     rows = saved(sketches(docs, k, percent, frequent), "ngram-rows")
     classes = saved(rows.where("n_shingles > 0").groupBy("cid").agg(
@@ -272,7 +274,11 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
         F.min("doc_id").alias("doc_id")), "ngram-classes")
     columns = classes.select("cid", F.explode("prefix").alias("t"))
     shared = columns.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    cells = _tiled(columns.join(shared, "t").join(classes.select("cid", "n_shingles", "hist"), "cid"), F.col("c") / F.lit(tile))
+    held = saved(columns.join(shared, "t").select("t", "c", "cid"), "ngram-columns")
+    once = (held.groupBy("t").agg(F.first("c").alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"),
+                                  F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+            .groupBy("c", "x", "y").agg(F.min("t").alias("t")).select("t"))
+    cells = _tiled(held.join(once, "t").join(classes.select("cid", "n_shingles", "hist"), "cid"), F.col("c") / F.lit(tile))
     near = (cells.select("t", "a", "b", "cid", "n_shingles", "hist").repartition("t", "a", "b")
             .sortWithinPartitions("t", "a", "b").mapInArrow(_coarse(percent), "u long, v long"))
     blocks = components(near)
