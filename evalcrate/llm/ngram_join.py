@@ -12,9 +12,10 @@ entries of A A^T; only blocks that can hold a linked pair are ever multiplied:
    so that shared passages do not bring unrelated rows together.  Columns that hold
    the same rows (count and two 64-bit hashes of the row ids agree) are compared once.
 3. *Coarse product.*  Rows that share such a column are compared on set size and
-   on a 256-cell histogram of their n-gram hashes; half the histogram distance is
-   a proven bound on the overlap, and pairs below the size-derived bound go.
-   Components of the rest are the blocks.
+   on a histogram of their n-gram hashes, whose cells follow the set's size (about
+   four n-grams a cell, 16 to 1,024 cells; the finer of two is folded); half the
+   histogram distance is a proven bound on the overlap, and pairs below the
+   size-derived bound go.  Components of the rest are the blocks.
 4. *Exact product.*  Every row enters its block once with its whole set.  Inside
    a block the overlap counts of one row with all rows are accumulated through
    the block's columns.  Rows already in the block's largest linked component
@@ -47,8 +48,8 @@ from pyspark.sql import types as T
 from evalcrate.llm import bytescan
 from evalcrate.llm.shared import components, for_python, hidden, saved
 
-CELL_BITS = 8  # tells unrelated sets of up to about 26 n-grams a cell apart at 0.8
-CELLS = 1 << CELL_BITS
+LEAST_BITS, MOST_BITS = 4, 10  # unrelated sets of up to about 26 n-grams a cell are told apart at 0.8
+FULL = 255  # a cell counts no further
 TILE = 1024
 TILE_GRAMS = 4 << 20
 FREQUENT = 32
@@ -73,6 +74,40 @@ def class_id(grams: np.ndarray) -> np.int64:
     return bytescan.mix(parts).sum(dtype=np.uint64).view(np.int64)
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of the hashes by their first bits, one byte a cell."""
+    bits = min(max(len(s).bit_length() - 2, LEAST_BITS), MOST_BITS)
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL).astype(np.uint8).tobytes()
+
+
+class Histograms:
+    """Histograms of many sets; pairs are compared on the coarser one's cells."""
+
+    def __init__(self, parts: list[bytes]):
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        lengths = np.array([len(p) for p in parts], np.int64)
+        self.off = np.cumsum(lengths) - lengths
+        self.bits = np.round(np.log2(np.maximum(lengths, 1))).astype(np.int64)
+
+    def _at(self, rows: np.ndarray, bits: int) -> np.ndarray:
+        """Histograms of ``rows`` in ``1 << bits`` cells.  A full cell stays full when folded, so that the
+        distance never exceeds the true one."""
+        out = np.empty((len(rows), 1 << bits), np.int16)
+        for b in np.unique(self.bits[rows]):
+            of = self.bits[rows] == b
+            cells = self.flat[self.off[rows[of]][:, None] + np.arange(1 << b)]
+            out[of] = cells if b == bits else np.minimum(cells.reshape(len(cells), 1 << bits, -1).sum(axis=-1, dtype=np.int32), FULL)
+        return out
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Summed differences of the pairs ``x[i], y[i]``; ``x`` may be one row for all."""
+        out, bits = np.empty(len(y), np.int64), np.minimum(self.bits[x], self.bits[y])
+        for b in np.unique(bits):
+            of = bits == b
+            out[of] = np.abs(self._at(x if len(x) == 1 else x[of], b) - self._at(y[of], b)).sum(axis=-1)
+        return out
+
+
 def _sketcher(k: int, percent: int, frequent: np.ndarray, prefix_only: bool):
     order = np.argsort(frequent, kind="stable")
     by_hash = frequent[order]
@@ -102,9 +137,7 @@ def _sketcher(k: int, percent: int, frequent: np.ndarray, prefix_only: bool):
                     first = s[:p]
                 prefixes.append(first.view(np.int64))
                 lengths[i + 1] = len(first)
-                hists.append(b"" if prefix_only else
-                             np.minimum(np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS), 255)
-                             .astype(np.uint8).tobytes())
+                hists.append(b"" if prefix_only else histogram(s))
             values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()), pa.array(cid), pa.array(sizes),
@@ -162,16 +195,18 @@ def forest(m: int, linked) -> list[tuple[int, int]]:
 
 
 def _coarse(percent: int):
-    def near(a, b, ha, hb):
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        ok = 100 * low >= percent * high
-        most = a + b - 2 * least_overlap(a + b, percent)
-        return ok & (np.abs(ha.astype(np.int16) - hb).sum(axis=-1) <= most)
+    def near(n, hists, x, y):
+        ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        at = np.flatnonzero(ok)
+        x, y = x if len(x) == 1 else x[at], y[at]
+        total = n[x] + n[y]
+        ok[at] = hists.distance(x, y) <= total - 2 * least_overlap(total, percent)
+        return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _whole_groups(batches, ["t", "a", "b"]):
             ids, n = t.column("cid").to_numpy(), t.column("n_shingles").to_numpy()
-            hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(len(ids), CELLS)
+            hists = Histograms(t.column("hist").to_pylist())
             sizes = np.diff(np.append(starts, len(ids)))
             us, vs = [], []
             for m in np.unique(sizes[(sizes > 1) & (sizes <= 8)]):  # all pairs of small groups at once
@@ -179,12 +214,12 @@ def _coarse(percent: int):
                 for i in range(m):
                     for j in range(i + 1, m):
                         x, y = at + i, at + j
-                        ok = near(n[x], n[y], hist[x], hist[y])
+                        ok = near(n, hists, x, y)
                         us.append(ids[x[ok]])
                         vs.append(ids[y[ok]])
             for s, m in zip(starts[sizes > 8], sizes[sizes > 8]):
-                gn, gh = n[s:s + m], hist[s:s + m]
-                e = forest(m, lambda i: near(gn[i], gn, gh[i], gh))  # noqa: B023
+                group = np.arange(s, s + m)
+                e = forest(m, lambda i: near(n, hists, group[i:i + 1], group))  # noqa: B023
                 if e:
                     e = np.array(e)
                     us.append(ids[s + e[:, 0]])
