@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import components, for_python, hidden, saved
+from evalcrate.llm.shared import IdBits, components, for_python, hidden, saved, tester
 
 LEAST_BITS, MOST_BITS = 4, 10  # unrelated sets of up to about 26 n-grams a cell are told apart at 0.8
 FULL = 255  # a cell counts no further
@@ -319,11 +319,13 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, tile: int =
     blocks = components(near)
 
     members = blocks.withColumnRenamed("id", "cid")
-    members = members.join(classes.select("cid", "doc_id", "n_shingles"), "cid")
+    members = saved(members.join(classes.select("cid", "doc_id", "n_shingles"), "cid"), "ngram-members")
     sizes = members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("g"))
     reps = _tiled(members.join(sizes, "comp"), F.greatest(F.col("c") / F.lit(tile), F.col("g") / F.lit(TILE_GRAMS)))
     reps = reps.select("cid", "comp", "a", "b", "doc_id")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # texts of documents outside the blocks are left out before the shuffle
+    texts = texts.where(IdBits(members.select("doc_id")).maybe(F.col("doc_id")))
     # texts go to the blocks, since they compress and hashes do not; the sets are built there
     placed = (texts.join(reps.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
               .select("cid", "comp", "a", "b", "text").repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b"))
@@ -351,7 +353,7 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Documents without words are all kept.  Rows are told apart by doc_id and n-gram set, so a doc_id
     that stands for two different texts keeps both."""
     columns = docs.columns
-    docs, back = hidden(docs, ["_cid", "_kept", "_kept_cid"])
+    docs, back = hidden(docs, ["_cid", "_kept", "_kept_cid", "_at"])
     rows, sets = jaccard_classes(docs, k, percent)
     kept = sets.groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cid")).alias("m"))
@@ -360,21 +362,29 @@ def keep_one(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     found = rows.where("n_shingles > 0").join(of_set, F.col("cid") == F.col("_kept_cid"))
     stays = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("cid") == F.col("_best"))
     found = found.groupBy("doc_id", "cid").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
-    # what goes, and what stays but is repeated: tables of known size; while they are small, no text is shuffled
+    # what goes, and what stays but is repeated: rows whose id is in neither table stay where they are, unhashed
     gone = saved(found.where("NOT stays").select(F.col("doc_id").alias("_kept"), F.col("cid").alias("_kept_cid")), "ngram-gone")
     again = saved(found.where("stays AND n > 1").select(F.col("doc_id").alias("_kept"), F.col("cid").alias("_kept_cid")), "ngram-again")
-    marked = docs.mapInArrow(_with_class(k), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))
+    listed = IdBits(gone.unionByName(again).select("_kept"))
+    plain = docs.where(~listed.maybe(F.col("doc_id")))
+    marked = docs.withColumn("_at", listed.at(F.col("doc_id"))).mapInArrow(
+        _with_class(k, listed.bits), T.StructType([*docs.schema.fields, T.StructField("_cid", T.LongType())]))
     same = F.col("doc_id").eqNullSafe(F.col("_kept")) & F.col("_cid").eqNullSafe(F.col("_kept_cid"))
     left = marked.join(gone, same, "left_anti")
     if not again.isEmpty():  # only repeated rows meet again, and only for them the texts are read twice
         left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_cid"]))
-    return left.select(*docs.columns).withColumnsRenamed(back).select(*columns)
+    return plain.unionByName(left.select(*docs.columns)).withColumnsRenamed(back).select(*columns)
 
 
-def _with_class(k: int):
+def _with_class(k: int, bits: np.ndarray):
+    """The rows whose bit ``_at`` is set, with their class id."""
+    test = tester(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bytescan.slices(batches):
-            h, off = bytescan.word_hashes(b.column("text"), bytescan.NON_SPACE)
-            cids = [int(class_id(bytescan.shingles(h[x:y], k))) if y > x else None for x, y in zip(off, off[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.int64())], names=[*b.schema.names, "_cid"])
+        for batch in batches:
+            listed = batch.filter(pa.array(test(batch.column("_at").to_numpy()))).drop_columns(["_at"])
+            for b in bytescan.slices([listed]):
+                h, off = bytescan.word_hashes(b.column("text"), bytescan.NON_SPACE)
+                cids = [int(class_id(bytescan.shingles(h[x:y], k))) if y > x else None for x, y in zip(off, off[1:])]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cids, pa.int64())], names=[*b.schema.names, "_cid"])
     return run

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalcrate.session import ensure_checkpoint_dir, ship_package
@@ -57,6 +59,39 @@ def hidden(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed(aside), {v: k for k, v in aside.items()}
 
 
+class IdBits:
+    """A bitmap of ids: ``maybe`` holds for every id of ``ids`` (one column of longs, null is an id) and for few others.
+
+    It has 16 to 32 bits an id, at most ``1 << most`` (8 MB); beyond four million ids more others pass.  It leaves
+    rows out of a shuffle that a join would drop; an exact join always follows."""
+
+    def __init__(self, ids: DataFrame, most: int = 26):
+        self.size = 1 << max(min((16 * ids.count()).bit_length(), most), 15)
+        at = ids.select(self.at(ids[ids.columns[0]]).alias("at")).distinct()
+        cells = (at.select(F.shiftright("at", 15).alias("cell"), (F.col("at") % 32768).alias("bit")).repartition("cell")
+                 .groupBy("cell").agg(F.bitmap_construct_agg("bit").alias("bits")))
+        self.bits = np.zeros(self.size // 8, np.uint8)
+        for r in saved(cells, "id-bits").toLocalIterator():
+            self.bits[r.cell * 4096:(r.cell + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+
+    def at(self, ids: Column) -> Column:
+        """Bit number of each id."""
+        return F.pmod(F.xxhash64(ids.cast("long")), F.lit(self.size))
+
+    def maybe(self, ids: Column) -> Column:
+        test = tester(self.bits)
+
+        def held(at: pd.Series) -> pd.Series:
+            return pd.Series(test(at.to_numpy()))
+
+        return F.pandas_udf(held, "boolean")(self.at(ids))
+
+
+def tester(bits: np.ndarray):
+    """Whether bits are set, by their numbers."""
+    return lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs): ``(id, comp)``, comp = smallest id.
 
