@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalcrate.llm import bytescan
-from evalcrate.llm.shared import for_python, hidden, saved
+from evalcrate.llm.shared import for_python, hidden, local_rows, saved
 
 ORDER = 4
 MAX_GRAMS = 400_000
@@ -352,8 +352,8 @@ def limits(stats: list[tuple[str, int, int, float, float]], langs: list[str]) ->
 def _judged(scored: DataFrame, model: Blocks | None, z: float) -> DataFrame:
     """``scored`` with ``_bad``: without letters, or above the limit of the language and length class."""
     bounds = limits(_calibration(scored), model.langs) if model else {}
-    bounds = scored.sparkSession.createDataFrame([(x, c, m + max(z * sd, MARGIN)) for (x, c), (m, sd) in bounds.items()],
-                                                 "_of string, _class int, _limit double")
+    bounds = local_rows(scored.sparkSession, [(x, c, m + max(z * sd, MARGIN)) for (x, c), (m, sd) in bounds.items()],
+                        "_of string, _class int, _limit double")
     return scored.join(F.broadcast(bounds), (F.col("_lang") == F.col("_of")) & (F.length(F.bin("_n")) == F.col("_class")),
                        "left").withColumn("_bad", (F.col("_n") == 0) | F.coalesce(F.col("_entropy") > F.col("_limit"), F.lit(False)))
 

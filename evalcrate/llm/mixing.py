@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalcrate.llm.shared import hidden, saved
+from evalcrate.llm.shared import hidden, local_rows, saved
 
 WEIGHTS = (3, 1, 2)
 SALTS = 64
@@ -72,8 +72,7 @@ def _solve(cells: DataFrame, stats: list, targets: dict, steps: int) -> dict[str
     for _ in range(steps):
         if not state:
             break
-        params = spark.createDataFrame([(s, v[0], mean[s]) for s, v in state.items()],
-                                       "source string, lam double, mean double")
+        params = local_rows(spark, [(s, v[0], mean[s]) for s, v in state.items()], "source string, lam double, mean double")
         x, words = F.col("size") / F.col("mean"), F.col("n") * F.col("size")
         rate = _rate(F.col("lam"), x)
         sums = (cells.join(params, cells.source.eqNullSafe(params.source)).select(
@@ -130,8 +129,8 @@ def _dealt(docs: DataFrame, share: float, steps: int) -> tuple[DataFrame, DataFr
     stats = cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("words")).collect()
     targets = source_targets([(r.source, r.words) for r in stats], share)
     lams = _solve(cells, stats, targets, steps)
-    params = spark.createDataFrame(
-        [(r.source, r.words, targets[r.source], lams[r.source], r.words / r.docs) for r in stats],
+    params = local_rows(
+        spark, [(r.source, r.words, targets[r.source], lams[r.source], r.words / r.docs) for r in stats],
         "s string, source_size long, target double, lam double, mean double")
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("lam") == F.lit(math.inf), F.lit(float(CAP))).otherwise(
         _rate(F.col("lam"), F.col("size") / F.col("mean")))

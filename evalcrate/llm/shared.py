@@ -6,13 +6,16 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalcrate.session import ensure_checkpoint_dir, ship_package
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+VECTORED = "parquet.hadoop.vectored.io.enabled"
 
 
 def for_python(spark: SparkSession) -> None:
@@ -22,6 +25,26 @@ def for_python(spark: SparkSession) -> None:
     ship_package(spark)
     if spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
+    plain_reads(spark)
+
+
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet column chunks in pieces of 8 MB at most, where the session and its Spark settings do not say otherwise.
+
+    Parquet's vectored reads take a whole chunk in one asynchronous read through Java's file channels, and every thread
+    of their pool keeps a direct buffer as large as the largest chunk (the texts of a row group) that it has read."""
+    if spark.conf.get(VECTORED, None) is None and not spark.sparkContext.getConf().contains(f"spark.hadoop.{VECTORED}"):
+        spark.conf.set(VECTORED, "false")
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, by way of Arrow.
+
+    A list given to ``createDataFrame`` goes through Python workers of the RDD kind, whose daemon and processes
+    then stay in each executor beside those of the Arrow functions."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = [pa.array(c) for c in zip(*rows)] or [pa.array([], pa.null())] * len(fields)
+    return spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +57,7 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     Cuts the lineage: a lost executor costs at most a reread, never a recomputation.  Nothing needs the write's
     shuffle files any more, so Spark is told to remove them with it; the session's own setting is given back."""
     spark = df.sparkSession
+    plain_reads(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
